@@ -120,9 +120,19 @@ def dedupe_first(
     return df.groupBy(*keys).agg(F.min(row).alias("_row")).select(*keys, "_row.*")
 
 
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """128-bit hash of a row; NULLs are told apart by their positions."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    gaps = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return [F.xxhash64(*cells, gaps).alias("_h1"), F.xxhash64(gaps, F.lit("second"), *cells).alias("_h2")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Count and share of rows that repeat an earlier row in every column."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Count and share of rows that repeat an earlier row in every column.
+
+    Sixteen bytes per row are exchanged, not the row.
+    """
+    groups = df.select(*row_fingerprint(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"),
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),

@@ -86,16 +86,14 @@ def deterministic_maps(df: DataFrame, target: str, columns: Sequence[str]) -> Da
     two combinable aggregates replace a distinct count.
     """
     y = F.when(~v.missing(df, target), F.col(f"`{target}`"))
-    cells = [
-        F.when(~v.missing(df, c), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")))
-        for c in columns
-    ]
-    cell = F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull()))
-    per_value = (
-        df.select(y.alias("y"), cell.alias("s"))
-        .groupBy("s.column", "s.value")
-        .agg((F.min("y").eqNullSafe(F.max("y"))).alias("single"))
-    )
+    per_value = None
+    for c in columns:
+        part = (
+            df.filter(~v.missing(df, c)).groupBy(F.col(f"`{c}`").alias("_v"))
+            .agg(F.min(y).eqNullSafe(F.max(y)).alias("single"))
+            .select(F.lit(c).alias("column"), "single")
+        )
+        per_value = part if per_value is None else per_value.unionByName(part)
     per_column = per_value.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"), F.bool_and("single").alias("single")
     )

@@ -164,16 +164,21 @@ def positions(
 
 
 def value_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), rows_per_chunk: int | None = None
+    df: DataFrame, value: str, keys: Sequence[str] = (), rows_per_chunk: int | None = None,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per (keys, distinct value): its count, rows at or below, average rank."""
+    """One row per (keys, distinct value): its count, rows at or below, average rank.
+
+    ``extra`` adds aggregates of the rows sharing a value. Chunks are cut on the rows, so
+    a chunk never has more distinct values than a chunk of rows.
+    """
+    edges = chunk_edges(df, value, rows_per_chunk)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
+        .agg(F.count(F.lit(1)).alias("ties"), *[c.alias(n) for n, c in (extra or {}).items()])
     )
-    spec = {"upto": Running("sum", F.col("ties"))}
-    ranked = running(counts, keys, [value], spec, rows_per_chunk=rows_per_chunk)
+    ranked = running(counts, keys, [value], {"upto": Running("sum", F.col("ties"))}, edges)
     return ranked.withColumn("rank", F.col("upto") - (F.col("ties") - 1) / F.lit(2.0))
 
 

@@ -15,15 +15,30 @@ REPORT = "level string, column string, check string, message string"
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for every non-missing value, as text."""
-    cells = [
-        F.when(~v.missing(df, c), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")))
-        for c in columns
-    ]
-    cell = F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull()))
-    return df.select(cell.alias("s")).groupBy("s.column", "s.value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """(column, value, n) for every non-missing value, as text.
+
+    One branch per column: each scans only its column and groups by the typed value; text
+    is made from distinct values only.
+    """
+    out = None
+    for c in columns:
+        part = (
+            df.filter(~v.missing(df, c)).groupBy(F.col(f"`{c}`").alias("_v"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(c).alias("column"), F.col("_v").cast("string").alias("value"), "n")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct) without turning values into text."""
+    out = None
+    for c in columns:
+        values = df.filter(~v.missing(df, c)).select(F.col(f"`{c}`").alias("_v")).distinct()
+        part = values.agg(F.count(F.lit(1)).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -41,7 +56,7 @@ def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}.rows"), F.col(f"c{i}.missing")) for i, c in enumerate(columns)])
         ).alias("m")
     ).select("m.*")
-    distinct = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    distinct = distinct_counts(df, columns)
     return (
         kinds.join(missing, "column")
         .join(distinct, "column", "left")
@@ -94,7 +109,7 @@ def infer_tasks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
     ).unpivot([], list(columns), "column", "integral")
     kinds = df.sparkSession.createDataFrame([(c, c in numeric) for c in columns], "column string, is_numeric boolean")
-    distinct = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    distinct = distinct_counts(df, columns)
     few = (F.col("distinct") <= 2) | (F.col("integral") & (F.col("distinct") <= 20))
     task = F.when(~F.col("is_numeric") | few, "classification").otherwise("regression")
     return distinct.join(whole, "column").join(kinds, "column").select("column", "distinct", task.alias("task"))

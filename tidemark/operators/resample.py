@@ -20,30 +20,25 @@ POISSON_CDF = (
     0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
     0.999998874797402, 0.9999998885745217,
 )
+# The same as eight hex digits, so that a digest is compared as text.
+POISSON_HEX = tuple(f"{int(p * 4294967296):08x}" for p in POISSON_CDF)
 
 
-def poisson_weights(seed: int, replicates: int, row_id: Column) -> Column:
-    """Array of Poisson(1) weights per row, one per replicate.
-
-    One digest gives four draws (eight hex digits each), so cost is a quarter digest per
-    row and replicate.
-    """
-    digests = [
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(block)), row_id.cast("string")))
-        for block in range(-(-replicates // 4))
-    ]
-    draws = []
-    for i in range(replicates):
-        part = F.conv(F.substring(digests[i // 4], 1 + 8 * (i % 4), 8), 16, 10).cast("double") / F.lit(4294967296.0)
-        draws.append(part)
-    bounds = F.array(*[F.lit(b) for b in POISSON_CDF])
-    return F.transform(F.array(*draws), lambda u: F.size(F.filter(bounds, lambda b: b <= u)))
+def poisson_weight(seed: int, rep: Column, row_id: Column) -> Column:
+    """Poisson(1) draw from the digest of (seed, replicate, row id)."""
+    text = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), row_id.cast("string"))
+    digits = F.substring(F.md5(text), 1, 8)
+    out = None
+    for k, bound in enumerate(POISSON_HEX):
+        out = F.when(digits < bound, F.lit(k)) if out is None else out.when(digits < bound, F.lit(k))
+    return out.otherwise(F.lit(len(POISSON_HEX)))
 
 
 def replicate_rows(df: DataFrame, row_id: str, replicates: int, seed: int = 42) -> DataFrame:
     """Row copies (rep, w) with positive weight; a narrow step before a combinable sum."""
-    weighted = df.withColumn("_w", poisson_weights(seed, replicates, F.col(row_id)))
-    return weighted.select(*df.columns, F.posexplode("_w").alias("rep", "w")).filter("w > 0")
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    copies = df.withColumn("rep", reps)
+    return copies.withColumn("w", poisson_weight(seed, F.col("rep"), F.col(row_id))).filter("w > 0")
 
 
 def interval(values: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:

@@ -6,12 +6,13 @@ rate; the bound is checked by an aggregate before any group is handed to Python.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import signals as s
 from tidemark.functions import values as v
@@ -48,6 +49,22 @@ def windowed(df: DataFrame, t: str, size_us: int, step_us: int, wanted: DataFram
     return windows
 
 
+def window_arrays(
+    df: DataFrame, series: Sequence[str], t: str, value: str, size_us: int, step_us: int,
+    tie: str | None, wanted: DataFrame | None,
+) -> DataFrame:
+    """One row per series and window: samples in time order as an array, and the rate."""
+    order = [t] + ([tie] if tie else [])
+    narrow = df.select(*series, *order, v.finite(F.col(value)).alias(value), "fs").filter(F.col(value).isNotNull())
+    windows = windowed(narrow, t, size_us, step_us, wanted, series)
+    keys = [*series, "window_start"]
+    check_groups(windows, keys, size_us)
+    sample = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x"))))
+    return windows.groupBy(*keys).agg(
+        F.transform(sample, lambda s: s["_x"]).alias("_samples"), F.max("fs").alias("_fs")
+    )
+
+
 def spectral_features(
     df: DataFrame,
     kind: str,
@@ -60,24 +77,23 @@ def spectral_features(
     wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Spectral and peak features per series and window; needs a column ``fs``."""
-    series, names = list(series), FEATURES[kind]
-    compute = FUNCTIONS[kind]
-    order = [t] + ([tie] if tie else [])
-    narrow = df.select(*series, *order, v.finite(F.col(value)).alias(value), "fs").filter(F.col(value).isNotNull())
-    windows = windowed(narrow, t, size_us, step_us, wanted, series)
+    series, names, compute = list(series), FEATURES[kind], FUNCTIONS[kind]
+    arrays = window_arrays(df, series, t, value, size_us, step_us, tie, wanted)
     keys = [*series, "window_start"]
-    check_groups(windows, keys, size_us)
-    schema = windows.select(*keys).schema
+    schema = arrays.select(*keys).schema
     for name in names:
         schema = schema.add(name, "double")
 
-    def one(key, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        found = compute(pdf[value].to_numpy(dtype=float), float(pdf["fs"].iloc[0])) if len(pdf) >= 5 else {}
-        row = dict(zip(keys, key)) | {n: found.get(n, np.nan) for n in names}
-        return pd.DataFrame([row])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                compute(np.asarray(x, dtype=float), float(fs)) if len(x) >= 5 else {}
+                for x, fs in zip(batch["_samples"], batch["_fs"])
+            ]
+            more = pd.DataFrame(found, index=batch.index).reindex(columns=list(names)).astype(float)
+            yield pd.concat([batch[keys], more], axis=1)
 
-    out = windows.groupBy(*keys).applyInPandas(one, schema)
+    out = arrays.mapInPandas(run, schema)
     return out.select(*keys, *[v.finite(F.col(f"`{n}`")).alias(n) for n in names])
 
 
@@ -87,18 +103,13 @@ def beats(
 ) -> DataFrame:
     """Beat intervals detected in each window of a waveform, one row per beat."""
     series = list(series)
-    order = [t] + ([tie] if tie else [])
-    narrow = df.select(*series, *order, v.finite(F.col(value)).alias(value), "fs").filter(F.col(value).isNotNull())
-    windows = windowed(narrow, t, size_us, step_us, wanted, series)
+    arrays = window_arrays(df, series, t, value, size_us, step_us, tie, wanted)
     keys = [*series, "window_start"]
-    check_groups(windows, keys, size_us)
-    schema = windows.select(*keys).schema.add("beat", "long").add("rr", "double")
+    schema = arrays.select(*keys).schema.add("_rr", T.ArrayType(T.DoubleType()))
 
-    def one(key, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        rr = s.beat_intervals(pdf[value].to_numpy(dtype=float), float(pdf["fs"].iloc[0]))
-        rr = np.empty(0) if rr is None else rr
-        head = {k: x for k, x in zip(keys, key)}
-        return pd.DataFrame({**{k: [x] * rr.size for k, x in head.items()}, "beat": np.arange(rr.size), "rr": rr})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [s.beat_intervals(np.asarray(x, dtype=float), float(fs)) for x, fs in zip(batch["_samples"], batch["_fs"])]
+            yield batch[keys].assign(_rr=[[] if rr is None else rr.tolist() for rr in found])
 
-    return windows.groupBy(*keys).applyInPandas(one, schema)
+    return arrays.mapInPandas(run, schema).select(*keys, F.posexplode("_rr").alias("beat", "rr"))

@@ -19,6 +19,7 @@ from tidemark.functions import values as v
 from tidemark.operators.clean import MAX_CLASSES
 from tidemark.operators.ordering import exact_quantiles, value_ranks
 from tidemark.operators.profile import mode_share
+from tidemark.session import cut_lineage
 
 SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
 
@@ -319,32 +320,57 @@ def compare_groups(df: DataFrame, group: str, columns: Sequence[str], alpha: flo
 
 
 # ---------------------------------------------------------------- correlations
-def ranked_pairs(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Complete pairs as (rank of x, rank of y, count), equal pairs already combined."""
-    pair = df.select(v.finite(F.col(column)).alias("x"), v.finite(F.col(target)).alias("y")).filter(
-        "x is not null and y is not null"
-    )
-    cells = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    rx = value_ranks(pair, "x").select("x", F.col("rank").alias("rx"))
-    ry = value_ranks(pair, "y").select("y", F.col("rank").alias("ry"))
-    return cells.join(rx, "x").join(ry, "y").select("rx", "ry", "n")
+def with_rank(df: DataFrame, column: str, out: str, keep: Sequence[str]) -> DataFrame:
+    """Attach the average rank of ``column`` to its rows (rows without it are left out).
+
+    A value shared by many rows makes a hot join key; the rank table has one row per
+    value, so the adaptive skew join may split the row side freely.
+    """
+    rows = df.filter(F.col(column).isNotNull())
+    ranks = value_ranks(rows, column).select(F.col(column).alias("_v"), F.col("rank").alias(out))
+    return rows.select(column, *keep).join(ranks, F.col(column) == F.col("_v")).drop("_v")
+
 
+def rank_correlation(ranked: DataFrame, column: str, rank: str) -> tuple[int, float | None]:
+    """Spearman's r of ``column`` with a column that already holds average ranks.
 
-def _weighted_corr(pairs: DataFrame) -> tuple[int, float | None]:
-    """Correlation of ranks with counts; ranks are centred on their known mean."""
-    n = pairs.agg(F.sum("n")).first()[0] or 0
+    The cross product only needs, per distinct value, how many rows have it and the sum
+    of the other side's ranks, so rows are not joined a second time.
+    """
+    n, low = ranked.agg(F.count(F.lit(1)), F.min(rank)).first()
     if not n:
         return 0, None
-    mid = F.lit((n + 1) / 2.0)
-    a, b, w = F.col("rx") - mid, F.col("ry") - mid, F.col("n")
-    row = pairs.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb")).first()
+    mid = (n + 1) / 2.0
+    other = F.col(rank) - F.lit(mid)
+    table = value_ranks(ranked, column, extra={"_s": F.sum(other), "_q": F.sum(other * other)})
+    own, w = F.col("rank") - F.lit(mid), F.col("ties")
+    row = table.agg(F.sum(own * F.col("_s")).alias("ab"), F.sum(w * own * own).alias("aa"), F.sum("_q").alias("bb")).first()
     if not row["aa"] or not row["bb"]:
         return n, None
     return n, row["ab"] / math.sqrt(row["aa"] * row["bb"])
 
 
 def spearman(df: DataFrame, column: str, target: str) -> tuple[int, float | None]:
-    return _weighted_corr(ranked_pairs(df, column, target))
+    """On complete pairs."""
+    pairs = df.select(v.finite(F.col(column)).alias("x"), v.finite(F.col(target)).alias("y")).filter(
+        "x is not null and y is not null"
+    )
+    return rank_correlation(with_rank(pairs, "y", "ry", ["x"]), "x", "ry")
+
+
+def spearman_many(df: DataFrame, target: str, columns: Sequence[str]) -> dict[str, tuple[int, float | None]]:
+    """The target is ranked once for all columns that are never missing beside it."""
+    clean = df.select(v.finite(F.col(target)).alias(target), *[v.finite(F.col(c)).alias(c) for c in columns])
+    clean = clean.filter(F.col(target).isNotNull())
+    gaps = clean.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if not gaps[f"g{i}"]]
+    out = {c: spearman(df, c, target) for c in columns if c not in whole}
+    if whole:
+        ranked = with_rank(clean, target, "_ry", whole)
+        if len(whole) > 1:
+            ranked = cut_lineage(ranked)
+        out |= {c: rank_correlation(ranked, c, "_ry") for c in whole}
+    return out
 
 
 CORRELATION = "variable string, n long, r double, ci_low double, ci_high double, p double, p_text string, stars string"
@@ -355,9 +381,10 @@ def correlate_with(
 ) -> DataFrame:
     """Correlation with the target, Fisher interval and p, strongest first."""
     rows = []
+    ranked = spearman_many(df, target, columns) if method == "spearman" else {}
     for c in columns:
         if method == "spearman":
-            n, r = spearman(df, c, target)
+            n, r = ranked[c]
         else:
             x, y = v.finite(F.col(c)), v.finite(F.col(target))
             both = x.isNotNull() & y.isNotNull()
@@ -387,8 +414,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "spe
         found = df.agg(*exprs).first().asDict() if exprs else {}
         rows = [(*k.split("|"), r) for k, r in found.items()]
     else:
-        for i, a in enumerate(columns):
-            rows += [(a, b, spearman(df, a, b)[1]) for b in columns[i + 1 :]]
+        for i, a in enumerate(columns[:-1]):
+            rest = list(columns[i + 1 :])
+            rows += [(a, b, r) for b, (_, r) in spearman_many(df, a, rest).items()]
     rows += [(c, c, 1.0) for c in columns]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 

@@ -442,11 +442,11 @@ def normality(spark, sf):
 
 
 # ---------------------------------------------------------------- resampling
-POISSON_SQL = " + ".join(f"CASE WHEN u >= {b!r} THEN 1 ELSE 0 END" for b in resample.POISSON_CDF)
+POISSON_SQL = " + ".join(f"CASE WHEN u >= '{b}' THEN 1 ELSE 0 END" for b in resample.POISSON_HEX)
 
 
 def poisson_sql(source: str, row_id: str, reps: int) -> str:
-    return f"""u AS (SELECT q.*, i AS rep, CAST('0x' || substr(md5('42|' || CAST(i // 4 AS VARCHAR) || '|' || CAST({row_id} AS VARCHAR)), CAST(1 + 8 * (i % 4) AS BIGINT), 8) AS BIGINT) / 4294967296.0 AS u FROM {source} q, range({reps}) r(i)),
+    return f"""u AS (SELECT q.*, i AS rep, substr(md5('42|' || CAST(i AS VARCHAR) || '|' || CAST({row_id} AS VARCHAR)), 1, 8) AS u FROM {source} q, range({reps}) r(i)),
         w AS (SELECT *, {POISSON_SQL} AS w FROM u)"""
 
 
