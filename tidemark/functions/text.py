@@ -8,6 +8,8 @@ from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 BUCKETS = 4096
 
 
@@ -23,26 +25,17 @@ def bucket(token: Column, buckets: int = BUCKETS) -> Column:
 
 
 def hashed_words(df: DataFrame, row_id: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """(row, bucket, log1p count) for whole texts, without a shuffle.
+    """(row, bucket, log1p count) for whole texts.
 
-    All words of a text are in one row already: its bucket array is sorted and run
-    lengths are differences between the places where the value changes.
+    Hashing stays in compiled code on exploded words, and since a text is read by one
+    task the partial aggregate already holds its final counts: only distinct
+    (row, bucket) pairs are exchanged.
     """
-    ids = df.select(row_id, F.array_sort(F.transform(tokens(F.col(text)), lambda t: bucket(t, buckets))).alias("_b"))
-    last = F.size("_b") - 1
-    places = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i == last) | (F.get(F.col("_b"), i) != F.get(F.col("_b"), i + 1)),
-    )
-    ends = ids.filter(F.size("_b") > 0).withColumn("_e", places)
-    runs = F.transform(
-        F.col("_e"),
-        lambda e, k: F.struct(
-            F.get(F.col("_b"), e).alias("bucket"),
-            F.log1p((e - F.coalesce(F.get(F.col("_e"), k - 1), F.lit(-1))).cast("double")).alias("weight"),
-        ),
+    words = spread(df.select(row_id, text)).select(row_id, F.explode(tokens(F.col(text))).alias("token"))
+    counts = words.groupBy(row_id, bucket(F.col("token"), buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return ends.select(row_id, F.explode(runs).alias("r")).select(row_id, "r.bucket", "r.weight")
+    return counts.select(row_id, "bucket", F.log1p(F.col("n").cast("double")).alias("weight"))
 
 
 def join_text(columns: Sequence[str]) -> tuple[Column, Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators import metrics
 from tidemark.operators.ordering import chunk_edges, positions
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, spread
 
 # Cumulative Poisson(1) probabilities; a draw is the number passed.
 POISSON_CDF = (
@@ -37,7 +37,7 @@ def poisson_weight(seed: int, rep: Column, row_id: Column) -> Column:
 def replicate_rows(df: DataFrame, row_id: str, replicates: int, seed: int = 42) -> DataFrame:
     """Row copies (rep, w) with positive weight; a narrow step before a combinable sum."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    copies = df.withColumn("rep", reps)
+    copies = spread(df).withColumn("rep", reps)
     return copies.withColumn("w", poisson_weight(seed, F.col("rep"), F.col(row_id))).filter("w > 0")
 
 

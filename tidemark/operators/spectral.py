@@ -41,14 +41,6 @@ def check_groups(windows: DataFrame, keys: Sequence[str], size_us: int) -> None:
         raise ValueError(f"a window holds {worst} samples, more than {MAX_RATE_HZ:g} Hz can give")
 
 
-def windowed(df: DataFrame, t: str, size_us: int, step_us: int, wanted: DataFrame | None, series) -> DataFrame:
-    """Window copies, restricted to wanted windows (those that have a target) if given."""
-    windows = sliding(df, t, size_us, step_us)
-    if wanted is not None:
-        windows = windows.join(wanted, [*series, "window_start"], "left_semi")
-    return windows
-
-
 def window_arrays(
     df: DataFrame, series: Sequence[str], t: str, value: str, size_us: int, step_us: int,
     tie: str | None, wanted: DataFrame | None,
@@ -56,7 +48,7 @@ def window_arrays(
     """One row per series and window: samples in time order as an array, and the rate."""
     order = [t] + ([tie] if tie else [])
     narrow = df.select(*series, *order, v.finite(F.col(value)).alias(value), "fs").filter(F.col(value).isNotNull())
-    windows = windowed(narrow, t, size_us, step_us, wanted, series)
+    windows = sliding(narrow, t, size_us, step_us, wanted)
     keys = [*series, "window_start"]
     check_groups(windows, keys, size_us)
     sample = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x"))))

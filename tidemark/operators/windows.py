@@ -22,15 +22,25 @@ MINUTE = 60 * v.MICROS
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def sliding(df: DataFrame, t: str, size_us: int, step_us: int) -> DataFrame:
-    """One copy of a row per window that contains it; windows start on step multiples."""
+def sliding(
+    df: DataFrame, t: str, size_us: int, step_us: int, wanted: DataFrame | None = None
+) -> DataFrame:
+    """One copy of a row per window that contains it; windows start on step multiples.
+
+    ``wanted`` (window_start plus any keys) keeps only windows that have a target, before
+    anything is aggregated.
+    """
     last = (F.col(t) - F.pmod(F.col(t), F.lit(step_us))).cast("long")
     copies = -(-size_us // step_us)
     starts = F.array(*[last - F.lit(i * step_us).cast("long") for i in range(copies)])
     fits = F.filter(starts, lambda s: s + F.lit(size_us) > F.col(t))
-    return df.withColumn("window_start", F.explode(fits)).withColumn(
+    copies_of = df.withColumn("window_start", F.explode(fits)).withColumn(
         "window_end", F.col("window_start") + F.lit(size_us).cast("long")
     )
+    if wanted is None:
+        return copies_of
+    on = [c for c in wanted.columns if c in copies_of.columns]
+    return copies_of.join(wanted, on, "left_semi")
 
 
 def within_session(
@@ -83,6 +93,7 @@ def basic_stats(
     step_us: int,
     tie: str | None = None,
     rows_per_chunk: int | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Distribution and trend of ``value`` per series and window; windows of n >= 3.
 
@@ -95,7 +106,7 @@ def basic_stats(
     clean = df.withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
     edges = chunk_edges(clean, t, rows_per_chunk)
     placed = positions(clean.select(*series, *order, value), series, order, "_pos", edges)
-    windows = sliding(placed, t, size_us, step_us)
+    windows = sliding(placed, t, size_us, step_us, wanted)
     keys = [*series, "window_start", "window_end"]
     columns = stats_columns(value, "_pos", F.col("_pos"))
     if edges:
@@ -156,11 +167,12 @@ def hrv_time(
     step_us: int,
     tie: str | None = None,
     rows_per_chunk: int | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Time-domain variability of beat intervals (ms) per window of at least ten beats."""
     kept = df.withColumn(rr, v.finite(F.col(rr))).filter(plausible(F.col(rr), 300, 2000))
     prior = _with_previous(kept, series, t, rr, tie, rows_per_chunk)
-    windows = sliding(prior, t, size_us, step_us)
+    windows = sliding(prior, t, size_us, step_us, wanted)
     inside = F.col(f"prev_{t}") >= F.col("window_start")
     diff = F.when(inside, F.col(rr) - F.col(f"prev_{rr}"))
     eps = F.lit(1e-12)
@@ -190,6 +202,7 @@ def movement(
     step_us: int,
     tie: str | None = None,
     rows_per_chunk: int | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate movement features per window: rms, mean abs deviation, activity, crossings.
 
@@ -198,7 +211,7 @@ def movement(
     """
     clean = df.withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
     prior = _with_previous(clean, series, t, value, tie, rows_per_chunk)
-    windows = sliding(prior, t, size_us, step_us)
+    windows = sliding(prior, t, size_us, step_us, wanted)
     keys = [*series, "window_start", "window_end"]
     level = windows.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")

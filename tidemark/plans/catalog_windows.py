@@ -453,9 +453,8 @@ def segment_scan(spark, sf):
         SELECT vec_id, {rounded_sql(STATS)} FROM z""",
 )
 def segment_array_stats(spark, sf):
-    flat = segments.flatten(segments.usable_segments(segment_table(spark, sf))).select(F.col("segment_no").alias("vec_id"), "eda")
-    out = segments.array_stats(flat, "eda")
-    return out.select("vec_id", *[(F.round(f"eda_{c}", 5) + 0.0).alias(c) for c in STATS])
+    out = segments.segment_features(segment_table(spark, sf))
+    return out.select(F.col("segment_no").alias("vec_id"), *[(F.round(F.col(f"eda_{c}") + NUDGE, 5) + 0.0).alias(c) for c in STATS])
 
 
 @query(

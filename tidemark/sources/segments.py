@@ -1,8 +1,8 @@
 """Nested five-minute segments: scan, inventory, row-local features.
 
-A segment holds its signals as arrays, so its features need no shuffle: statistics are
-array expressions in the JVM, spectra and peaks an Arrow batch function over the few
-waveform arrays.
+A segment holds its signals as arrays, so its features need no shuffle: one Arrow batch
+function turns the arrays of a row into numbers. A row is one five-minute segment, so the
+arrays are bounded by the sensors' rates.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals as s
 from tidemark.functions import values as v
 from tidemark.operators.clean import top_per_key
+from tidemark.session import spread
 
 SEGMENT_MINUTES = 5.0
 # Fallback sampling rates (Hz) per channel.
@@ -82,78 +83,6 @@ def axis_norm(*axes: Column) -> Column:
     return F.when(present & (shortest > 0), F.transform(total, lambda x: F.sqrt(x)))
 
 
-def array_rate(times: Column, fallback: float) -> Column:
-    """1 / median positive time step under ten seconds, or the nominal rate."""
-    us = F.transform(times, lambda t: v.epoch_micros(t))
-    steps = F.zip_with(
-        F.slice(us, F.lit(2), F.greatest(F.size(us) - 1, F.lit(0))),
-        F.slice(us, F.lit(1), F.greatest(F.size(us) - 1, F.lit(0))),
-        lambda b, a: (b - a) / F.lit(1e6),
-    )
-    kept = F.array_sort(F.filter(steps, lambda d: (d > 0) & (d < 10)))
-    n = F.size(kept)
-    low = F.get(kept, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(kept, F.floor(n / 2).cast("int"))
-    usable = (F.size(times) >= 5) & (n >= 3)
-    return F.coalesce(F.when(usable, F.lit(2.0) / (low + high)), F.lit(float(fallback)))
-
-
-def _quantile(sorted_values: Column, n: Column, p: float) -> Column:
-    h = (n - 1) * F.lit(p)
-    low = F.get(sorted_values, F.floor(h).cast("int"))
-    high = F.get(sorted_values, F.ceil(h).cast("int"))
-    return low + (high - low) * (h - F.floor(h))
-
-
-def array_stats(df: DataFrame, name: str) -> DataFrame:
-    """Replace array column ``name`` by ``name_mean`` ... ``name_kurtosis``.
-
-    Staged so that each level is computed once: finite values, their mean, then moments.
-    """
-    x, z, n, mean = (f"_{name}_{p}" for p in ("x", "z", "n", "mean"))
-    values = F.filter(
-        F.transform(F.col(name), lambda e: e.cast("double")),
-        lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))),
-    )
-    zero = F.lit(0.0)
-    staged = df.withColumn(x, values).withColumns(
-        {n: F.size(x), z: F.array_sort(F.col(x)), mean: F.aggregate(x, zero, lambda a, e: a + e) / F.size(x)}
-    )
-
-    def moment(k: int) -> Column:
-        def add(a, e):
-            d = e - F.col(mean)
-            out = d * d
-            for _ in range(k - 2):
-                out = out * d
-            return a + out
-
-        return F.aggregate(F.col(x), zero, add) / F.col(n)
-
-    m2, m3, m4, sxy = (f"_{name}_{p}" for p in ("m2", "m3", "m4", "sxy"))
-    tilt = F.aggregate(
-        F.zip_with(F.col(x), F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda e, i: (i - (F.col(n) - 1) / 2.0) * (e - F.col(mean))),
-        zero, lambda a, e: a + e,
-    )
-    staged = staged.withColumns({m2: moment(2), m3: moment(3), m4: moment(4), sxy: tilt})
-    size, some = F.col(n), F.col(n) >= 3
-    shaped = (size >= 8) & (F.sqrt(m2) > 1e-12)
-    first, last = F.get(F.col(x), F.lit(0)), F.get(F.col(x), size - 1)
-    low, high = F.get(F.col(z), F.lit(0)), F.get(F.col(z), size - 1)
-    out = {
-        "mean": F.col(mean), "std": F.sqrt(m2), "min": low, "max": high,
-        "median": _quantile(F.col(z), size, 0.5),
-        "iqr": _quantile(F.col(z), size, 0.75) - _quantile(F.col(z), size, 0.25),
-        "range": high - low,
-        "slope": F.when(size >= 5, F.col(sxy) / (size * (size * size - 1) / 12.0)).otherwise(zero),
-        "last": last, "delta": last - first,
-        "skew": F.when(shaped, F.col(m3) / F.pow(m2, F.lit(1.5))),
-        "kurtosis": F.when(shaped, F.col(m4) / (F.col(m2) * F.col(m2)) - 3.0),
-    }
-    done = staged.withColumns({f"{name}_{k}": F.when(some, c) for k, c in out.items()})
-    return done.drop(name, x, z, n, mean, m2, m3, m4, sxy)
-
-
 # Outputs of the batch function, in order.
 WAVE_FEATURES = (
     [f"ecg_{k}" for k in ("total_power", "bandpower_0.5_4hz", "bandpower_0.5_4hz_rel", "bandpower_4_15hz", "bandpower_4_15hz_rel", "bandpower_15_40hz", "bandpower_15_40hz_rel")]
@@ -192,6 +121,7 @@ def _tonic(x: np.ndarray) -> dict[str, float]:
 
 
 def _wave_row(row: dict, use_ecg: bool) -> dict[str, float]:
+    """Every feature of one segment, named ``channel_feature``."""
     out: dict[str, float] = {}
 
     def put(prefix: str, found: dict[str, float] | None):
@@ -201,32 +131,45 @@ def _wave_row(row: dict, use_ecg: bool) -> dict[str, float]:
         x = row.get(name)
         return None if x is None or len(x) == 0 else np.asarray(x, dtype=float)
 
-    ecg, fs = signal("ecg"), row.get("ecg_fs")
-    if ecg is not None and use_ecg:
-        put("ecg", s.ecg_bands(ecg, fs))
-        rr = s.beat_intervals(ecg, fs)
-        put("hrv", s.hrv(rr) if rr is not None else None)
-    for name, fn in (("resp", s.breathing), ("accel", _movement), ("e4acc", _movement)):
+    waves = {"resp": s.breathing, "accel": _movement, "e4acc": _movement}
+    for name in CHANNELS:
         x = signal(name)
-        put(name, fn(x, row[f"{name}_fs"]) if x is not None else None)
-    bvp = signal("bvp")
-    put("ppg", s.pulse(bvp, row["bvp_fs"]) if bvp is not None else None)
-    eda = signal("eda")
-    put("eda", _tonic(eda) if eda is not None else None)
+        if x is None or (name == "ecg" and not use_ecg):
+            continue
+        fs = s.sampling_rate(row.get(f"{name}_t"), RATES.get(name, 1.0))
+        # Waveforms shorter than their minimum length give no statistics either.
+        shortest = {"ecg": 5, "resp": 10, "accel": 5, "e4acc": 5}.get(name, 0)
+        if s.finite(x).size >= int(fs * shortest):
+            put(name, s.basic_stats(x))
+        if name in waves:
+            put(name, waves[name](x, fs))
+        elif name == "bvp":
+            put("ppg", s.pulse(x, fs))
+        elif name == "eda":
+            put("eda", _tonic(x))
+        elif name == "ecg":
+            put("ecg", s.ecg_bands(x, fs))
+            rr = s.beat_intervals(x, fs)
+            put("hrv", s.hrv(rr) if rr is not None else None)
     return out
 
 
+CHANNELS = (*WAVES, *AXES, *PLAIN)
+
+
 def flatten(df: DataFrame) -> DataFrame:
-    """Nested segment to one array column per channel plus a rate per waveform."""
+    """Nested segment to one array column per channel, times of waveforms in microseconds."""
     columns = {}
+
+    def clock(path: str) -> Column:
+        return F.transform(F.col(path), lambda t: v.epoch_micros(t))
+
     for name, (values, times) in WAVES.items():
         if has_path(df, values):
-            columns[name] = F.col(values)
-            columns[f"{name}_fs"] = array_rate(F.col(times), RATES[name])
+            columns |= {name: F.col(values), f"{name}_t": clock(times)}
     for name, (axes, node) in AXES.items():
         if has_path(df, f"{node}.{axes[0]}"):
-            columns[name] = axis_norm(*[F.col(f"{node}.{a}") for a in axes])
-            columns[f"{name}_fs"] = array_rate(F.col(f"{node}.Time"), RATES[name])
+            columns |= {name: axis_norm(*[F.col(f"{node}.{a}") for a in axes]), f"{name}_t": clock(f"{node}.Time")}
     for name, path in PLAIN.items():
         if has_path(df, path):
             columns[name] = F.col(path)
@@ -237,27 +180,21 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def segment_features(df: DataFrame, use_ecg: bool = True) -> DataFrame:
-    """One wide feature row per usable segment, without a shuffle."""
-    flat = flatten(usable_segments(df))
+    """One wide feature row per usable segment, without a shuffle of its own."""
+    flat = flatten(usable_segments(spread(df)))
     if not use_ecg:
-        flat = flat.drop("ecg", "ecg_fs")
+        flat = flat.drop("ecg", "ecg_t")
     keys = ["subject_id", "segment_no", "ts", "glucose_now"]
-    arrays = [c for c in flat.columns if c not in keys and not c.endswith("_fs")]
-    carried = [c for c in ("ecg", "resp", "accel", "e4acc", "bvp", "eda") if c in arrays]
-    rates = [f"{c}_fs" for c in carried if f"{c}_fs" in flat.columns]
-    stats = flat.withColumns({f"_w_{c}": F.col(c) for c in carried})
-    for name in arrays:
-        stats = array_stats(stats, name)
-    kept = [c for c in stats.columns if not c.startswith("_w_") and not c.endswith("_fs")]
-    schema = stats.select(*kept).schema
-    for name in WAVE_FEATURES:
+    names = [f"{c}_{k}" for c in CHANNELS if c in flat.columns for k in s.STATS] + list(WAVE_FEATURES)
+    schema = flat.select(*keys).schema
+    for name in names:
         schema = schema.add(name, "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            waves = batch[[f"_w_{c}" for c in carried] + rates].rename(columns=lambda c: c.removeprefix("_w_"))
-            found = [_wave_row(r, use_ecg) for r in waves.to_dict("records")]
-            more = pd.DataFrame(found, index=batch.index).reindex(columns=WAVE_FEATURES).astype(float)
-            yield pd.concat([batch[kept], more], axis=1)
+            found = [_wave_row(row, use_ecg) for row in batch.to_dict("records")]
+            more = pd.DataFrame(found, index=batch.index).reindex(columns=names).astype(float)
+            yield pd.concat([batch[keys], more], axis=1)
 
-    return stats.mapInPandas(run, schema)
+    out = flat.mapInPandas(run, schema)
+    return out.select(*keys, *[v.finite(F.col(f"`{n}`")).alias(n) for n in names])

@@ -157,14 +157,14 @@ def signal_times(rows: DataFrame, text: str, rate: Column) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """signals(subject_id, cohort, kind, file_id, row_pos, t_us, channel, value).
+    """signals(subject_id, cohort, kind, file_id, row_pos, t_us, ordinal, channel, value).
 
     ``files`` is the discovery table; its paths (metadata) are listed on the driver.
     """
     wanted = files.filter(F.col("kind").isin(*kinds))
     paths = [r["path"] for r in wanted.select("path").collect()]
     if not paths:
-        schema = "subject_id string, cohort string, kind string, file_id string, row_pos long, t_us long, channel string, value double"
+        schema = "subject_id string, cohort string, kind string, file_id string, row_pos long, t_us long, ordinal int, channel string, value double"
         return spark.createDataFrame([], schema)
     lines = numbered_lines(spark, paths).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     long = cells(lines)
@@ -177,7 +177,7 @@ def read_signals(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) ->
     timed = signal_times(tagged, "stamp", rate)
     values = long.filter(~is_time).withColumn("value", v.finite(F.expr("try_cast(text as double)")))
     return timed.join(values, ["path", "row_pos"]).select(
-        "subject_id", "cohort", "kind", F.col("path").alias("file_id"), "row_pos", "t_us", "channel", "value"
+        "subject_id", "cohort", "kind", F.col("path").alias("file_id"), "row_pos", "t_us", "ordinal", "channel", "value"
     )
 
 
