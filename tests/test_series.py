@@ -202,3 +202,20 @@ def test_sensor_tree_to_windows(spark, tmp_path):
         experiments.sensor_windows(spark, str(tmp_path)), [c for c in out.columns if c.startswith(("sum", "accel"))], fit_on="all"
     )
     assert "sum_hr_mean" in kept and "accel_rms" not in kept and pruned.count() == 18
+
+
+def test_line_numbers_survive_splits(spark, tmp_path):
+    folder = tmp_path / "with space+plus"
+    folder.mkdir()
+    for name, rows in (("a.csv", 3000), ("b.csv", 1)):
+        (folder / name).write_text("\ufeffx,y\n" + "".join(f"{i},{i * 2}\n" for i in range(rows)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = sensors.numbered_lines(spark, str(folder)).cache()
+        assert lines.select("path").distinct().count() == 2
+        got = lines.filter(F.col("path").endswith("a.csv")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (got["line"].str.split(",").str[0].astype(int) == got["row_pos"]).all() and len(got) == 3000
+    assert set(got["head"]) == {"x,y"} and str(folder / "a.csv") in set(got["path"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import Running, chunk_edges, join_on, positions, running
+from tidemark.operators.ordering import Running, chunk_edges, join_on, keyed_rows, positions, running
 
 
 def interpolate_at(
@@ -25,10 +25,11 @@ def interpolate_at(
 
     NULL outside the series and when the nearer neighbour is farther than ``max_gap_us``.
     Series and probes are united and each probe takes the latest point before and the
-    earliest after it, both running aggregates, so no range join is needed.
+    earliest after it, both running aggregates, so no range join is needed. Probes that are
+    costly to compute should be checkpointed first: chunk sizes are taken from both sides.
     """
     keys = list(keys)
-    points = series.select(
+    points = keyed_rows(series, keys).select(
         *keys, F.col(ts).alias("_t"), F.lit(0).alias("_kind"),
         F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_point"),
         F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("r")).schema["r"].dataType).alias("_row"),
@@ -38,8 +39,8 @@ def interpolate_at(
         F.lit(None).cast(points.schema["_point"].dataType).alias("_point"),
         F.struct(*probes.columns).alias("_row"),
     )
-    edges = chunk_edges(series, ts, rows_per_chunk)
     both = points.unionByName(asked)
+    edges = chunk_edges(both, "_t", rows_per_chunk)
     placed = running(
         both, keys, ["_t", "_kind"],
         {"_prev": Running("max", F.col("_point")), "_next": Running("min", F.col("_point"), reverse=True)},
@@ -73,7 +74,7 @@ def horizon_pairs(
     series spreads over all tasks.
     """
     order = [ts] + ([tie] if tie else [])
-    placed = positions(df, keys, order, "_pos", rows_per_chunk=rows_per_chunk)
+    placed = positions(keyed_rows(df, keys), keys, order, "_pos", rows_per_chunk=rows_per_chunk)
     later = placed.select(
         *keys, (F.col("_pos") - steps).alias("_pos"), F.col(ts).alias("target_time"),
         F.col(value).alias("target"),

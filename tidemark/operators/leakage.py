@@ -83,8 +83,13 @@ def deterministic_maps(df: DataFrame, target: str, columns: Sequence[str]) -> Da
     """Columns of 2 to 50 values where each value has at most one target value.
 
     One value maps to one target exactly when its smallest and largest target agree, so
-    two combinable aggregates replace a distinct count.
+    two combinable aggregates replace a distinct count. Columns an approximate count puts
+    far above the bound are reported without being grouped.
     """
+    columns = list(columns)
+    rough = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    crowded = {c: rough[i] for i, c in enumerate(columns) if rough[i] > 100}
+    columns = [c for c in columns if c not in crowded]
     y = F.when(~v.missing(df, target), F.col(f"`{target}`"))
     per_value = None
     for c in columns:
@@ -94,13 +99,18 @@ def deterministic_maps(df: DataFrame, target: str, columns: Sequence[str]) -> Da
             .select(F.lit(c).alias("column"), "single")
         )
         per_value = part if per_value is None else per_value.unionByName(part)
+    skipped = df.sparkSession.createDataFrame(
+        [(c, n, False) for c, n in crowded.items()], "column string, distinct long, deterministic boolean"
+    )
+    if per_value is None:
+        return skipped
     per_column = per_value.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"), F.bool_and("single").alias("single")
     )
     return per_column.select(
         "column", "distinct",
         (F.col("distinct").between(2, 50) & F.col("single")).alias("deterministic"),
-    )
+    ).unionByName(skipped)
 
 
 def target_correlations(

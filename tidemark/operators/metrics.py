@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as v
 from tidemark.operators.clean import MAX_CLASSES
-from tidemark.operators.ordering import Running, exact_quantiles, running
+from tidemark.operators.ordering import Running, chunk_edges, exact_quantiles, running
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -146,7 +146,7 @@ def score_table(
     specs = {
         "tp": Running("sum", F.col("pos"), reverse=True), "fp": Running("sum", F.col("neg"), reverse=True),
     }
-    return running(counts, keys, ["score"], specs, rows_per_chunk=rows_per_chunk)
+    return running(counts, keys, ["score"], specs, chunk_edges(df, score, rows_per_chunk))
 
 
 def ranking(

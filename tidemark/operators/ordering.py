@@ -19,19 +19,31 @@ from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1_000_000
 CHUNK = "_chunk"
+KEY = "_series"
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi join that keeps the left side's key columns."""
+    """Equi join on equally named columns, keeping the left side's.
+
+    Plain equality, so a partitioning of the left side on the keys is used again. Series
+    keys are never NULL here; see ``keyed_rows``.
+    """
     renamed = right
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"_r_{key}")
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(renamed[f"_r_{key}"])
+        condition = condition & (left[key] == renamed[f"_r_{key}"])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def keyed_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to a series; one without an id is no part of any."""
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())  # reaches the scan, unlike dropna
+    return df
+
+
 def chunk_edges(df: DataFrame, column: str, rows_per_chunk: int | None = None) -> list[float]:
     """Inner chunk bounds along a numeric column; empty when one chunk is enough."""
     size = rows_per_chunk or ROWS_PER_CHUNK
@@ -86,42 +98,43 @@ def running(
     keys, order = list(keys), list(order)
     if edges is None:
         edges = chunk_edges(df, order[0], rows_per_chunk)
-    cut = with_chunk(df, order[0], edges)
 
-    def frame(by: Window, reverse: bool, inclusive: bool, columns: list[str]):
-        ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
-        return by.orderBy(*ordering).rowsBetween(
-            Window.unboundedPreceding, 0 if inclusive else -1
+    def over(by: Sequence[str], columns: Sequence[str], spec: Running, inclusive: bool):
+        ordering = [F.col(c).desc() if spec.reverse else F.col(c).asc() for c in columns]
+        upper = 0 if inclusive else -1
+        return Window.partitionBy(*by).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, upper)
+
+    def local(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        return rows.withColumns(
+            {n: s.aggregate(s.value).over(over(by, order, s, s.inclusive)) for n, s in specs.items()}
         )
 
-    local_by = Window.partitionBy(*keys, CHUNK)
-    local = cut
-    for name, spec in specs.items():
-        over = frame(local_by, spec.reverse, spec.inclusive, order)
-        local = local.withColumn(name, spec.aggregate(spec.value).over(over))
     if not edges:
+        out = local(df, keys or [F.lit(0)])
         zero = {n: F.coalesce(F.col(n), F.lit(0)) for n, s in specs.items() if s.kind == "sum"}
-        return local.withColumns(zero).drop(CHUNK) if zero else local.drop(CHUNK)
+        return out.withColumns(zero) if zero else out
 
-    totals = cut.groupBy(*keys, CHUNK).agg(
+    # One struct key: NULL fields compare equal in it, and window, totals and join agree on
+    # the partitioning, so rows are exchanged once.
+    cut = with_chunk(df, order[0], edges).withColumn(KEY, F.struct(F.lit(0).alias("_"), *keys))
+    totals = cut.groupBy(KEY, CHUNK).agg(
         *[spec.aggregate(spec.value).alias(f"_t_{name}") for name, spec in specs.items()]
     )
-    carry_by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     carried = totals.select(
-        *keys,
-        CHUNK,
+        F.col(KEY).alias("_r_key"),
+        F.col(CHUNK).alias("_r_chunk"),
         *[
-            spec.aggregate(F.col(f"_t_{name}"))
-            .over(frame(carry_by, spec.reverse, False, [CHUNK]))
-            .alias(f"_c_{name}")
+            spec.aggregate(F.col(f"_t_{name}")).over(over([KEY], [CHUNK], spec, False)).alias(f"_c_{name}")
             for name, spec in specs.items()
         ],
     )
-    joined = join_on(local, carried, [*keys, CHUNK])
-    merged = {
-        name: spec.merge(F.col(f"_c_{name}"), F.col(name)) for name, spec in specs.items()
-    }
-    return joined.withColumns(merged).drop(CHUNK, *[f"_c_{name}" for name in specs])
+    rows = local(cut, [KEY, CHUNK])
+    same = (rows[KEY] == carried["_r_key"]) & (rows[CHUNK] == carried["_r_chunk"])
+    joined = rows.join(carried, same, "left")
+    merged = {name: spec.merge(F.col(f"_c_{name}"), F.col(name)) for name, spec in specs.items()}
+    return joined.withColumns(merged).drop(
+        KEY, CHUNK, "_r_key", "_r_chunk", *[f"_c_{name}" for name in specs]
+    )
 
 
 def previous(
@@ -250,7 +263,10 @@ def order_statistics(
     ]
     kept = df.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
     counted = kept.groupBy("p.state", "p.x").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(counted, ["state"], ["x"], {"upto": Running("sum", F.col("n"))})
+    small = max(s["inside"] for s in states) <= limit
+    placed = running(
+        counted, ["state"], ["x"], {"upto": Running("sum", F.col("n"))}, [] if small else None
+    )
     local = F.element_at(
         F.array(*[F.lit(s["k"] - s["below"]).cast("long") for s in states]), F.col("state") + 1
     )

@@ -79,7 +79,8 @@ def bootstrap_auc(
     counts = rows.groupBy("rep", F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(y, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(y, 0).otherwise(F.col("w"))).alias("neg")
     )
-    upto = metrics.running(counts, ["rep"], ["score"], {"below": metrics.Running("sum", F.col("neg"))})
+    edges = chunk_edges(df, score)
+    upto = metrics.running(counts, ["rep"], ["score"], {"below": metrics.Running("sum", F.col("neg"))}, edges)
     area = F.sum(F.col("pos").cast("double") * (F.col("below") - F.col("neg")) + F.col("pos") * F.col("neg") / 2.0)
     p, n = F.sum("pos"), F.sum("neg")
     return upto.groupBy("rep").agg(F.when((p > 0) & (n > 0), area / (p.cast("double") * n)).alias("value")).filter("value is not null")
@@ -203,25 +204,38 @@ def selection_stability(masks: DataFrame) -> DataFrame:
     )
 
 
-def pairwise_jaccard(masks: DataFrame) -> DataFrame:
-    """Jaccard of every two masks: shared features by a self join on the feature.
+def overlapping_jaccard(masks: DataFrame) -> DataFrame:
+    """Jaccard of mask pairs that share a feature, by a self join on the feature.
 
-    Masks are search results, a handful of rows each.
+    Masks are search results: as many as there were seeds or folds.
     """
     on = masks.filter("selected").select("mask", "feature")
     sizes = on.groupBy("mask").agg(F.count(F.lit(1)).alias("size"))
-    a, b = on.withColumnRenamed("mask", "a"), on.withColumnRenamed("mask", "b")
-    shared = a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    sa, sb = sizes.toDF("a", "size_a"), sizes.toDF("b", "size_b")
-    pairs = sa.join(sb, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").fillna(0, ["both"])
-    return pairs.withColumn("jaccard", F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both")))
+    sized = on.join(sizes, "mask")
+    a, b = sized.toDF("a", "feature", "size_a"), sized.toDF("b", "feature", "size_b")
+    shared = a.join(b, "feature").filter("a < b").groupBy("a", "b", "size_a", "size_b").agg(
+        F.count(F.lit(1)).alias("both")
+    )
+    return shared.withColumn("jaccard", F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both")))
 
 
 def jaccard_summary(masks: DataFrame) -> DataFrame:
+    """Mean and sd over all pairs; pairs without a shared feature count as zero."""
     sizes = masks.groupBy("mask").agg(F.sum(F.col("selected").cast("double")).alias("size"))
-    pairs = pairwise_jaccard(masks).agg(
-        F.avg("jaccard").alias("mean_jaccard"), F.coalesce(F.stddev_samp("jaccard"), F.lit(0.0)).alias("std_jaccard")
-    ).first()
-    return sizes.agg(F.count(F.lit(1)).alias("n_masks"), F.avg("size").alias("mean_selected")).withColumns(
-        {"mean_jaccard": F.lit(pairs[0]), "std_jaccard": F.lit(pairs[1])}
+    s = overlapping_jaccard(masks).agg(F.sum("jaccard"), F.sum(F.col("jaccard") * F.col("jaccard"))).first()
+    total, squares = s[0] or 0.0, s[1] or 0.0
+    # Two empty masks have no union; such pairs are left out, so only masks
+    # with a feature make pairs with each other, and an empty mask still pairs with those.
+    return sizes.agg(
+        F.count(F.lit(1)).alias("n_masks"), F.avg("size").alias("mean_selected"),
+        F.count_if(F.col("size") == 0).alias("_empty"),
+    ).withColumn(
+        "_pairs",
+        F.col("n_masks") * (F.col("n_masks") - 1) / 2 - F.col("_empty") * (F.col("_empty") - 1) / 2,
+    ).select(
+        "n_masks", "mean_selected", F.coalesce(F.lit(total) / F.nullif(F.col("_pairs"), F.lit(0.0)), F.lit(0.0)).alias("mean_jaccard"),
+        F.when(
+            F.col("_pairs") > 1,
+            F.sqrt(F.greatest(F.lit(0.0), (F.lit(squares) - F.lit(total) * F.lit(total) / F.col("_pairs")) / (F.col("_pairs") - 1))),
+        ).otherwise(F.lit(0.0)).alias("std_jaccard"),
     )

@@ -24,8 +24,8 @@ def fold_moments(
 ) -> dict[int, np.ndarray]:
     """Second-moment matrix of [1, columns] per fold, in one pass.
 
-    Each task multiplies its own rows and sends one matrix per fold; entries are summed
-    by key, so nothing but folds * columns^2 numbers reaches the driver.
+    Each task multiplies its own rows and sends one matrix per fold, so nothing but
+    folds * columns^2 numbers reaches the driver.
     """
     columns = list(columns)
     if len(columns) > MAX_FEATURES:
@@ -42,14 +42,23 @@ def fold_moments(
         for f, m in sums.items():
             yield pd.DataFrame({"fold": f, "row": range(len(m)), "entries": list(m)})
 
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for f, i, x in zip(batch["fold"], batch["row"], batch["entries"]):
+                sums[f, i] = sums.get((f, i), 0.0) + np.asarray(x)
+        if sums:
+            yield pd.DataFrame({"fold": [k[0] for k in sums], "row": [k[1] for k in sums], "entries": list(sums.values())})
+
     narrow = df.select(F.col(fold).cast("int").alias("_fold"), *[F.col(c).cast("double").alias(c) for c in columns])
-    parts = narrow.mapInPandas(partial, "fold int, row int, entries array<double>")
-    summed = parts.select("fold", "row", F.posexplode("entries").alias("col", "x")).groupBy("fold", "row", "col").agg(F.sum("x").alias("x"))
+    kind = "fold int, row int, entries array<double>"
+    # Rows of the matrix are summed as arrays, streaming, on the task that owns them.
+    summed = narrow.mapInPandas(partial, kind).repartition("fold", "row").mapInPandas(combine, kind)
     size = len(columns) + 1
     out: dict[int, np.ndarray] = {}
-    for f, i, j, x in summed.toPandas().itertuples(index=False):
-        out.setdefault(int(f), np.zeros((size, size)))[i, j] = x
-    return out
+    for r in summed.collect():
+        out.setdefault(r["fold"], np.zeros((size, size)))[r["row"]] = r["entries"]
+    return dict(sorted(out.items()))
 
 
 def solve_linear(m: np.ndarray, inputs: Sequence[int], outputs: Sequence[int], penalty: float = 1e-8) -> np.ndarray:

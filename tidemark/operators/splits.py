@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators.clean import class_labels
 from tidemark.operators.ordering import hash_cutoffs, order_statistics
+from tidemark.session import cut_lineage
 
 KINDS = ("time_series", "group", "stratified", "random")
 
@@ -54,7 +55,7 @@ def random_split(df: DataFrame, row_id: str, size: float = 0.2, seed: int = 42)
 
 
 def group_split(df: DataFrame, group: str, size: float = 0.2, seed: int = 42) -> DataFrame:
-    groups = df.select(group).distinct()
+    groups = cut_lineage(df.select(group).distinct())
     keyed = groups.withColumn("_h", v.hash_order(seed, F.col(group)))
     n = groups.count()
     if n < 2:
@@ -205,7 +206,7 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 42) -> Da
     are interchangeable, so each fold gets a quota per size and the hash order within a
     size decides which groups fill it.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")))
     histogram = {
         r["_size"]: r["n"]
         for r in sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()

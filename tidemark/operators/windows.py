@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators.clean import plausible
 from tidemark.operators.ordering import (
-    chunk_edges, grouped_quantiles, join_on, positions, previous,
+    Running, chunk_edges, grouped_quantiles, join_on, keyed_rows, positions, previous, running,
 )
 
 MINUTE = 60 * v.MICROS
@@ -103,7 +103,7 @@ def basic_stats(
     """
     series = list(series)
     order = [t] + ([tie] if tie else [])
-    clean = df.withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
+    clean = keyed_rows(df, series).withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
     edges = chunk_edges(clean, t, rows_per_chunk)
     placed = positions(clean.select(*series, *order, value), series, order, "_pos", edges)
     windows = sliding(placed, t, size_us, step_us, wanted)
@@ -138,7 +138,7 @@ def sampling_rates(
 ) -> DataFrame:
     """1 / median positive time step per series, or the fallback when too few remain."""
     order = [t] + ([tie] if tie else [])
-    prior = previous(df.select(*series, *order), series, order, [t], rows_per_chunk=rows_per_chunk)
+    prior = previous(keyed_rows(df, series).select(*series, *order), series, order, [t], rows_per_chunk=rows_per_chunk)
     step = (F.col(t) - F.col(f"prev_{t}")) / F.lit(float(v.MICROS))
     steps = prior.withColumn("_dt", F.when((step > 0) & (step < longest_s), step))
     sizes = steps.groupBy(*series).agg(F.count(F.lit(1)).alias("rows"), F.count("_dt").alias("deltas"))
@@ -154,7 +154,7 @@ def sampling_rates(
 
 def _with_previous(df, series, t, value, tie, rows_per_chunk) -> DataFrame:
     order = [t] + ([tie] if tie else [])
-    narrow = df.select(*series, *order, value)
+    narrow = keyed_rows(df, series).select(*series, *order, value)
     return previous(narrow, series, order, [t, value], rows_per_chunk=rows_per_chunk)
 
 
@@ -237,9 +237,8 @@ def tonic_phasic(
     The width differs per series, so the mean comes from prefix sums looked up by
     position; both lookups are joins on the unique (series, position).
     """
-    from tidemark.operators.ordering import Running, running
-
     specs = {"_pos": Running("sum", F.lit(1).cast("long")), "_cum": Running("sum", F.col(value))}
+    df = keyed_rows(df, series)
     placed = running(df, series, order, specs, rows_per_chunk=rows_per_chunk)
     sizes = df.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
     joined = join_on(placed, sizes, series, "inner").filter("_n > 8")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators import asof, clean, prep, spectral, windows
 from tidemark.plans.registry import query, table
+from tidemark.session import cut_lineage
 from tidemark.sources import segments, sensors
 
 HOUR = 3600 * v.MICROS
@@ -86,7 +87,7 @@ def window_features_target(spark, sf):
     """Flagship: sliding-window features of the signals with the future target value."""
     events = events_us(spark, sf)
     signal = events.filter("event_type <> 'purchase'")
-    stats = windows.basic_stats(signal, ["user_id"], "t", "value", 2 * DAY, DAY, "event_id")
+    stats = cut_lineage(windows.basic_stats(signal, ["user_id"], "t", "value", 2 * DAY, DAY, "event_id"))
     probes = stats.withColumn("probe_t", F.col("window_end") + DAY)
     targets = events.filter("event_type = 'purchase'").select("user_id", "t", "value")
     out = asof.interpolate_at(probes, targets, ["user_id"], "probe_t", "t", "value", DAY)
@@ -125,9 +126,9 @@ def window_naive_baseline(spark, sf):
 
 def window_features_target_rows(spark, sf):
     events = events_us(spark, sf)
-    stats = windows.basic_stats(
+    stats = cut_lineage(windows.basic_stats(
         events.filter("event_type <> 'purchase'"), ["user_id"], "t", "value", 2 * DAY, DAY, "event_id"
-    )
+    ))
     probes = stats.withColumn("probe_t", F.col("window_end") + DAY)
     targets = events.filter("event_type = 'purchase'").select("user_id", "t", "value")
     return asof.interpolate_at(probes, targets, ["user_id"], "probe_t", "t", "value", DAY).filter("target is not null")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import values as v
 from tidemark.operators.clean import dedupe_first
@@ -109,25 +107,33 @@ def limit_subjects(files: DataFrame, count: int | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- reads
-LINES = "path string, row_pos long, head string, line string"
-
-
-def _number_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            lines = content.decode("utf-8-sig", errors="replace").splitlines()
-            body = [(i, x) for i, x in enumerate(lines[1:]) if x.strip()]
-            for start in range(0, len(body), 50_000):
-                part = body[start : start + 50_000]
-                yield pd.DataFrame(
-                    {"path": path, "row_pos": [i for i, _ in part], "head": lines[0], "line": [x for _, x in part]}
-                )
-
-
 def numbered_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Lines with their position in the file, which a delimited scan does not promise."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_number_lines, LINES)
+    """(path, row_pos, head, line): body lines with their position in the file.
+
+    Large files are read in splits by several tasks. Lines are counted per split and each
+    split starts where the splits before it end, so no file has to fit into one task.
+    """
+    lines = spark.read.text(paths).select(
+        # The metadata path is an encoded URI; a plus sign in it is literal.
+        F.regexp_replace(
+            F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/"
+        ).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"),
+        F.col("value").alias("line"),
+    )
+    in_split = Window.partitionBy("path", "block").orderBy("seen")
+    local = lines.withColumn("_i", F.row_number().over(in_split) - 1)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n")).select(
+        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
+    )
+    placed = local.join(starts, ["path", "block"]).withColumn("_i", F.col("_i") + F.col("_start"))
+    heads = placed.filter("_i = 0").select("path", F.regexp_replace("line", "^\ufeff", "").alias("head"))
+    body = placed.filter("_i > 0").filter(F.trim("line") != "")
+    return body.join(heads, "path").select(
+        "path", (F.col("_i") - 1).cast("long").alias("row_pos"), "head", "line"
+    )
 
 
 def cells(lines: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def read_signals(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) ->
     if not paths:
         schema = "subject_id string, cohort string, kind string, file_id string, row_pos long, t_us long, ordinal int, channel string, value double"
         return spark.createDataFrame([], schema)
-    lines = numbered_lines(spark, paths).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    lines = numbered_lines(spark, paths)
     long = cells(lines)
     is_time = F.lower("channel").isin(*TIME_NAMES)
     stamps = long.groupBy("path", "row_pos").agg(F.min(F.when(is_time, F.col("text"))).alias("stamp"))
@@ -185,7 +191,7 @@ def read_targets(spark: SparkSession, files: DataFrame) -> DataFrame:
     """targets(subject_id, t_us, value): one value per subject and time, first file first."""
     wanted = files.filter("kind = 'target'")
     paths = [r["path"] for r in wanted.select("path").collect()]
-    lines = numbered_lines(spark, paths).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    lines = numbered_lines(spark, paths)
     long = cells(lines).withColumn("channel", F.lower("channel"))
     number = F.expr("try_cast(text as double)")
     named = F.col("channel").contains("glucose") | F.col("channel").isin("value", "glycemia", "bg")
