@@ -90,7 +90,7 @@ def test_grouped_quantiles(skewed):
 
 def test_hash_cutoffs_select_exact_counts(skewed):
     df, pdf = skewed
-    keyed = df.withColumn("h", v.hash_order(3, F.col("id"))).cache()
+    keyed = df.withColumn("h", v.hash_text(3, F.col("id"))).cache()
     for limit in (200_000, 3):
         cut = o.hash_cutoffs(keyed, "h", {"all": [0, 1, 777, 2999, 3000, 9999]}, limit=limit)["all"]
         counts = keyed.select(*[F.count_if(F.col("h") < c) for c in cut]).first()
@@ -101,3 +101,15 @@ def test_hash_cutoffs_select_exact_counts(skewed):
     for k in (7, 3):
         got = keyed.filter(F.col("key") == k).select(*[F.count_if(F.col("h") < c) for c in cuts[k]]).first()
         assert list(got) == wanted[k]
+
+
+def test_one_timestamp_holding_most_rows_is_cut_by_the_tie(spark):
+    n = 2000
+    pdf = pd.DataFrame({"id": np.arange(n), "k": 1, "t": np.where(np.arange(n) % 10 < 7, 500, np.arange(n))})
+    df = spark.createDataFrame(pdf)
+    cuts = o.chunk_edges(df, "t", 100, "id")
+    assert cuts.ties
+    chunks = o.with_chunk(df, "t", cuts).groupBy(o.CHUNK).count().toPandas()
+    assert chunks["count"].max() < 200
+    got = o.positions(df, ["k"], ["t", "id"], rows_per_chunk=100).toPandas().sort_values(["t", "id"])
+    assert (got["pos"].to_numpy() == np.arange(1, n + 1)).all()

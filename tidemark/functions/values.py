@@ -76,14 +76,15 @@ def normalise_name(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(column)), r"[\s_\-./]+", " ")
 
 
-def hash_order(seed: int, *columns: Column) -> Column:
-    """60-bit shuffle key of a stable row id: the same on any partitioning."""
+def hash_text(seed: int, *columns: Column) -> Column:
+    """Shuffle key of a stable row id, the same on any partitioning: 15 hex digits."""
     text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.substring(F.md5(text), 1, 15)
 
 
-def hash_uniform(seed: int, *columns: Column) -> Column:
-    return hash_order(seed, *columns) / F.lit(float(1 << 60))
+def hash_order(seed: int, *columns: Column) -> Column:
+    """The same key as a number, for orders that are cut into chunks."""
+    return F.conv(hash_text(seed, *columns), 16, 10).cast("long")
 
 
 def parse_wall_clock(column: Column) -> Column:

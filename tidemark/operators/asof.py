@@ -97,7 +97,7 @@ def session_islands(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Number overlapping or touching spans of a key as one session, starting at 0."""
-    edges = chunk_edges(spans, start, rows_per_chunk)
+    edges = chunk_edges(spans, start, rows_per_chunk, tie)
     order = [start, tie]
     reach = {"_reach": Running("max", F.col(end), inclusive=False)}
     marked = running(spans, keys, order, reach, edges).withColumn(

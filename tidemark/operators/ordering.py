@@ -2,7 +2,8 @@
 
 Rows are cut into *chunks* along the ordering column at bounds taken from
 approximate quantiles (literal numbers once computed, so recomputation after an
-executor loss gives the same chunks). A window function then runs per
+executor loss gives the same chunks). A value too frequent for one chunk is cut further
+along the next ordering column. A window function then runs per
 ``(keys, chunk)`` and what earlier chunks contribute is joined in from a table with
 one row per ``(keys, chunk)``. A key holding a third of all rows is thereby spread
 over a third of the chunks.
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 1_000_000
 CHUNK = "_chunk"
@@ -44,27 +47,74 @@ def keyed_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def chunk_edges(df: DataFrame, column: str, rows_per_chunk: int | None = None) -> list[float]:
-    """Inner chunk bounds along a numeric column; empty when one chunk is enough."""
+@dataclass(frozen=True)
+class Cuts:
+    """Chunk bounds along a column; ``ties`` cuts a very frequent value by the next one."""
+
+    edges: tuple[float, ...] = ()
+    ties: tuple[tuple[float, tuple[float, ...]], ...] = ()
+    tie: str | None = None
+
+    def __bool__(self) -> bool:
+        return bool(self.edges)
+
+    def __len__(self) -> int:
+        return len(self.edges)
+
+
+MAX_CHUNKS = 20_000  # keeps the bounds and the quantile state small; chunks grow instead
+
+
+def chunk_edges(
+    df: DataFrame, column: str, rows_per_chunk: int | None = None, tie: str | None = None
+) -> Cuts:
+    """Inner chunk bounds along a numeric column; empty when one chunk is enough.
+
+    A value that fills several chunks by itself (a default timestamp, say) gets its own
+    chunks along ``tie``, the next ordering column.
+    """
     size = rows_per_chunk or ROWS_PER_CHUNK
     total = df.select(F.count(column)).first()[0]
-    pieces = math.ceil(total / size)
+    pieces = min(MAX_CHUNKS, math.ceil(total / size))
     if pieces <= 1:
-        return []
+        return Cuts()
+    x = F.col(column).cast("double")
     cuts = [i / pieces for i in range(1, pieces)]
-    found = df.select(
-        F.percentile_approx(F.col(column).cast("double"), cuts, max(10_000, 4 * pieces))
-    ).first()[0]
-    return sorted(set(found))
+    found = df.select(F.percentile_approx(x, cuts, max(10_000, 4 * pieces))).first()[0]
+    edges = set(found)
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    if not heavy:
+        return Cuts(tuple(sorted(edges)))
+    edges |= {math.nextafter(value, math.inf) for value in heavy}
+    if tie is None or not isinstance(df.schema[tie].dataType, T.NumericType):
+        return Cuts(tuple(sorted(edges)))
+    share = [i / 100 for i in range(1, 100)]
+    y = F.percentile_approx(F.col(tie).cast("double"), share, 10_000)
+    rows = df.filter(x.isin(heavy)).groupBy(x.alias("x")).agg(y.alias("q")).collect()
+    ties = tuple((r["x"], tuple(sorted(set(r["q"])))) for r in rows)
+    return Cuts(tuple(sorted(edges)), ties, tie)
+
+
+def _cut(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
+    splits = [float("-inf"), *edges, float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="_chunk_on", outputCol=out, handleInvalid="keep")
+    numbered = cutter.transform(df.withColumn("_chunk_on", F.col(column).cast("double")))
+    return numbered.drop("_chunk_on").withColumn(out, F.col(out).cast("long"))
 
 
-def with_chunk(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
-    if not edges:
+def with_chunk(df: DataFrame, column: str, cuts: Cuts) -> DataFrame:
+    """Number the chunk of every row; numbers ascend with the ordering."""
+    if not cuts:
         return df.withColumn(CHUNK, F.lit(0))
-    splits = [float("-inf"), *edges, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="_chunk_on", outputCol=CHUNK, handleInvalid="keep")
-    cut = cutter.transform(df.withColumn("_chunk_on", F.col(column).cast("double")))
-    return cut.drop("_chunk_on").withColumn(CHUNK, F.col(CHUNK).cast("int"))
+    out = _cut(df, column, cuts.edges, CHUNK)
+    if not cuts.ties:
+        return out
+    x, y = F.col(column).cast("double"), F.col(cuts.tie).cast("double")
+    part = F.lit(0)
+    for value, edges in cuts.ties:
+        bounds = F.array(*[F.lit(e) for e in edges])
+        part = F.when(x == value, F.size(F.filter(bounds, lambda e: e <= y))).otherwise(part)
+    return out.withColumn(CHUNK, F.col(CHUNK) * 1000 + part)
 
 
 class Running:
@@ -88,7 +138,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     specs: Mapping[str, Running],
-    edges: Sequence[float] | None = None,
+    edges: Cuts | None = None,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Append running aggregates per key in ascending ``order``.
@@ -97,7 +147,7 @@ def running(
     """
     keys, order = list(keys), list(order)
     if edges is None:
-        edges = chunk_edges(df, order[0], rows_per_chunk)
+        edges = chunk_edges(df, order[0], rows_per_chunk, next(iter(order[1:]), None))
 
     def over(by: Sequence[str], columns: Sequence[str], spec: Running, inclusive: bool):
         ordering = [F.col(c).desc() if spec.reverse else F.col(c).asc() for c in columns]
@@ -143,14 +193,14 @@ def previous(
     order: Sequence[str],
     columns: Sequence[str],
     prefix: str = "prev_",
-    edges: Sequence[float] | None = None,
+    edges: Cuts | None = None,
     rows_per_chunk: int | None = None,
     following: bool = False,
 ) -> DataFrame:
     """Values of the neighbouring row of the same key (lag, or lead if ``following``)."""
     order, columns = list(order), list(columns)
     if edges is None:
-        edges = chunk_edges(df, order[0], rows_per_chunk)
+        edges = chunk_edges(df, order[0], rows_per_chunk, next(iter(order[1:]), None))
     if not edges:
         over = Window.partitionBy(*keys).orderBy(*order)
         move = F.lead if following else F.lag
@@ -168,7 +218,7 @@ def positions(
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "pos",
-    edges: Sequence[float] | None = None,
+    edges: Cuts | None = None,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """1-based position within the key."""
@@ -265,7 +315,7 @@ def order_statistics(
     counted = kept.groupBy("p.state", "p.x").agg(F.count(F.lit(1)).alias("n"))
     small = max(s["inside"] for s in states) <= limit
     placed = running(
-        counted, ["state"], ["x"], {"upto": Running("sum", F.col("n"))}, [] if small else None
+        counted, ["state"], ["x"], {"upto": Running("sum", F.col("n"))}, Cuts() if small else None
     )
     local = F.element_at(
         F.array(*[F.lit(s["k"] - s["below"]).cast("long") for s in states]), F.col("state") + 1
@@ -346,8 +396,8 @@ def grouped_quantiles(
 
 
 # ---------------------------------------------------------------- hash-order cutoffs
-HASH_BITS = 60
-STEP_BITS = 12
+PREFIX_DIGITS = 3
+TOP_HASH = "g"  # above every hexadecimal text
 
 
 def hash_cutoffs(
@@ -356,41 +406,38 @@ def hash_cutoffs(
     wanted: Mapping[object, Sequence[int]],
     by: str | None = None,
     limit: int = 200_000,
-) -> dict[object, list[int]]:
+) -> dict[object, list[str]]:
     """For each class and count k: the hash below which exactly its first k rows lie.
 
-    Radix selection: count by hash prefix, keep the one prefix each count falls into,
-    repeat on the next bits, and order only what is left. No row is moved; the caller
-    turns the cutoffs into a comparison.
+    Radix selection on hexadecimal text: count by prefix, keep the one prefix each count
+    falls into, repeat with a longer prefix, and order only what is left. No row is moved;
+    the caller turns the cutoffs into a comparison.
     """
     spark = df.sparkSession
     base = df.select(
         (F.col(by).cast("string") if by else F.lit("all")).alias("cls"),
         F.col(hash_column).alias("h"),
     )
-    top = 1 << HASH_BITS
-    result: dict[tuple[str, int], int] = {}
+    result: dict[tuple[str, int], str] = {}
     open_targets = []
     for cls, ks in wanted.items():
         for k in sorted(set(ks)):
             if k <= 0:
-                result[str(cls), k] = 0
+                result[str(cls), k] = ""
             else:
-                open_targets.append((str(cls), int(k), 0, 0))  # class, k, prefix, rows before
-    bits = 0
+                open_targets.append((str(cls), int(k), "", 0))  # class, k, prefix, rows before
 
     def target_frame(rows):
         return F.broadcast(
-            spark.createDataFrame(rows, "cls string, k long, prefix long, before long")
+            spark.createDataFrame(rows, "cls string, k long, prefix string, before long")
         )
 
+    digits = 0
     while open_targets:
-        bits += STEP_BITS
-        rest = HASH_BITS - bits
-        targets = target_frame(open_targets)
-        parent = F.shiftright("h", rest + STEP_BITS) if bits > STEP_BITS else F.lit(0).cast("long")
+        digits += PREFIX_DIGITS
+        parent = F.substring("h", 1, digits - PREFIX_DIGITS)
         counts = (
-            base.select("cls", parent.alias("prefix"), F.shiftright("h", rest).alias("bucket"))
+            base.select("cls", parent.alias("prefix"), F.substring("h", 1, digits).alias("bucket"))
             .groupBy("cls", "prefix", "bucket")
             .agg(F.count(F.lit(1)).alias("n"))
         )
@@ -400,7 +447,7 @@ def hash_cutoffs(
             .rowsBetween(Window.unboundedPreceding, 0)
         )
         crossed = (
-            counts.join(targets, ["cls", "prefix"])
+            counts.join(target_frame(open_targets), ["cls", "prefix"])
             .withColumn("upto", F.sum("n").over(over) + F.col("before"))
             .filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
             .select("cls", "k", "bucket", (F.col("upto") - F.col("n")).alias("before"), "n")
@@ -409,14 +456,14 @@ def hash_cutoffs(
         seen = {(r["cls"], r["k"]) for r in crossed}
         for cls, k, *_ in open_targets:
             if (cls, k) not in seen:
-                result[cls, k] = top  # k is the class size or more
+                result[cls, k] = TOP_HASH  # k is the class size or more
         open_targets = [(r["cls"], r["k"], r["bucket"], r["before"]) for r in crossed]
         if not crossed:
             break
-        if sum(r["n"] for r in crossed) > limit and rest > 0:
+        if sum(r["n"] for r in crossed) > limit and digits < 12:
             continue
         picked = (
-            base.withColumn("prefix", F.shiftright("h", rest))
+            base.withColumn("prefix", F.substring("h", 1, digits))
             .join(target_frame(open_targets), ["cls", "prefix"])
             .withColumn("rn", F.row_number().over(Window.partitionBy("cls", "k").orderBy("h")))
             .filter(F.col("rn") == F.col("k") - F.col("before") + 1)

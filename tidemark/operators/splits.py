@@ -48,7 +48,7 @@ def _check(rows: int) -> None:
 def random_split(df: DataFrame, row_id: str, size: float = 0.2, seed: int = 42) -> DataFrame:
     rows = df.count()
     _check(rows)
-    keyed = df.withColumn("_h", v.hash_order(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
     cut = hash_cutoffs(keyed, "_h", {"all": [math.ceil(size * rows)]})["all"][0]
     side = F.when(F.col("_h") < cut, "test").otherwise("train")
     return keyed.withColumn("split", side).drop("_h")
@@ -56,12 +56,12 @@ def random_split(df: DataFrame, row_id: str, size: float = 0.2, seed: int = 42)
 
 def group_split(df: DataFrame, group: str, size: float = 0.2, seed: int = 42) -> DataFrame:
     groups = cut_lineage(df.select(group).distinct())
-    keyed = groups.withColumn("_h", v.hash_order(seed, F.col(group)))
+    keyed = groups.withColumn("_h", v.hash_text(seed, F.col(group)))
     n = groups.count()
     if n < 2:
         raise ValueError("group split needs at least two groups")
     cut = hash_cutoffs(keyed, "_h", {"all": [math.ceil(size * n)]})["all"][0]
-    hashed = v.hash_order(seed, F.col(group))
+    hashed = v.hash_text(seed, F.col(group))
     return df.withColumn("split", F.when(hashed < cut, "test").otherwise("train"))
 
 
@@ -96,9 +96,9 @@ def stratified_split(
     sizes = _class_sizes(df, target)
     _check(sum(sizes.values()))
     quota = class_quotas(sizes, size)
-    keyed = df.withColumn("_h", v.hash_order(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
     cuts = hash_cutoffs(keyed, "_h", {str(c): [k] for c, k in quota.items()}, by=target)
-    bound = _by_class(target, {c: F.lit(cuts[str(c)][0]) for c in sizes}, F.lit(0))
+    bound = _by_class(target, {c: F.lit(cuts[str(c)][0]) for c in sizes}, F.lit(""))
     side = F.when(F.col("_h") < bound, "test").otherwise("train")
     return keyed.withColumn("split", side).drop("_h")
 
@@ -151,7 +151,7 @@ def random_folds(df: DataFrame, row_id: str, folds: int = 5, seed: int = 42) ->
     for size in _fold_sizes(rows, folds)[:-1]:
         upto += size
         ends.append(upto)
-    keyed = df.withColumn("_h", v.hash_order(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
     cuts = hash_cutoffs(keyed, "_h", {"all": ends})["all"]
     fold = sum([(F.col("_h") >= c).cast("int") for c in cuts], F.lit(0))
     return keyed.withColumn("fold", fold).drop("_h")
@@ -169,7 +169,7 @@ def stratified_folds(
         share = [len(range(start + (i - start) % folds, stop, folds)) for i in range(folds)]
         ends[label] = [sum(share[: i + 1]) for i in range(folds - 1)]
         start = stop
-    keyed = df.withColumn("_h", v.hash_order(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
     cuts = hash_cutoffs(keyed, "_h", {str(c): e for c, e in ends.items()}, by=target)
     cases = {
         c: sum([(F.col("_h") >= cut).cast("int") for cut in cuts[str(c)]], F.lit(0))
@@ -216,10 +216,10 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, seed: int = 42) -> Da
     for size in sorted(histogram, reverse=True):
         given = _deal(size, histogram[size], loads)
         ends[size] = [sum(given[: i + 1]) for i in range(folds - 1)]
-    keyed = sizes.withColumn("_h", v.hash_order(seed, F.col(group)))
+    keyed = sizes.withColumn("_h", v.hash_text(seed, F.col(group)))
     cuts = hash_cutoffs(keyed, "_h", {str(s): e for s, e in ends.items()}, by="_size")
     table = df.sparkSession.createDataFrame(
-        [(s, cuts[str(s)]) for s in ends], "_size long, _cuts array<long>"
+        [(s, cuts[str(s)]) for s in ends], "_size long, _cuts array<string>"
     )
     placed = keyed.join(F.broadcast(table), "_size").select(
         F.col(group).alias("_g"),
@@ -261,7 +261,7 @@ def nested_split(
     """Random test split, then a validation split of the training rows."""
     outer = random_split(df, row_id, size, seed)
     rows = outer.filter("split = 'train'").count()
-    keyed = outer.withColumn("_h", v.hash_order(seed + 1, F.col(row_id)))
+    keyed = outer.withColumn("_h", v.hash_text(seed + 1, F.col(row_id)))
     wanted = {"train": [math.ceil(inner * rows)]}
     cut = hash_cutoffs(keyed, "_h", wanted, by="split")["train"][0]
     held = (F.col("split") == "train") & (F.col("_h") < cut)

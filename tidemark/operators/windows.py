@@ -104,7 +104,7 @@ def basic_stats(
     series = list(series)
     order = [t] + ([tie] if tie else [])
     clean = keyed_rows(df, series).withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
-    edges = chunk_edges(clean, t, rows_per_chunk)
+    edges = chunk_edges(clean, t, rows_per_chunk, tie)
     placed = positions(clean.select(*series, *order, value), series, order, "_pos", edges)
     windows = sliding(placed, t, size_us, step_us, wanted)
     keys = [*series, "window_start", "window_end"]

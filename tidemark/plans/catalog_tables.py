@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators import clean, leakage, prep, profile, splits
 from tidemark.plans.registry import query, table
+from tidemark.session import cut_lineage
 from tidemark.sources import sinks, tables
 
 
@@ -816,6 +817,7 @@ def leak_screen_train(spark, sf):
     parted = splits.random_split(df, "row_id")
     # The copy differs from the target on test rows, which the screen must not see.
     spoiled = parted.withColumn("copy", F.when(F.col("split") == "test", F.lit(0.0)).otherwise(F.col("copy")))
+    spoiled = cut_lineage(spoiled)
     return leakage.screen(spoiled, "goal", row_id="row_id").select("column", "kind", "action")
 
 
@@ -836,7 +838,7 @@ def impute_scale(spark, sf):
         "row_id", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("q"),
         F.col("l_extendedprice").alias("p"),
     )
-    parted = splits.random_split(df, "row_id")
+    parted = cut_lineage(splits.random_split(df, "row_id"))
     out = prep.fit_numeric(parted, ["q", "p"]).transform(parted)
     return out.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), (F.round(F.avg("q"), 6) + 0.0).alias("mean_q"),

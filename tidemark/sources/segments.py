@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import signals as s
 from tidemark.functions import values as v
@@ -63,11 +64,12 @@ def limit_segments(df: DataFrame, per_subject: int | None) -> DataFrame:
 
 
 def has_path(df: DataFrame, path: str) -> bool:
-    try:
-        df.select(path)
-        return True
-    except Exception:
-        return False
+    kind = df.schema
+    for part in path.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return False
+        kind = kind[part].dataType
+    return True
 
 
 def axis_norm(*axes: Column) -> Column:
