@@ -11,6 +11,7 @@ from tidemark.functions import signals as s
 from tidemark.functions import values as v
 from tidemark.operators import asof, clean, spectral, windows
 from tidemark.plans import experiments
+from tidemark.session import cut_lineage
 from tidemark.sources import sensors
 
 
@@ -189,7 +190,8 @@ def test_sensor_tree_to_windows(spark, tmp_path):
     signals = sensors.read_signals(spark, files, ["accel"])
     first = signals.agg(F.min("t_us"), F.max("t_us")).first()
     assert first[0] == 1412143200 * v.MICROS and first[1] - first[0] == 8999 * 10_000
-    out = experiments.sensor_windows(spark, str(tmp_path)).toPandas()
+    built = cut_lineage(experiments.sensor_windows(spark, str(tmp_path)))
+    out = built.toPandas()
     assert set(out.subject_id) == {"001", "002"}
     # The session lasts 7180 s, so starts run from minute 0 to 80.
     assert len(out) == 18
@@ -199,7 +201,7 @@ def test_sensor_tree_to_windows(spark, tmp_path):
     # 90 s of movement at 100 Hz fall into the first window of each subject only.
     assert out["accel_rms"].notna().sum() == out["accel_mean"].notna().sum() == 2
     pruned, kept = experiments.prune_and_fill(
-        experiments.sensor_windows(spark, str(tmp_path)), [c for c in out.columns if c.startswith(("sum", "accel"))], fit_on="all"
+        built, [c for c in out.columns if c.startswith(("sum", "accel"))], fit_on="all"
     )
     assert "sum_hr_mean" in kept and "accel_rms" not in kept and pruned.count() == 18
 

@@ -245,3 +245,12 @@ def test_rare_levels_and_modalities(spark):
     assert blocks == {"image": ["scan_path"], "text": ["note_text"], "genomic": ["gene_001", "gene_002"], "tabular": ["age"]}
     assert modality.genomic_encoding(df, ["gene_001"]) == "snp"
     assert modality.genomic_encoding(df, ["gene_002"]) == "expression"
+
+
+def test_checkpoints_use_the_configured_folder(spark, tmp_path):
+    from tidemark import session
+
+    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}") if spark.conf.isModifiable("spark.checkpoint.dir") else None
+    found = session.shared_dir(spark)
+    assert found == spark.conf.get("spark.checkpoint.dir", None) or found == spark.sparkContext.getCheckpointDir()
+    assert session.scratch_path(spark, "x").startswith(found.rstrip("/"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as v
-from tidemark.operators.ordering import exact_quantiles, grouped_quantiles, join_on
+from tidemark.operators.ordering import exact_quantiles, grouped_quantiles, join_on, positions
 
 # Millimole-to-milligram factor and the median below which it applies.
 UNIT_FACTOR = 18.018
@@ -143,6 +143,16 @@ def stable_sort(df: DataFrame, ts: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).asc_nulls_last(), F.col(tie).asc())
 
 
+def stable_rank(df: DataFrame, ts: str, tie: str, name: str = "pos") -> DataFrame:
+    """Position of every row in (time, tie) order, missing times last.
+
+    The order itself for consumers that need it as a column; no total sort into one task.
+    """
+    keyed = df.withColumn("_t", v.epoch_micros(F.col(ts)).cast("double"))
+    keyed = keyed.withColumn("_t", F.coalesce("_t", F.lit(float("inf"))))
+    return positions(keyed, [], ["_t", tie], name).drop("_t")
+
+
 def highest_variance(df: DataFrame, columns: Sequence[str], k: int = 25) -> list[str]:
     row = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     order = sorted(range(len(columns)), key=lambda i: (-(row[i] if row[i] is not None else -1), i))

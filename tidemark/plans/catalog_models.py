@@ -519,14 +519,22 @@ def permutation_importance(spark, sf):
     return out.select("feature", *[(F.round(c, 5) + 0.0).alias(c) for c in ("importance_mean", "importance_std")])
 
 
-@query("permutation_test")
+@query(
+    "permutation_test",
+    """WITH d AS (SELECT p_partkey AS id, p_retailprice AS y, p_partkey % 1000 AS a, row_number() OVER (ORDER BY substr(md5('0|' || p_partkey), 1, 15)) AS k FROM part),
+            s AS (SELECT j, id, y, row_number() OVER (PARTITION BY j ORDER BY substr(md5(CAST(43 + j AS VARCHAR) || '|' || id), 1, 15)) AS q FROM d, range(5) r(j)),
+            c AS (SELECT j, abs(corr(d.a, s.y)) AS c FROM d JOIN s ON d.k = s.q GROUP BY j),
+            o AS (SELECT abs(corr(a, y)) AS observed FROM d)
+       SELECT round(max(observed), 6) AS observed, round(avg(c), 6) AS permuted_mean, round(stddev_samp(c), 6) AS permuted_std, round(min(c), 6) AS permuted_min, round(max(c), 6) AS permuted_max,
+              round((sum(CASE WHEN c >= observed THEN 1 ELSE 0 END) + 1) / 6.0, 6) AS p_value, CAST(5 AS INTEGER) AS permutations FROM c, o""",
+)
 def permutation_test(spark, sf):
     df = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 1000).alias("a"))
 
     def score(d):
         return abs(d.agg(F.corr("a", "y")).first()[0])
 
-    return resample.permutation_test(df, "id", "y", score, score(df), permutations=5)
+    return rnd(resample.permutation_test(df, "id", "y", score, score(df), permutations=5))
 
 
 MASKS_SQL = """m AS (SELECT label AS mask, i AS feature, avg(CAST(embedding[i + 1] AS DOUBLE)) > 0 AS selected FROM embeddings, range(64) r(i) GROUP BY ALL)"""
@@ -814,7 +822,7 @@ def hashed_words(spark, sf):
     return out.withColumn("weight", F.round("weight", 8))
 
 
-@query("sequence_kmers")
+@query("sequence_kmers", "SELECT p_partkey, 30.0 AS kmers FROM part")
 def sequence_kmers(spark, sf):
     """Hash digests of part names stand in for sequences over a small alphabet."""
     df = table(spark, sf, "part").select("p_partkey", F.translate(F.md5("p_name"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))

@@ -112,14 +112,15 @@ def stack_sources(spark, sf):
 
 @query(
     "stack_report",
-    """SELECT * FROM (VALUES ('extra', CAST(1 AS BIGINT), false), ('o_orderkey', 2, true),
-                             ('o_totalprice', 2, true)) t("column", tables, in_every_table)
-       WHERE (SELECT count(*) FROM orders) > 0""",
+    """WITH a AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'O')
+       SELECT 'extra' AS "column", CAST(1 AS BIGINT) AS tables, b.n AS rows, a.n AS rows_missing, false AS in_every_table FROM a, b
+       UNION ALL SELECT 'o_orderkey', 2, a.n + b.n, 0, true FROM a, b UNION ALL SELECT 'o_totalprice', 2, a.n + b.n, 0, true FROM a, b""",
 )
 def stack_report(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    wide = orders.withColumn("extra", F.col("o_orderkey") % 7)
-    return tables.stack_report({"a": orders, "b": wide})
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    first = orders.filter("o_orderstatus = 'O'").drop("o_orderstatus")
+    second = orders.filter("o_orderstatus <> 'O'").drop("o_orderstatus").withColumn("extra", F.col("o_orderkey") % 7)
+    return tables.stack_report({"a": first, "b": second})
 
 
 MERGE_SQL = """
@@ -301,18 +302,19 @@ def finite_values(spark, sf):
 
 @query(
     "column_types",
-    """SELECT * FROM (VALUES ('l_linenumber', 'numeric'), ('l_linestatus', 'categorical'),
-        ('l_shipdate', 'datetime'), ('l_quantity', 'numeric'), ('l_extendedprice', 'numeric'),
-        ('l_discount', 'numeric'), ('l_tax', 'numeric'), ('l_returnflag', 'categorical'),
-        ('l_orderkey', 'numeric'), ('l_partkey', 'numeric'), ('l_suppkey', 'numeric')) t("column", kind)
-       WHERE (SELECT count(*) FROM lineitem) > 0""",
+    """SELECT 'numeric' AS kind, CAST(8 AS INTEGER) AS columns, count(l_orderkey) + count(l_partkey) + count(l_suppkey) + count(l_linenumber) + count(l_quantity) + count(l_extendedprice) + count(l_discount) + count(l_tax) AS cells FROM lineitem
+       UNION ALL SELECT 'categorical', 2, count(l_returnflag) + count(l_linestatus) FROM lineitem
+       UNION ALL SELECT 'datetime', 1, count(l_shipdate) FROM lineitem""",
 )
 def column_types(spark, sf):
     df = table(spark, sf, "lineitem")
-    rows = [(c, "numeric") for c in v.numeric_columns(df)]
-    rows += [(c, "categorical") for c in v.categorical_columns(df)]
-    rows += [(c, "datetime") for c in v.datetime_columns(df)]
-    return spark.createDataFrame(rows, "column string, kind string")
+    kinds = {"numeric": v.numeric_columns(df), "categorical": v.categorical_columns(df), "datetime": v.datetime_columns(df)}
+    out = None
+    for kind, columns in kinds.items():
+        cells = sum([F.count(c) for c in columns], F.lit(0).cast("long"))
+        part = df.select(*columns).agg(cells.alias("cells")).select(F.lit(kind).alias("kind"), F.lit(len(columns)).alias("columns"), "cells")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -417,12 +419,22 @@ def duplicate_rows(spark, sf):
 
 @query(
     "stable_time_sort",
-    """SELECT o_orderkey, o_orderdate::VARCHAR AS day FROM orders ORDER BY o_orderdate NULLS LAST, o_orderkey LIMIT 50""",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderdate END NULLS LAST, o_orderkey) AS pos FROM orders""",
 )
 def stable_time_sort(spark, sf):
-    return clean.stable_sort(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").limit(50).select(
-        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day")
-    )
+    when = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate"))
+    df = table(spark, sf, "orders").select("o_orderkey", when.alias("seen"))
+    return clean.stable_rank(df, "seen", "o_orderkey").select("o_orderkey", "pos")
+
+
+@query(
+    "top_orders",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""",
+)
+def top_orders(spark, sf):
+    """A top-k report."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
 @query(
@@ -770,15 +782,17 @@ def leak_map(spark, sf):
 
 @query(
     "leak_names",
-    """SELECT * FROM (VALUES ('insulin_units', 'insulin'), ('quality_score', 'score'), ('p_label', 'label')) t("column", term)
-       WHERE (SELECT count(*) FROM part) > 0""",
+    """SELECT 'insulin_units' AS "column", 'insulin' AS term, count(p_size) AS present FROM part
+       UNION ALL SELECT 'quality_score', 'score', count(p_retailprice) FROM part UNION ALL SELECT 'p_label', 'label', count(p_name) FROM part""",
 )
 def leak_names(spark, sf):
     df = table(spark, sf, "part").select(
         "p_partkey", "p_brand", F.col("p_size").alias("insulin_units"),
         F.col("p_retailprice").alias("quality_score"), F.col("p_name").alias("p_label"),
     )
-    return leakage.name_proxies(leakage.catalogue(df), leakage.rule_table(spark, "diabetes"))
+    hits = leakage.name_proxies(leakage.catalogue(df), leakage.rule_table(spark, "diabetes"))
+    present = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "present")
+    return hits.join(present, "column")
 
 
 @query(
@@ -797,10 +811,13 @@ def leak_codes(spark, sf):
 
 @query(
     "leak_temporal_names",
-    """SELECT 'o_orderdate' AS "column" WHERE (SELECT count(*) FROM orders) > 0""",
+    """SELECT 'o_orderdate' AS "column", count(DISTINCT o_orderdate) AS "distinct" FROM orders""",
 )
 def leak_temporal_names(spark, sf):
-    return leakage.temporal_names(leakage.catalogue(table(spark, sf, "orders"), "o_totalprice"))
+    orders = table(spark, sf, "orders")
+    found = leakage.temporal_names(leakage.catalogue(orders, "o_totalprice"))
+    names = [r["column"] for r in found.collect()]
+    return found.join(profile.distinct_counts(orders, names), "column")
 
 
 @query(

@@ -211,11 +211,11 @@ def sensor_windows(spark: SparkSession, root: str, settings: WindowSettings = Wi
     enough = targets.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("subject_id")
     targets = cut_lineage(clean.normalise_units(targets.join(enough, "subject_id", "left_semi"), ["subject_id"], "value"))
     kinds = ["summary", "breathing", "accel", "rr"] + (["ecg"] if s.use_ecg else [])
-    signals = cut_lineage(sensors.read_signals(spark, files, kinds))
+    lines = cut_lineage(sensors.read_rows(spark, files, kinds))
 
-    stamps = signals.groupBy("subject_id", "cohort", "kind", "file_id", "row_pos", "t_us").agg(F.count(F.lit(1)).alias("cells"))
-    spans = stamps.groupBy("subject_id", "cohort", "kind", "file_id").agg(
-        F.min("t_us").alias("start"), F.max("t_us").alias("end"), F.count(F.lit(1)).alias("rows")
+    spans = lines.groupBy("subject_id", "kind", "file_id").agg(
+        F.min("t_us").alias("start"), F.max("t_us").alias("end"), F.count(F.lit(1)).alias("rows"),
+        F.min(sensors.first_numeric(F.col("values"))).alias("first"), F.max("names").alias("head"),
     ).filter("rows >= 10")
     placed = cut_lineage(asof.session_islands(spans, ["subject_id"], "start", "end", "file_id"))
     sessions = asof.session_bounds(placed, ["subject_id"], "start", "end")
@@ -225,15 +225,26 @@ def sensor_windows(spark: SparkSession, root: str, settings: WindowSettings = Wi
     fallback = F.lit(1.0)
     for kind, rate in sensors.NOMINAL_RATES.items():
         fallback = F.when(F.col("kind") == kind, F.lit(rate)).otherwise(fallback)
-    rates = windows.sampling_rates(stamps, ["file_id", "kind"], "t_us", fallback, tie="row_pos").select("file_id", "fs")
-    rows = signals.join(placed.select("file_id", "session", "start"), "file_id").join(rates, "file_id").filter("value is not null")
+    rates = windows.sampling_rates(lines, ["file_id", "kind"], "t_us", fallback, tie="row_pos").select("file_id", "fs")
+    beat = sensors.positions_of(F.col("head"), lambda n: n.contains("rr") | n.contains("interval"))
+    axes = sensors.positions_of(F.col("head"), lambda n: n.isin(*clean.AXIS_NAMES))
+    # One row per file: session, rate and the channels to read.
+    facts = placed.join(rates, "file_id").select(
+        "file_id", "session", "start", "fs",
+        F.when(F.col("kind") == "rr", F.coalesce(F.get(beat, F.lit(0)), F.col("first"))).otherwise(F.col("first")).alias("at"),
+        F.when(F.size(axes) >= 3, F.slice(axes, 1, 3)).otherwise(F.array("first")).alias("axes"),
+    )
+    rows = cut_lineage(lines.join(facts, "file_id"))
+    one = rows.withColumn("value", F.get("values", F.col("at"))).drop("names", "values").filter("value is not null")
     series = ["subject_id", "session", "file_id", "start"]
     keys = ["subject_id", "session", "window_start"]
     parts: list[DataFrame] = []
 
     def finish(found: DataFrame, prefix: str, names: Sequence[str]) -> None:
         renamed = found.select(*series, "window_start", *[F.col(f"`{n}`").alias(f"{prefix}_{n}") for n in names])
-        parts.append(windows.first_file_wins(renamed, keys, [f"{prefix}_{n}" for n in names], ["start", "file_id"]))
+        # One small row per window: stored, so the final join does not carry ten long plans.
+        won = windows.first_file_wins(renamed, keys, [f"{prefix}_{n}" for n in names], ["start", "file_id"])
+        parts.append(cut_lineage(won))
 
     def shape(data: DataFrame, by: Sequence[str]) -> DataFrame:
         return windows.basic_stats(data, by, "t_us", "value", s.size, s.step, "row_pos", wanted=wanted).filter("n >= 5")
@@ -245,37 +256,34 @@ def sensor_windows(spark: SparkSession, root: str, settings: WindowSettings = Wi
         fs = data.groupBy("file_id").agg(F.max("fs").alias("fs"))
         return found.join(fs, "file_id").filter(F.col("n") >= F.floor(F.col("fs") * seconds))
 
-    summary = rows.filter("kind = 'summary'").withColumn("channel", v.feature_tag(F.col("channel")))
-    channels = [r["channel"] for r in summary.groupBy("channel").agg(F.min("ordinal").alias("o")).orderBy("o").limit(12).collect()]
+    summary = sensors.long_signals(rows.filter("kind = 'summary'")).filter("value is not null")
+    summary = summary.withColumn("channel", v.feature_tag(F.col("channel")))
+    channels = [r["channel"] for r in summary.groupBy("channel").agg(F.min("ordinal").alias("o")).orderBy("o", "channel").limit(12).collect()]
     if channels:
         found = shape(summary.filter(F.col("channel").isin(channels)), [*series, "channel"])
         wide = windows.widen(found, [*series, "window_start"], "channel", windows.STAT_NAMES, channels)
         finish(wide, "sum", [f"{c}_{k}" for c in channels for k in windows.STAT_NAMES])
 
-    named = F.lower("channel").contains("rr") | F.lower("channel").contains("interval")
-    rr = first_channel(rows.filter("kind = 'rr'"), F.when(named, 0).otherwise(1))
-    rr = clean.repair_intervals(rr, ["file_id"], "value")
+    rr = clean.repair_intervals(one.filter("kind = 'rr'"), ["file_id"], "value")
     beats = windows.hrv_time(rr, series, "t_us", "value", s.size, s.step, "row_pos", wanted=wanted)
     finish(beats, "hrv", ["mean_rr", "sdnn", "rmssd", "pnn50", "pnn20", "cvnn", "mean_hr", "n_beats", "sd1", "sd2", "sd1_sd2"])
     finish(spectrum(rr, "rr"), "hrv", spectral.FEATURES["rr"])
 
-    breath = first_channel(rows.filter("kind = 'breathing'"), F.lit(0))
+    breath = one.filter("kind = 'breathing'")
     finish(long_enough(shape(breath, series), breath, 10), "resp", windows.STAT_NAMES)
     finish(spectrum(breath, "breathing"), "resp", spectral.FEATURES["breathing"])
 
-    axes = rows.filter("kind = 'accel'").withColumn("axis", F.lower(F.trim("channel")).isin(*clean.AXIS_NAMES))
-    ranked = axes.groupBy("file_id").agg(F.array_sort(F.collect_set(F.when(F.col("axis"), F.col("ordinal")))).alias("ax"), F.min("ordinal").alias("first"))
-    used = F.when(F.size("ax") >= 3, F.slice("ax", 1, 3)).otherwise(F.array("first"))
-    chosen = axes.join(ranked, "file_id").filter(F.array_contains(used, F.col("ordinal")))
-    size = F.when(F.max(F.size("ax")) >= 3, F.sqrt(F.sum(F.col("value") * F.col("value")))).otherwise(F.max("value"))
-    motion = chosen.groupBy(*series, "row_pos", "t_us", "fs").agg(size.alias("value"))
+    picked = F.transform("axes", lambda i: F.get(F.col("values"), i))
+    squares = F.aggregate(picked, F.lit(0.0), lambda a, x: a + x * x)
+    strength = F.when(F.size("axes") >= 3, F.sqrt(squares)).otherwise(picked[0])
+    motion = rows.filter("kind = 'accel'").withColumn("value", strength).drop("names", "values").filter("value is not null")
     finish(long_enough(shape(motion, series), motion, 5), "accel", windows.STAT_NAMES)
     moving = windows.movement(motion, series, "t_us", "value", s.size, s.step, "row_pos", wanted=wanted)
     finish(long_enough(moving, motion, 5), "accel", ["rms", "mad", "active_fraction", "zero_crossings"])
     finish(spectrum(motion, "accel"), "accel", spectral.FEATURES["accel"])
 
     if s.use_ecg:
-        ecg = first_channel(rows.filter("kind = 'ecg'"), F.lit(0))
+        ecg = one.filter("kind = 'ecg'")
         finish(long_enough(shape(ecg, series), ecg, 5), "ecg", windows.STAT_NAMES)
         finish(spectrum(ecg, "ecg"), "ecg", spectral.FEATURES["ecg"])
         finish(detected_variability(ecg, series, s, wanted), "ecghrv", ["mean_rr", "sdnn", "n_beats"])
@@ -287,12 +295,6 @@ def sensor_windows(spark: SparkSession, root: str, settings: WindowSettings = Wi
     return out.filter(F.coalesce(*[F.col(f"`{c}`").isNotNull() | F.lit(None) for c in features], F.lit(False)))
 
 
-def first_channel(rows: DataFrame, preference) -> DataFrame:
-    """The preferred channel of every file, by rank and then position."""
-    best = rows.groupBy("file_id").agg(F.min(F.struct(preference.alias("p"), "ordinal")).alias("_b"))
-    return rows.join(best, "file_id").filter(F.col("ordinal") == F.col("_b.ordinal")).drop("_b")
-
-
 def detected_variability(ecg: DataFrame, series, s: WindowSettings, wanted: DataFrame) -> DataFrame:
     found = spectral.beats(ecg, series, "t_us", "value", s.size, s.step, "row_pos", wanted)
     return found.groupBy(*series, "window_start").agg(

@@ -162,31 +162,66 @@ def signal_times(rows: DataFrame, text: str, rate: Column) -> DataFrame:
     return joined.withColumn("t_us", t).drop("_parsed", "_usable").filter("t_us is not null")
 
 
-def read_signals(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """signals(subject_id, cohort, kind, file_id, row_pos, t_us, ordinal, channel, value).
+def read_rows(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One row per file line: ids, t_us, and the channels' names and values as arrays.
 
-    ``files`` is the discovery table; its paths (metadata) are listed on the driver.
+    The clock is picked out of a line where it stands, so lines are not taken apart and
+    regrouped. ``files`` is the discovery table; its paths (metadata) are listed on the
+    driver.
     """
     wanted = files.filter(F.col("kind").isin(*kinds))
     paths = [r["path"] for r in wanted.select("path").collect()]
     if not paths:
-        schema = "subject_id string, cohort string, kind string, file_id string, row_pos long, t_us long, ordinal int, channel string, value double"
+        schema = (
+            "subject_id string, cohort string, kind string, file_id string, row_pos long, t_us long, "
+            "names array<string>, values array<double>"
+        )
         return spark.createDataFrame([], schema)
-    lines = numbered_lines(spark, paths)
-    long = cells(lines)
-    is_time = F.lower("channel").isin(*TIME_NAMES)
-    stamps = long.groupBy("path", "row_pos").agg(F.min(F.when(is_time, F.col("text"))).alias("stamp"))
-    tagged = stamps.join(wanted.select("path", "subject_id", "cohort", "kind", "session_start"), "path")
+    names = F.transform(F.split("head", ","), lambda c: F.trim(c))
+    fields = F.transform(F.split("line", ","), lambda c: F.trim(c))
+    pairs = F.filter(F.arrays_zip(names.alias("c"), fields.alias("x")), lambda p: p["c"].isNotNull())
+    is_time = lambda p: F.lower(p["c"]).isin(*TIME_NAMES)
+    lines = numbered_lines(spark, paths).withColumn("_p", pairs).select(
+        "path", "row_pos",
+        F.get(F.filter("_p", is_time), F.lit(0))["x"].alias("stamp"),
+        F.filter("_p", lambda p: ~is_time(p)).alias("_p"),
+    )
     rate = F.lit(1.0)
     for kind, value in NOMINAL_RATES.items():
         rate = F.when(F.col("kind") == kind, F.lit(value)).otherwise(rate)
-    timed = signal_times(tagged, "stamp", rate)
-    values = long.filter(~is_time).withColumn("value", v.finite(F.expr("try_cast(text as double)")))
-    return timed.join(values, ["path", "row_pos"]).select(
-        "subject_id", "cohort", "kind", F.col("path").alias("file_id"), "row_pos", "t_us", "ordinal", "channel", "value"
+    tagged = lines.join(wanted.select("path", "subject_id", "cohort", "kind", "session_start"), "path")
+    return signal_times(tagged, "stamp", rate).select(
+        "subject_id", "cohort", "kind", F.col("path").alias("file_id"), "row_pos", "t_us",
+        F.transform("_p", lambda p: p["c"]).alias("names"),
+        F.transform("_p", lambda p: v.finite(p["x"].try_cast("double"))).alias("values"),
+    )
+
+
+def long_signals(rows: DataFrame) -> DataFrame:
+    """signals(..., ordinal, channel, value): one row per line and channel."""
+    kept = [c for c in rows.columns if c not in ("names", "values")]
+    cell = F.posexplode(F.arrays_zip("names", "values")).alias("ordinal", "_c")
+    return rows.select(*kept, cell).select(
+        *kept, "ordinal", F.col("_c.names").alias("channel"), F.col("_c.values").alias("value")
     )
 
 
+def read_signals(spark: SparkSession, files: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    return long_signals(read_rows(spark, files, kinds))
+
+
+def first_numeric(values: Column) -> Column:
+    """Position of the first value that is a number; NULL when there is none."""
+    at = F.array_position(F.transform(values, lambda x: x.isNotNull()), F.lit(True))
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def positions_of(names: Column, test) -> Column:
+    """Positions of the channel names that pass a test."""
+    found = F.transform(names, lambda n, i: F.when(test(F.lower(F.trim(n))), i))
+    return F.filter(found, lambda i: i.isNotNull())
+
+
 def read_targets(spark: SparkSession, files: DataFrame) -> DataFrame:
     """targets(subject_id, t_us, value): one value per subject and time, first file first."""
     wanted = files.filter("kind = 'target'")

@@ -226,14 +226,21 @@ def stack(tables: Mapping[str, DataFrame], source: bool = True) -> DataFrame:
 
 
 def stack_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per column: in how many tables it occurs, and whether it is in all of them."""
+    """Per column: tables that have it, rows that get a value from them, rows left missing."""
     spark = next(iter(tables.values())).sparkSession
-    seen: dict[str, int] = {}
-    for df in tables.values():
+    sizes = {name: df.count() for name, df in tables.items()}
+    total = sum(sizes.values())
+    seen: dict[str, list[str]] = {}
+    for name, df in tables.items():
         for column in df.columns:
-            seen[column] = seen.get(column, 0) + 1
-    rows = [(c, n, n == len(tables)) for c, n in sorted(seen.items())]
-    return spark.createDataFrame(rows, "column string, tables long, in_every_table boolean")
+            seen.setdefault(column, []).append(name)
+    rows = [
+        (c, len(ns), sum(sizes[n] for n in ns), total - sum(sizes[n] for n in ns), len(ns) == len(tables))
+        for c, ns in sorted(seen.items())
+    ]
+    return spark.createDataFrame(
+        rows, "column string, tables long, rows long, rows_missing long, in_every_table boolean"
+    )
 
 
 def _stem(name: str) -> str:
