@@ -191,6 +191,26 @@ def test_weights_fall_on_the_informative_block(planted):
     assert weights["good"] > 0.9 and sum(weights.values()) == pytest.approx(1)
 
 
+def test_tuning_and_many_classes(planted):
+    df, names, _ = planted
+    halves = df.withColumn("fold", F.col("fold") % 2)
+    three = halves.withColumn("third", (F.when(F.col("y") < -1.5, 0).when(F.col("y") < 1.5, 1).otherwise(2)))
+    parted = splits.nested_split(three, "id").cache()
+    m = models.ModelInput(parted.filter("split = 'train'"), tuple(names), "third", 3)
+    fused, weights = models.late_fusion(m, {"good": ["x2", "x5"], "bad": ["x0", "x1"]}, parted.filter("split = 'validation'"), models.logistic)
+    assert weights["good"] > 0.8
+    out = models.evaluate(fused(parted.filter("split = 'test'")), "third", 3).toPandas().set_index("metric")["value"]
+    assert out["accuracy"] > 0.8 and out["roc_auc"] > 0.9
+    real = models.ModelInput(parted.filter("split = 'train'"), tuple(names), "y", 0)
+    _, best, tried = models.tune(real, "ridge", count=2)
+    assert tried.count() == 2 and best["alpha"] in models.SPACES["ridge"]["alpha"]
+    scores = tried.toPandas()["cv_score"]
+    assert (scores < 0).all()
+    two = models.ModelInput(parted.filter("split = 'train'"), tuple(names), "cls", 2)
+    _, _, tried = models.tune(two, "svm", count=1, space={"c": [1.0], "gamma": ["scale"]})
+    assert (tried.toPandas()["cv_score"] > 0.8).all()
+
+
 # ---------------------------------------------------------------- flows
 QUICK = experiments.TableSettings(
     search=search.SearchSettings(population=8, generations=3), bootstrap=20, repeats=1, trees=5, boost_rounds=3

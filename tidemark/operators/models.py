@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import (
+    BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
@@ -100,14 +102,15 @@ def ridge(m: ModelInput, alpha: float = 1.0) -> Predictor:
     return lambda df: df.withColumn("prediction", linear_prediction(b, w, m.features))
 
 
-def _fourier(m: ModelInput, size: int = 256) -> Predictor:
+def _fourier(m: ModelInput, gamma: float | str = "scale", size: int = 256) -> Predictor:
     """Random cosine features whose inner products approximate the Gaussian kernel."""
     spread = m.train.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(m.features)], *[F.avg(c).alias(f"m{i}") for i, c in enumerate(m.features)]).first()
     p = len(m.features)
     centre = np.array([spread[f"m{i}"] for i in range(p)])
     pooled = float(np.mean([spread[f"v{i}"] for i in range(p)]) + np.var(centre)) or 1.0
     rng = np.random.default_rng(m.seed)
-    w = rng.normal(0, np.sqrt(2 / (p * pooled)), (p, size))
+    width = {"scale": 1 / (p * pooled), "auto": 1 / p}.get(gamma, gamma)
+    w = rng.normal(0, np.sqrt(2 * width), (p, size))
     b = rng.uniform(0, 2 * np.pi, size)
 
     @F.pandas_udf("array<double>")
@@ -118,19 +121,19 @@ def _fourier(m: ModelInput, size: int = 256) -> Predictor:
     return lambda df: df.withColumn("_z", project(F.array(*[F.col(c).cast("double") for c in m.features])))
 
 
-def kernel_svm(m: ModelInput) -> Predictor:
-    lift = _fourier(m)
+def kernel_svm(m: ModelInput, c: float = 1.0, gamma: float | str = "scale") -> Predictor:
+    lift = _fourier(m, gamma)
     if not m.classes:
         names = [f"_z{i}" for i in range(256)]
 
         def wide(df):
             return lift(df).select("*", *[F.col("_z")[i].alias(n) for i, n in enumerate(names)]).drop("_z")
 
-        b, w = ridge_weights(wide(m.train), names, m.label, 1.0)
+        b, w = ridge_weights(wide(m.train), names, m.label, 1.0 / c)
         weights = F.array(*[F.lit(float(x)) for x in w])
         total = F.aggregate(F.zip_with("_z", weights, lambda a, c: a * c), F.lit(float(b)), lambda a, x: a + x)
         return lambda df: lift(df).withColumn("prediction", total).drop("_z")
-    svc = LinearSVC(featuresCol="_x", labelCol=m.label, maxIter=100, regParam=1.0 / max(1, m.train.count()))
+    svc = LinearSVC(featuresCol="_x", labelCol=m.label, maxIter=100, regParam=1.0 / (c * max(1, m.train.count())))
     train = lift(m.train).withColumn("_x", array_to_vector("_z")).drop("_z")
     if m.classes == 2:
         train = with_class_weight(train, m.label, class_weights(train, m.label, threshold=1.0))
@@ -219,6 +222,7 @@ SPACES: dict[str, dict[str, list]] = {
     },
     "logistic_regression": {"regParam": [100.0, 10.0, 2.0, 1.0, 0.2, 0.05]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
+    "svm": {"c": [0.1, 0.5, 1.0, 5.0, 10.0, 50.0], "gamma": ["scale", "auto", 0.001, 0.01, 0.1]},
 }
 
 
@@ -237,6 +241,18 @@ def sample_space(space: Mapping[str, Sequence], count: int, seed: int) -> list[d
     return out
 
 
+def _fold_score(held: DataFrame, m: ModelInput, fold: str) -> float:
+    """Mean over folds: AUC for two classes, accuracy for more, negative RMSE otherwise."""
+    if m.classes == 2:
+        return float(metrics.ranking(held, m.label, "proba", [fold]).agg(F.avg("roc_auc")).first()[0])
+    if m.classes:
+        value = F.avg((F.col("prediction") == F.col(m.label)).cast("double"))
+    else:
+        e = F.col("prediction") - F.col(m.label)
+        value = -F.sqrt(F.avg(e * e))
+    return float(held.groupBy(fold).agg(value.alias("v")).agg(F.avg("v")).first()[0])
+
+
 def tune(
     m: ModelInput, name: str, fold: str = "fold", count: int = 25, space: Mapping | None = None,
     parallelism: int = 4,
@@ -248,18 +264,14 @@ def tune(
     space = space or SPACES[name]
     spark = m.train.sparkSession
     settings = sample_space(space, count, m.seed)
-    if name == "ridge":
-        folds = [r[0] for r in m.train.select(fold).distinct().collect()]
+    own = {"ridge": ridge, "svm": kernel_svm}
+    if name in own:
         scores = []
         for s in settings:
-            errors = []
-            for f in folds:
-                b, w = ridge_weights(m.train.filter(F.col(fold) != f), m.features, m.label, s["alpha"])
-                e = linear_prediction(b, w, m.features) - F.col(m.label)
-                errors.append(m.train.filter(F.col(fold) == f).agg(F.sqrt(F.avg(e * e))).first()[0])
-            scores.append(-float(np.mean(errors)))
+            held = out_of_fold(m, lambda part, s=s: own[name](part, **s), fold)
+            scores.append(_fold_score(held, m, fold))
         best = int(np.argmax(scores))
-        predictor = ridge(m, settings[best]["alpha"])
+        predictor = own[name](m, **settings[best])
     else:
         kinds = {
             "random_forest": RandomForestClassifier if m.classes else RandomForestRegressor,
@@ -270,7 +282,9 @@ def tune(
         if estimator.hasParam("seed"):
             estimator = estimator.copy({estimator.getParam("seed"): m.seed})
         maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-        if m.classes:
+        if m.classes > 2:
+            judge = MulticlassClassificationEvaluator(labelCol=m.label, metricName="accuracy")
+        elif m.classes:
             judge = BinaryClassificationEvaluator(labelCol=m.label)
         else:
             judge = RegressionEvaluator(labelCol=m.label, metricName="rmse")
@@ -390,16 +404,25 @@ def late_fusion(
         b: fit(ModelInput(m.train, tuple(blocks[b]), m.label, m.classes, m.seed, m.trees, m.boost_rounds))
         for b in names
     }
-    if m.classes > 2:
-        weights = {b: 1.0 / len(names) for b in names}
-        return ensemble(models, m.classes, weights), weights
     scored = validation
     for i, b in enumerate(names):
         scored = models[b](scored).withColumn(f"_b{i}", F.col("proba" if m.classes else "prediction")).drop("prediction", "proba")
-    y = F.col(m.label).cast("double")
-    pairs = [F.avg(F.col(f"_b{i}") * F.col(f"_b{j}")) for i in range(len(names)) for j in range(len(names))]
-    row = scored.agg(*pairs, *[F.avg(F.col(f"_b{i}") * y) for i in range(len(names))]).first()
     k = len(names)
+
+    def product(i: int, j: int):
+        if m.classes > 2:
+            both = F.zip_with(f"_b{i}", f"_b{j}", lambda a, c: a * c)
+            return F.avg(F.aggregate(both, F.lit(0.0), lambda a, x: a + x))
+        return F.avg(F.col(f"_b{i}") * F.col(f"_b{j}"))
+
+    def with_truth(i: int):
+        if m.classes > 2:
+            return F.avg(F.get(F.col(f"_b{i}"), F.col(m.label).cast("int")))
+        return F.avg(F.col(f"_b{i}") * F.col(m.label).cast("double"))
+
+    row = scored.agg(
+        *[product(i, j) for i in range(k) for j in range(k)], *[with_truth(i) for i in range(k)]
+    ).first()
     w = simplex_weights(np.array(row[: k * k]).reshape(k, k), np.array(row[k * k :]))
     weights = {b: float(x) for b, x in zip(names, w)}
     return ensemble(models, m.classes, weights), weights

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import values as v
 from tidemark.operators import metrics, modality, models, resample, search, splits, stats
+from tidemark.plans import experiments
 from tidemark.plans.registry import query, table
 from tidemark.sources import sinks
 
@@ -830,3 +831,43 @@ def sequence_kmers(spark, sf):
 
     counts = F.aggregate(vector_to_array("kmers"), F.lit(0.0), lambda a, x: a + x)
     return tx.kmers(df, "dna").select("p_partkey", counts.alias("kmers"))
+
+
+# ---------------------------------------------------------------- whole flows
+QUICK = experiments.TableSettings(
+    search=search.SearchSettings(population=8, generations=3), baselines=("dummy_mean", "ridge"),
+    bootstrap=20, repeats=1,
+)
+
+
+@query("table_flow")
+def table_flow(spark, sf):
+    """Parts: price from the other columns, every step from validation to intervals."""
+    df = table(spark, sf, "part").drop("p_name")
+    out = experiments.table_experiment(df, "p_partkey", "p_retailprice", settings=QUICK)
+    return out["baselines"]
+
+
+@query(
+    "segment_flow",
+    """WITH g AS (SELECT label, vec_id FROM embeddings WHERE vec_id % 11 <> 0),
+            l AS (SELECT label, vec_id, lead(vec_id, 2) OVER (PARTITION BY label ORDER BY vec_id) AS v2 FROM g),
+            p AS (SELECT label, count(*) FILTER ((v2 - vec_id) * 5 <= 2 * 5 + 100) AS pairs FROM l GROUP BY 1),
+            r AS (SELECT label, count(*) AS read FROM embeddings WHERE vec_id % 11 <> 0 GROUP BY 1)
+       SELECT 's' || label AS subject_id, read, pairs, read - pairs AS dropped FROM r JOIN p USING (label)""",
+)
+def segment_flow(spark, sf):
+    """Segments to features to horizon pairs, with the report per subject."""
+    from tidemark.plans.catalog_windows import segment_table
+    from tidemark.sources import segments
+
+    usable = segments.usable_segments(segment_table(spark, sf))
+    return experiments.segment_report(usable, experiments.segment_pairs(usable, 2, gap_minutes=100.0))
+
+
+@query("manifest_flow")
+def manifest_flow(spark, sf):
+    """Documents with a label: text and size blocks, fused and alone."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    out = experiments.manifest_experiment(docs, "doc_id", "quality", {"text": ["text"]})
+    return out["ablation"]
