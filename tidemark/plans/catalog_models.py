@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.functions import values as v
 from tidemark.operators import metrics, modality, models, resample, search, splits, stats
 from tidemark.plans import experiments
 from tidemark.plans.registry import query, table
@@ -577,9 +576,6 @@ def wide_embeddings(spark, sf, width: int = 16):
     return df.withColumns({"y": target, "cls": (F.col("label") % 2).cast("int")}).drop("all"), columns
 
 
-MOMENT_PAIRS = [(0, 0), (0, 3), (3, 7)]
-
-
 @query(
     "fold_moments",
     """WITH f AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[4] AS DOUBLE) AS b, CAST(vec_id % 3 AS INTEGER) AS fold FROM embeddings)
@@ -679,10 +675,6 @@ def class_input(spark, sf, **options):
     return models.split_input(parted, columns, "cls", 2, **options)
 
 
-def _wide(df):
-    return df.filter("metric is not null").groupBy("model").pivot("metric").agg(F.first("value"))
-
-
 @query("baselines_regression")
 def baselines_regression(spark, sf):
     m, test = regression_input(spark, sf, trees=20, boost_rounds=10)
