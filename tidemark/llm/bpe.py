@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tidemark.llm import vocabulary
 from tidemark.llm.texts import slices, whole
@@ -144,7 +145,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``ids`` (array of int) and ``decoded`` (text) of every row."""
-    schema = docs.select(key).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(key).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
