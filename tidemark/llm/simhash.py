@@ -182,3 +182,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS,
     linked = settle(roots.join(firsts, "root").select("fp", "component_id"), "linked")
     named = settle(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
     return rows.join(named, "fp", "left").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """Rows and columns of ``docs`` that stay: of each group of near copies the one with the smallest key.
+
+    Of rows that share this key one stays. Rows without a key are no one's copies and stay.
+    """
+    groups = near_duplicates(docs, key, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
+    first = docs.join(groups, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
+    return first.unionByName(docs.where(F.col(key).isNull()))
