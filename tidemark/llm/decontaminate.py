@@ -31,6 +31,11 @@ def token_hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def evaluated(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """``rows`` with a column that is computed once per row, also where a lambda further up reads it again and again."""
+    return rows.select("*", F.inline(F.array(F.struct(column.alias(name)))))
+
+
 def seeds(tokens: DataFrame, *keep: str) -> DataFrame:
     """``mask``, ``at`` and ``seed`` for every window of ``tokens.hashes``, with the columns to keep."""
 
@@ -55,19 +60,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
         wanted = F.broadcast(wanted)
     found = seeds(texts.select("row", token_hashes("body").alias("hashes")), "row").join(wanted, ["mask", "seed"])
     diagonals = found.select("row", "item_row", (F.col("at") - F.col("item_at")).alias("begins")).distinct()
-    lined_up = (
-        diagonals.join(items, "item_row")
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("item", "item_hashes", "begins")).alias("places"))
-        .join(texts.dropDuplicates(["row"]), "row")
-        .select("key", token_hashes("body").alias("hashes"), F.explode("places").alias("place"))
-        .select("key", "hashes", "place.*")
-    )
+    places = diagonals.join(items, "item_row").groupBy("row").agg(F.collect_set(F.struct("item", "item_hashes", "begins")).alias("places"))
+    contained_in = texts.join(places, "row").dropDuplicates(["row"])
+    tokenised = evaluated(contained_in.select("key", "body", "places"), "hashes", token_hashes("body"))
+    lined_up = tokenised.select("key", "hashes", F.explode("places").alias("place")).select("key", "hashes", "place.*")
     size = F.size("item_hashes")
     window = F.least(F.lit(WINDOW), size)
     agrees = F.transform("item_hashes", lambda h, i: F.when((i + F.col("begins") >= 0) & (F.get("hashes", i + F.col("begins")) == h), 1).otherwise(0))
     best = F.array_max(F.transform(F.sequence(F.lit(1), size - window + 1), lambda s: F.aggregate(F.slice("agrees", s, window), F.lit(0), lambda a, x: a + x)))
-    scored = lined_up.withColumn("agrees", agrees).select("key", "item", best.alias("matched"), window.alias("window")).where("5 * matched >= 4 * window")
+    scored = evaluated(lined_up, "agrees", agrees).select("key", "item", best.alias("matched"), window.alias("window")).where("5 * matched >= 4 * window")
     return scored.groupBy("key", "item", "window").agg(F.max("matched").alias("matched")).select(F.col("key").alias(key), F.col("item").alias(item), "matched", "window")
 
 
