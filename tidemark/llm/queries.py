@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, lines, quality, simhash, topk, toxicity, transducer
+from tidemark.llm import bpe, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,19 @@ def op3_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
+@query
+def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        removed.cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
