@@ -156,23 +156,21 @@ def name_proxies(columns: DataFrame, rules: DataFrame) -> DataFrame:
     return columns.select("column", hit.alias("term")).filter("term is not null")
 
 
-def code_columns(df: DataFrame, domain: str, columns: Sequence[str], order: str) -> DataFrame:
-    """Share of each column's first 500 values that match each diagnosis-code pattern."""
+def code_columns(df: DataFrame, domain: str, columns: Sequence[str]) -> DataFrame:
+    """Share of each column's values that match each diagnosis-code pattern, from one aggregate."""
     patterns = CODE_PATTERNS.get((domain or "").lower(), ())
-    parts = []
-    for i, c in enumerate(columns):
-        head = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("s"), order).orderBy(order).limit(500)
-        shares = [F.avg(F.col("s").rlike("(?i)" + (p if p.startswith("^") else "^" + p)).cast("double")).alias(f"p{j}") for j, p in enumerate(patterns)]
-        wide = head.agg(*shares) if shares else None
-        if wide is None:
-            continue
-        items = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.coalesce(F.col(f"p{j}"), F.lit(0.0)).alias("share")) for j, p in enumerate(patterns)]
-        parts.append(wide.select(F.explode(F.array(*items)).alias("s")).select("s.*"))
-    if not parts:
+    cells = [(i, c, p) for i, c in enumerate(columns) for p in patterns]
+    if not cells:
         return df.sparkSession.createDataFrame([], "column string, pattern string, share double, flagged boolean")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    shares = [
+        F.avg(F.col(f"`{c}`").cast("string").rlike("(?i)" + (p if p.startswith("^") else "^" + p)).cast("double")).alias(f"s{k}")
+        for k, (_, c, p) in enumerate(cells)
+    ]
+    items = [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias("share"))
+        for k, (i, c, p) in enumerate(cells)
+    ]
+    out = df.agg(*shares).select(F.inline(F.array(*items)))
     # Per pattern only the first matching column is flagged; one row per schema column.
     first = F.min(F.when(F.col("share") > 0.1, F.col("ordinal"))).over(Window.partitionBy("pattern"))
     return out.withColumn("flagged", F.coalesce(F.col("ordinal") == first, F.lit(False))).drop("ordinal")
@@ -227,7 +225,7 @@ def screen(
     text = [c for c in left if c in v.categorical_columns(rows)]
     if text and CODE_PATTERNS.get(domain.lower()):
         order = row_id or left[0]
-        for r in code_columns(rows, domain, text, order).filter("flagged").collect():
+        for r in code_columns(rows, domain, text).filter("flagged").collect():
             found.append((r["column"], "diagnosis_code", "flag", f"matches {r['pattern']}"))
     for r in temporal_names(catalogue(rows.select(*features))).collect():
         found.append((r["column"], "temporal_name", "note", "looks temporal"))

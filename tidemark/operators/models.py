@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
-)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +37,7 @@ class ModelInput:
     seed: int = 42
     trees: int = 300
     boost_rounds: int = 100
+    depth: int = 30
 
     def assembled(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=list(self.features), outputCol="_x", handleInvalid="error").transform(df)
@@ -72,8 +71,10 @@ def mean(m: ModelInput) -> Predictor:
     return lambda df: df.withColumn("prediction", F.lit(value))
 
 
-def logistic(m: ModelInput) -> Predictor:
-    return _fit(m, LogisticRegression(featuresCol="_x", labelCol=m.label, maxIter=200), True)
+def logistic(m: ModelInput, c: float = 1.0) -> Predictor:
+    """``c`` weighs the summed loss against the penalty; Spark averages the loss, hence the row count."""
+    penalty = 1 / (c * max(1, m.train.count()))
+    return _fit(m, LogisticRegression(featuresCol="_x", labelCol=m.label, maxIter=200, regParam=penalty, standardization=False), True)
 
 
 def ridge_weights(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> tuple[float, np.ndarray]:
@@ -150,16 +151,19 @@ def kernel_svm(m: ModelInput, c: float = 1.0, gamma: float | str = "scale") -> P
     return predict
 
 
-def forest(m: ModelInput) -> Predictor:
+def forest(m: ModelInput, **settings) -> Predictor:
+    """Trees of ``m.depth`` levels at most, unless ``settings`` say otherwise."""
     kind = RandomForestClassifier if m.classes else RandomForestRegressor
-    return _fit(m, kind(featuresCol="_x", labelCol=m.label, numTrees=m.trees, maxDepth=8, seed=m.seed), True)
+    return _fit(m, kind(**{"featuresCol": "_x", "labelCol": m.label, "numTrees": m.trees, "maxDepth": m.depth, "seed": m.seed} | settings), True)
 
 
-def boosting(m: ModelInput) -> Predictor:
+def boosting(m: ModelInput, **settings) -> Predictor:
+    """More than two classes are boosted one against the rest."""
+    stated = {"featuresCol": "_x", "labelCol": m.label, "maxIter": m.boost_rounds, "seed": m.seed} | settings
     if not m.classes:
-        return _fit(m, GBTRegressor(featuresCol="_x", labelCol=m.label, maxIter=m.boost_rounds, seed=m.seed), False)
-    one = GBTClassifier(featuresCol="_x", labelCol=m.label, maxIter=m.boost_rounds, seed=m.seed)
-    return _fit(m, one if m.classes == 2 else OneVsRest(classifier=one, featuresCol="_x", labelCol=m.label), False)
+        return _fit(m, GBTRegressor(**stated), False)
+    one = GBTClassifier(**stated)
+    return _fit(m, one, True) if m.classes == 2 else _fit(m, OneVsRest(classifier=one, featuresCol="_x", labelCol=m.label), False)
 
 
 CLASSIFIERS = {
@@ -190,8 +194,12 @@ def evaluate(scored: DataFrame, label: str, classes: int) -> DataFrame:
     return wide.select(*doubles).unpivot([], wide.columns, "metric", "value")
 
 
+#: What estimators raise about their input.
+ESTIMATOR_ERRORS = (KeyError, ValueError, np.linalg.LinAlgError, IllegalArgumentException)
+
+
 def run_baselines(m: ModelInput, test: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(model, metric, value, error): a model that fails is a row, not an exception."""
+    """(model, metric, value, error): a model that cannot be fitted is a row; a failed Spark job is an exception."""
     registry = CLASSIFIERS if m.classes else REGRESSORS
     spark, out = m.train.sparkSession, None
     for name in names or registry:
@@ -202,7 +210,7 @@ def run_baselines(m: ModelInput, test: DataFrame, names: Sequence[str] | None =
             part = evaluate(registry[name](m)(test), m.label, m.classes).select(
                 F.lit(name).alias("model"), "metric", "value", F.lit(None).cast("string").alias("error")
             )
-        except Exception as problem:
+        except ESTIMATOR_ERRORS as problem:
             error = str(problem).splitlines()[0][:200]
             part = spark.createDataFrame([(name, None, None, error)], "model string, metric string, value double, error string")
         out = part if out is None else out.unionByName(part)
@@ -210,7 +218,7 @@ def run_baselines(m: ModelInput, test: DataFrame, names: Sequence[str] | None =
 
 
 # ---------------------------------------------------------------- tuning
-# Search spaces in terms of the Spark estimators' parameters.
+# Search spaces, under the names of the Spark parameters where there is one.
 SPACES: dict[str, dict[str, list]] = {
     "random_forest": {
         "numTrees": [200, 400, 800], "maxDepth": [6, 12, 20], "minInstancesPerNode": [1, 2, 4, 8],
@@ -220,10 +228,13 @@ SPACES: dict[str, dict[str, list]] = {
         "stepSize": [0.01, 0.03, 0.06, 0.1, 0.2], "maxDepth": [4, 5, 6],
         "minInstancesPerNode": [5, 10, 20, 40], "maxIter": [200, 400],
     },
-    "logistic_regression": {"regParam": [100.0, 10.0, 2.0, 1.0, 0.2, 0.05]},
+    "logistic_regression": {"c": [0.01, 0.1, 0.5, 1.0, 5.0, 20.0]},
     "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
     "svm": {"c": [0.1, 0.5, 1.0, 5.0, 10.0, 50.0], "gamma": ["scale", "auto", 0.001, 0.01, 0.1]},
 }
+TUNED: dict[str, Callable[..., Predictor]] = {
+    "random_forest": forest, "hist_gradient_boosting": boosting, "logistic_regression": logistic, "ridge": ridge, "svm": kernel_svm,
+}
 
 
 def sample_space(space: Mapping[str, Sequence], count: int, seed: int) -> list[dict]:
@@ -261,42 +272,16 @@ def tune(
 
     Returns the refitted predictor, its parameters and the table of tried settings.
     """
-    space = space or SPACES[name]
-    spark = m.train.sparkSession
-    settings = sample_space(space, count, m.seed)
-    own = {"ridge": ridge, "svm": kernel_svm}
-    if name in own:
-        scores = []
-        for s in settings:
-            held = out_of_fold(m, lambda part, s=s: own[name](part, **s), fold)
-            scores.append(_fold_score(held, m, fold))
-        best = int(np.argmax(scores))
-        predictor = own[name](m, **settings[best])
-    else:
-        kinds = {
-            "random_forest": RandomForestClassifier if m.classes else RandomForestRegressor,
-            "hist_gradient_boosting": GBTClassifier if m.classes else GBTRegressor,
-            "logistic_regression": LogisticRegression,
-        }
-        estimator = kinds[name](featuresCol="_x", labelCol=m.label)
-        if estimator.hasParam("seed"):
-            estimator = estimator.copy({estimator.getParam("seed"): m.seed})
-        maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-        if m.classes > 2:
-            judge = MulticlassClassificationEvaluator(labelCol=m.label, metricName="accuracy")
-        elif m.classes:
-            judge = BinaryClassificationEvaluator(labelCol=m.label)
-        else:
-            judge = RegressionEvaluator(labelCol=m.label, metricName="rmse")
-        k = m.train.select(F.max(fold)).first()[0] + 1
-        train = m.assembled(m.train).withColumn(fold, F.col(fold).cast("int"))
-        cv = CrossValidator(
-            estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=k, foldCol=fold,
-            parallelism=parallelism, seed=m.seed,
-        ).fit(train)
-        scores = [x if m.classes else -x for x in cv.avgMetrics]
-        best = int(np.argmax(scores))
-        predictor = lambda df: _with_scores(m.assembled(df), cv.bestModel, m.classes)
+    settings = sample_space(space or SPACES[name], count, m.seed)
+    spark, build = m.train.sparkSession, TUNED[name]
+
+    def cv_score(chosen: dict) -> float:
+        return _fold_score(out_of_fold(m, lambda part: build(part, **chosen), fold), m, fold)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(cv_score, settings))
+    best = int(np.argmax(scores))
+    predictor = build(m, **settings[best])
     tried = spark.createDataFrame(
         [(name, i, str(s), float(x)) for i, (s, x) in enumerate(zip(settings, scores))],
         "model string, candidate int, settings string, cv_score double",
@@ -308,7 +293,7 @@ def out_of_fold(m: ModelInput, fit: Callable[[ModelInput], Predictor], fold: str
     """Each training row scored by the model that did not see its fold."""
     out = None
     for f in sorted(r[0] for r in m.train.select(fold).distinct().collect()):
-        rest = ModelInput(m.train.filter(F.col(fold) != f), m.features, m.label, m.classes, m.seed, m.trees, m.boost_rounds)
+        rest = replace(m, train=m.train.filter(F.col(fold) != f))
         part = fit(rest)(m.train.filter(F.col(fold) == f))
         out = part if out is None else out.unionByName(part)
     return out
@@ -376,7 +361,7 @@ def early_fusion(m: ModelInput, blocks: Mapping[str, Sequence[str]], fit: Callab
     def numeric(df):
         return df.withColumns({f: F.col(f).cast("double") for f in flags}) if flags else df
 
-    wide = ModelInput(numeric(m.train), tuple(columns), m.label, m.classes, m.seed, m.trees, m.boost_rounds)
+    wide = replace(m, train=numeric(m.train), features=tuple(columns))
     inner = fit(wide)
     return lambda df: inner(numeric(df))
 
@@ -401,7 +386,7 @@ def late_fusion(
     """One model per block, mixed with readable weights learnt on validation rows."""
     names = list(blocks)
     models = {
-        b: fit(ModelInput(m.train, tuple(blocks[b]), m.label, m.classes, m.seed, m.trees, m.boost_rounds))
+        b: fit(replace(m, features=tuple(blocks[b])))
         for b in names
     }
     scored = validation
@@ -435,7 +420,7 @@ def block_ablation(
     """Metrics of every single block and of the fused model."""
     out = evaluate(fused(test), m.label, m.classes).withColumn("model", F.lit("fused"))
     for b, columns in blocks.items():
-        one = fit(ModelInput(m.train, tuple(columns), m.label, m.classes, m.seed, m.trees, m.boost_rounds))
+        one = fit(replace(m, features=tuple(columns)))
         out = out.unionByName(evaluate(one(test), m.label, m.classes).withColumn("model", F.lit(f"{b}_only")))
     return out.select("model", "metric", "value")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,75 +22,24 @@ from tidemark.operators.ordering import exact_quantiles, value_ranks
 from tidemark.operators.profile import mode_share
 from tidemark.session import cut_lineage
 
-SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
-
-
 # ---------------------------------------------------------------- normality
-def shapiro(x: np.ndarray) -> tuple[float, float]:
-    """W and p by Royston's approximation (3 <= n <= 5000)."""
-    x = np.sort(np.asarray(x, dtype=float))
-    n = x.size
-    m = np.array([tails.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    total, u = float(m @ m), 1 / math.sqrt(n)
-    a = np.empty(n)
-    # Polynomial coefficients of the published algorithm AS R94.
-    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / math.sqrt(total)], u)
-    if n == 3:
-        a[:] = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
-    elif n <= 5:
-        phi = (total - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a[:] = m / math.sqrt(phi)
-        a[0], a[-1] = -last, last
-    else:
-        second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(total)], u)
-        phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a[:] = m / math.sqrt(phi)
-        a[0], a[1], a[-2], a[-1] = -last, -second, second, last
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
-    if n <= 11:
-        gamma = 0.459 * n - 2.273
-        if gamma - math.log(max(1 - w, 1e-300)) <= 0:
-            return w, 1e-99
-        y = -math.log(gamma - math.log(max(1 - w, 1e-300)))
-        mean = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
-        sd = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        y, log_n = math.log(max(1 - w, 1e-300)), math.log(n)
-        mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
-        sd = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
-    return w, tails.normal_upper((y - mean) / sd)
-
+def moment_normality(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Jarque-Bera test per group from one aggregate, at any size: statistic ``jb`` and ``normal_p``.
 
-def _shapiro_groups(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Test per group; groups outside the size range are left out before grouping, so a
-    Python group never exceeds the range's upper end."""
+    Groups of fewer than three values or without spread have no result.
+    """
     x = v.finite(F.col(value))
-    sizes = long.groupBy(*keys).agg(F.count(x).alias("n"), F.stddev_pop(x).alias("sd"))
-    fits = sizes.filter(F.col("n").between(SHAPIRO_MIN, SHAPIRO_MAX) & (F.col("sd") > 1e-12))
-    renamed = fits.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    chosen = long.filter(x.isNotNull()).join(renamed, condition, "left_semi")
-    schema = chosen.select(*keys).schema.add("w", "double").add("normal_p", "double")
-
-    def one(key, pdf):
-        w, p = shapiro(pdf[value].to_numpy(dtype=float))
-        return pd.DataFrame([dict(zip(keys, key)) | {"w": w, "normal_p": p}])
-
-    return chosen.groupBy(*keys).applyInPandas(one, schema)
+    moments = long.groupBy(*keys).agg(F.count(x).alias("n"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("excess"))
+    jb = F.col("n") / 6 * (F.col("skew") ** 2 + F.col("excess") ** 2 / 4)
+    return moments.filter("n >= 3 and sd > 1e-12").select(*keys, jb.alias("jb"), F.exp(-jb / 2).alias("normal_p"))
 
 
 def normality(df: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "variable", "value")
-    tested = _shapiro_groups(long, ["variable"], "value")
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
-    return names.join(tested, "variable", "left").withColumn(
+    return names.join(moment_normality(long, ["variable"], "value"), "variable", "left").withColumn(
         "distribution",
-        F.when(F.col("w").isNull(), "not tested (n out of range)").when(F.col("normal_p") > alpha, "Normal").otherwise("Non-normal"),
+        F.when(F.col("jb").isNull(), "not tested").when(F.col("normal_p") > alpha, "Normal").otherwise("Non-normal"),
     )
 
 
@@ -271,10 +221,16 @@ COMPARISON = (
 )
 
 
-def compare_groups(df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """One row per variable: which test ran, its statistic, p and effect size."""
+def compare_groups(df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05, test: str = "auto") -> DataFrame:
+    """One row per variable: which test ran, its statistic, p and effect size.
+
+    ``test`` is "parametric", "rank", or "auto": rank tests if some group fails the normality
+    test at ``alpha``. The choice does not depend on the number of rows.
+    """
+    if test not in ("auto", "parametric", "rank"):
+        raise ValueError(f"unknown test '{test}'")
     numeric = set(v.numeric_columns(df))
-    groups = df.select(group).dropna().distinct().limit(MAX_CLASSES + 1).count()
+    groups = df.select(group).dropna().distinct().count()
     if groups < 2:
         raise ValueError(f"'{group}' has fewer than two groups")
     out = []
@@ -286,8 +242,8 @@ def compare_groups(df: DataFrame, group: str, columns: Sequence[str], alpha: flo
                 entry["test"] = "not run (insufficient data)"
                 out.append(entry)
                 continue
-            tested = _shapiro_groups(df.select(group, F.col(c).cast("double").alias("value")).dropna(), [group], "value")
-            normal = tested.filter(F.col("normal_p") <= alpha).isEmpty()
+            tested = moment_normality(df.select(group, F.col(c).cast("double").alias("value")).dropna(), [group], "value")
+            normal = test == "parametric" or test == "auto" and tested.filter(F.col("normal_p") <= alpha).isEmpty()
             sums = {} if normal else {r["grp"]: r for r in rank_sums(df, group, c).collect()}
             samples = list(moments.values())
             if len(samples) == 2:
@@ -410,9 +366,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "spe
             for b in columns[i + 1 :]:
                 x, y = v.finite(F.col(a)), v.finite(F.col(b))
                 both = x.isNotNull() & y.isNotNull()
-                exprs.append(F.corr(F.when(both, x), F.when(both, y)).alias(f"{a}|{b}"))
-        found = df.agg(*exprs).first().asDict() if exprs else {}
-        rows = [(*k.split("|"), r) for k, r in found.items()]
+                exprs.append(F.corr(F.when(both, x), F.when(both, y)))
+        found = df.agg(*exprs).first() if exprs else ()
+        rows = [(*pair, r) for pair, r in zip(combinations(columns, 2), found, strict=True)]
     else:
         for i, a in enumerate(columns[:-1]):
             rest = list(columns[i + 1 :])
@@ -501,9 +457,11 @@ def cv_summary(folds: DataFrame, metric: str, value: str) -> DataFrame:
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     ).filter("n >= 2")
-    counts = [r["n"] for r in base.select("n").distinct().limit(1000).collect()]
-    t = F.lit(None).cast("double")
-    for n in counts:
-        t = F.when(F.col("n") == n, F.lit(tails.t_quantile(0.975, n - 1))).otherwise(t)
+
+    @F.pandas_udf("double")
+    def t_of(n: pd.Series) -> pd.Series:
+        return n.map({k: tails.t_quantile(0.975, k - 1) for k in n.unique()})
+
+    t = t_of("n")
     half = t * F.col("sd") / F.sqrt("n")
     return base.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})

@@ -295,8 +295,7 @@ WELCH_SQL = """m AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_extendedpric
     f"""WITH {WELCH_SQL} SELECT 'l_extendedprice' AS variable, CAST(2 AS BIGINT) AS groups, 'Welch t-test' AS test, round(t, 4) AS statistic, round(d, 5) AS effect_value FROM t""",
 )
 def group_compare(spark, sf):
-    """Groups above 5000 rows are outside the normality test and count as normal."""
-    out = stats.compare_groups(table(spark, sf, "lineitem"), "l_linestatus", ["l_extendedprice"])
+    out = stats.compare_groups(table(spark, sf, "lineitem"), "l_linestatus", ["l_extendedprice"], test="parametric")
     return out.select("variable", "groups", "test", F.round("statistic", 4).alias("statistic"), F.round("effect_value", 5).alias("effect_value"))
 
 
@@ -340,7 +339,7 @@ def chi_square_2x2(spark, sf):
        SELECT 'o_totalprice' AS variable, 'Kruskal-Wallis' AS test, round(h / c, 3) AS statistic, round(eta, 8) AS effect_value FROM k, e""",
 )
 def group_compare_many(spark, sf):
-    out = stats.compare_groups(table(spark, sf, "orders"), "o_orderpriority", ["o_totalprice"])
+    out = stats.compare_groups(table(spark, sf, "orders"), "o_orderpriority", ["o_totalprice"], test="rank")
     return out.select("variable", "test", F.round("statistic", 3).alias("statistic"), F.round("effect_value", 8).alias("effect_value"))
 
 
@@ -434,11 +433,18 @@ def p_format(spark, sf):
     return df.select("p_partkey", stats.p_text(F.col("p")).alias("shown"), stats.p_stars(F.col("p")).alias("stars"))
 
 
-@query("normality")
+@query(
+    "normality",
+    """WITH m AS (SELECT CAST(c_nationkey AS VARCHAR) AS variable, c_acctbal AS x, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS mu FROM customer),
+            s AS (SELECT variable, count(*) AS n, avg((x - mu) ** 2) AS m2, avg((x - mu) ** 3) AS m3, avg((x - mu) ** 4) AS m4 FROM m GROUP BY 1),
+            j AS (SELECT variable, n / 6 * (m3 * m3 / m2 ** 3 + (m4 / (m2 * m2) - 3) ** 2 / 4) AS jb FROM s WHERE n >= 3 AND m2 > 1e-24)
+       SELECT variable, round(jb, 8) AS jb, round(exp(-jb / 2), 8) AS normal_p FROM j""",
+)
 def normality(spark, sf):
-    """Customer balances by nation: groups within the size range of the test."""
+    """Customer balances by nation."""
     df = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("variable"), F.col("c_acctbal").alias("value"))
-    return stats._shapiro_groups(df, ["variable"], "value")
+    out = stats.moment_normality(df, ["variable"], "value")
+    return out.select("variable", F.round("jb", 8).alias("jb"), F.round("normal_p", 8).alias("normal_p"))
 
 
 # ---------------------------------------------------------------- resampling
@@ -763,14 +769,16 @@ def tabular_reference(spark, sf):
 # ---------------------------------------------------------------- blocks and text
 @query(
     "modality_inference",
-    """SELECT * FROM (VALUES ('scan_path', 'image'), ('text', 'text'), ('gene_a', 'genomic'), ('lang', 'tabular'), ('source', 'tabular'), ('n_chars', 'tabular')) t("column", modality)
-       WHERE (SELECT count(*) FROM documents) > 0""",
+    """WITH c AS (SELECT 'scan_path' AS "column", 'scans/' || doc_id || '.png' AS s FROM documents UNION ALL SELECT 'text', text FROM documents
+              UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents)
+       SELECT "column", CASE WHEN avg(CASE WHEN regexp_matches(lower(s), '\\.(png|jpe?g|bmp|tiff?|dcm|nii|nii\\.gz)$') THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'image' WHEN avg(len(s)) > 60 THEN 'text' ELSE 'tabular' END AS modality
+       FROM c GROUP BY 1 UNION ALL SELECT 'gene_a', 'genomic' UNION ALL SELECT 'n_chars', 'tabular'""",
 )
 def modality_inference(spark, sf):
     df = table(spark, sf, "documents").withColumns(
         {"scan_path": F.concat(F.lit("scans/"), F.col("doc_id").cast("string"), F.lit(".png")), "gene_a": F.col("n_chars") % 7}
     )
-    return modality.modality_table(spark, modality.infer_modalities(df, "doc_id", order="doc_id"))
+    return modality.modality_table(spark, modality.infer_modalities(df, "doc_id"))
 
 
 @query(

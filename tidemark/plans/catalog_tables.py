@@ -797,7 +797,7 @@ def leak_names(spark, sf):
 
 @query(
     "leak_codes",
-    r"""WITH h AS (SELECT 'E1' || CAST(p_size % 8 AS VARCHAR) AS code FROM part ORDER BY p_partkey LIMIT 500)
+    r"""WITH h AS (SELECT 'E1' || CAST(p_size % 8 AS VARCHAR) AS code FROM part)
         SELECT 'code' AS "column", p AS pattern, round(avg(CASE WHEN regexp_matches(code, p, 'i') THEN 1.0 ELSE 0.0 END), 6) AS share,
                avg(CASE WHEN regexp_matches(code, p, 'i') THEN 1.0 ELSE 0.0 END) > 0.1 AS flagged
         FROM h, (VALUES ('^250(\.\d+)?$'), ('^E0[89]'), ('^E1[0-3]')) t(p) GROUP BY p""",
@@ -805,7 +805,7 @@ def leak_names(spark, sf):
 def leak_codes(spark, sf):
     code = F.concat(F.lit("E1"), (F.col("p_size") % 8).cast("string"))
     df = table(spark, sf, "part").select("p_partkey", code.alias("code"))
-    out = leakage.code_columns(df, "diabetes", ["code"], "p_partkey")
+    out = leakage.code_columns(df, "diabetes", ["code"])
     return out.withColumn("share", F.round("share", 6))
 
 

@@ -145,14 +145,14 @@ def horizon_pairs(spark, sf):
     return pairs.select("user_id", "event_id", "target", F.round("elapsed_min", 4).alias("elapsed_min"))
 
 
-SPANS_SQL = f"""{E_SQL}, sp AS (SELECT user_id, event_id, t AS s, t + CAST(value * 600 * 1000000 AS BIGINT) AS f FROM e),
+SPANS_SQL = f"""{E_SQL}, sp AS (SELECT user_id, event_id, t AS s, t + CAST(round(value * 600 * 1000000) AS BIGINT) AS f FROM e),
   r AS (SELECT *, max(f) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
   k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, event_id) - 1 AS session FROM r)"""
 
 
 def spans(spark, sf):
     return events_us(spark, sf).select(
-        "user_id", "event_id", F.col("t").alias("s"), (F.col("t") + (F.col("value") * 600 * 1000000).cast("long")).alias("f")
+        "user_id", "event_id", F.col("t").alias("s"), (F.col("t") + F.round(F.col("value") * 600 * 1000000).cast("long")).alias("f")
     )
 
 
@@ -209,13 +209,16 @@ HRV = ["mean_rr", "sdnn", "rmssd", "pnn50", "pnn20", "sd1", "cvnn", "mean_hr", "
                avg(CASE WHEN abs(d) > 50 THEN 100.0 WHEN d IS NOT NULL THEN 0.0 END) AS pnn50, avg(CASE WHEN abs(d) > 20 THEN 100.0 WHEN d IS NOT NULL THEN 0.0 END) AS pnn20,
                sqrt(0.5) * stddev_samp(d) AS sd1 FROM d GROUP BY ALL HAVING count(*) >= 10),
         c AS (SELECT *, sdnn / (mean_rr + 1e-12) AS cvnn, 60000 / (mean_rr + 1e-12) AS mean_hr, CASE WHEN 2 * sdnn * sdnn - sd1 * sd1 > 0 THEN sqrt(2 * sdnn * sdnn - sd1 * sd1) ELSE 0 END AS sd2 FROM b),
-        z AS (SELECT *, sd1 / (sd2 + 1e-12) AS sd1_sd2 FROM c)
-        SELECT user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, n_beats, {rounded_sql(HRV)} FROM z WHERE sd2 > 0.001""",
+        z AS (SELECT * REPLACE (round(sd2, 4) AS sd2), CASE WHEN round(sd2, 4) > 0 THEN sd1 / round(sd2, 4) END AS sd1_sd2 FROM c)
+        SELECT user_id, CAST(window_start // 1000000 AS BIGINT) AS window_s, n_beats, {rounded_sql(HRV)} FROM z""",
 )
 def rr_time_domain(spark, sf):
     rr = events_us(spark, sf).withColumn("rr", F.col("value") * 10)
     out = windows.hrv_time(rr, ["user_id"], "t", "rr", 8 * DAY, 4 * DAY, "event_id")
-    return out.filter("sd2 > 0.001").select(
+    # Where the ellipse is a line, its width is rounding noise: no ratio.
+    width = F.round("sd2", 4)
+    out = out.withColumns({"sd2": width, "sd1_sd2": F.when(width > 0, F.col("sd1") / width)})
+    return out.select(
         "user_id", F.expr("window_start div 1000000").alias("window_s"), "n_beats", *rounded(HRV)
     )
 

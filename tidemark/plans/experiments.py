@@ -150,7 +150,7 @@ def table_experiment(
     if classes == 2:
         held = models.out_of_fold(m, models.logistic)
         out["thresholds"] = metrics.threshold_sweep(held, target, "proba")
-    numeric = [c for c in v.numeric_columns(rows, booleans=False) if c not in (*reserved, target)][:40]
+    numeric = [c for c in v.numeric_columns(rows, booleans=False) if c not in (*reserved, target)]
     out["describe"] = stats.describe(rows, numeric) if numeric else spark.createDataFrame([], "variable string")
     return out
 
@@ -258,7 +258,7 @@ def sensor_windows(spark: SparkSession, root: str, settings: WindowSettings = Wi
 
     summary = sensors.long_signals(rows.filter("kind = 'summary'")).filter("value is not null")
     summary = summary.withColumn("channel", v.feature_tag(F.col("channel")))
-    channels = [r["channel"] for r in summary.groupBy("channel").agg(F.min("ordinal").alias("o")).orderBy("o", "channel").limit(12).collect()]
+    channels = [r["channel"] for r in summary.groupBy("channel").agg(F.min("ordinal").alias("o")).orderBy("o", "channel").collect()]
     if channels:
         found = shape(summary.filter(F.col("channel").isin(channels)), [*series, "channel"])
         wide = windows.widen(found, [*series, "window_start"], "channel", windows.STAT_NAMES, channels)

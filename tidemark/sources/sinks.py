@@ -71,14 +71,12 @@ def selected_features(spark, names: Sequence[str], mask: Sequence[bool]) -> Data
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN to null, infinities to text, timestamps to ISO text."""
+    """NaN to null, timestamps to ISO text; infinities Spark itself writes as text."""
     columns = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            text = F.when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(c.cast("string"))
-            has_inf = F.abs(c) == float("inf")
-            c = F.when(F.isnan(c), None).when(has_inf, text).otherwise(c.cast("string"))
+            c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):
