@@ -25,6 +25,8 @@ from tidemark.llm.components import components, settle
 RADIUS, BLOCKS = 4, 6
 #: Fingerprints a part of a bucket holds on average at most, and rows of one comparison.
 TILE, ROWS = 2048, 128
+#: One in so many fingerprints tells which buckets are large. This settles only how many tasks share a bucket.
+SAMPLED = 16
 #: Rows of whole groups compared at once.
 BUFFER = 65_536
 #: Shingles whose bits are counted at once.
@@ -80,7 +82,8 @@ def dealt(prints: DataFrame, radius: int, blocks: int, key: str = "fp") -> DataF
     """
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(agreeing(blocks, radius))])
     rows = prints.withColumn("at", F.explode(masks)).withColumn("bucket", F.xxhash64("at.choice", "at.bits")).withColumn("choice", F.col("at.choice")).drop("at")
-    large = rows.groupBy("bucket").count().where(F.col("count") > TILE).select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
+    sampled = rows.where(F.pmod(F.xxhash64(F.lit("large"), key), F.lit(SAMPLED)) == 0).groupBy("bucket").count().where(F.col("count") > TILE // SAMPLED)
+    large = sampled.select("bucket", F.ceil(F.col("count") * SAMPLED / TILE).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int")
     pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other))
@@ -122,7 +125,9 @@ def close_pairs(group: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[
     Rows are sorted by group and population count, so once a later tile shares no group with
     this one, or within a group its counts are out of reach, no further tile is looked at.
     """
-    prints, counts = prints.view(np.uint64), np.bitwise_count(prints.view(np.uint64)).astype(np.int64)
+    together = np.flatnonzero(np.bincount(group)[group] > 1)
+    group, prints = group[together], prints[together].view(np.uint64)
+    counts = np.bitwise_count(prints).astype(np.int64)
     for a in range(0, len(prints), ROWS):
         a_end = min(a + ROWS, len(prints)) - 1
         for b in range(a, len(prints), ROWS):
@@ -134,7 +139,7 @@ def close_pairs(group: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[
             near &= group[left, None] == group[None, right]
             i, j = np.nonzero(np.triu(near, 1) if a == b else near)
             if len(i):
-                yield i + a, j + b
+                yield together[i + a], together[j + b]
 
 
 def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
