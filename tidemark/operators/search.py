@@ -3,7 +3,7 @@ few masks that an iterative optimiser carries between jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -321,38 +321,133 @@ class SearchResult:
 HISTORY = "generation int, best_fitness double, mean_fitness double, n_selected int, archive_size int, field_entropy double"
 
 
-class _Memo:
-    """Fitness per mask; unseen masks of a generation are scored in one call."""
+@dataclass(frozen=True)
+class Masks:
+    """Masks of one generation, a row each, with fitness (after penalties) and score."""
+
+    on: np.ndarray
+    fitness: np.ndarray
+    score: np.ndarray
+
+    def with_rows(self, at: np.ndarray, other: Masks) -> Masks:
+        on, fitness, score = self.on.copy(), self.fitness.copy(), self.score.copy()
+        on[at], fitness[at], score[at] = other.on, other.fitness, other.score
+        return Masks(on, fitness, score)
+
+    def take(self, at) -> Masks:
+        return Masks(self.on[at], self.fitness[at], self.score[at])
+
+
+@dataclass(frozen=True)
+class State:
+    """What one generation hands to the next. ``weak`` holds the penalty of each weak mask,
+    ``guide`` how much strong masks agree on each feature."""
+
+    generation: int
+    people: Masks
+    best: Masks
+    weak: dict[bytes, float]
+    guide: np.ndarray | None
+    since_best: int
+    since_new: int
+
+
+class Judge:
+    """Fitness of masks: score and lightness; each mask is scored once, unseen ones in one call."""
 
     def __init__(self, scorer: Scorer, alpha: float):
         self.scorer, self.alpha, self.known = scorer, alpha, {}
 
-    def __call__(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fresh = {m.tobytes(): m for m in masks if m.tobytes() not in self.known}
-        if fresh:
-            for key, s in zip(fresh, self.scorer(list(fresh.values()))):
-                light = 1 - fresh[key].sum() / fresh[key].size
-                self.known[key] = (self.alpha * s + (1 - self.alpha) * light, s)
-        pairs = np.array([self.known[m.tobytes()] for m in masks])
-        return pairs[:, 0], pairs[:, 1]
-
-
-def _resize(mask: np.ndarray, low: int, high: int, rng) -> np.ndarray:
-    """Switch random features on or off until the size is within bounds."""
-    excess = int(mask.sum()) - int(np.clip(mask.sum(), low, high))
-    if excess:
-        pool = np.flatnonzero(mask == (excess > 0))
-        mask = mask.copy()
-        mask[rng.choice(pool, abs(excess), replace=False)] ^= True
-    return mask
-
-
-def _entropy(signal: np.ndarray) -> float:
-    if signal.size < 2:
-        return 0.0
-    share = np.clip(signal, 1e-12, 1)
+    def __call__(self, on: np.ndarray, weak: Mapping[bytes, float]) -> Masks:
+        keys = [m.tobytes() for m in on]
+        unseen = {k: m for k, m in zip(keys, on) if k not in self.known}
+        if unseen:
+            self.known |= zip(unseen, self.scorer(list(unseen.values())))
+        score = np.array([self.known[k] for k in keys])
+        raw = self.alpha * score + (1 - self.alpha) * (1 - on.mean(axis=1))
+        penalty = np.array([weak.get(k, 0.0) for k in keys])
+        return Masks(on, np.where(penalty > 0, np.maximum(0.0, raw - penalty), raw), score)
+
+
+def random_masks(count: int, p: int, sizes: tuple[int, int], rng) -> np.ndarray:
+    """Masks of random size within bounds: the features with the smallest random ranks."""
+    size = rng.integers(sizes[0], sizes[1] + 1, (count, 1))
+    return rng.random((count, p)).argsort(axis=1).argsort(axis=1) < size
+
+
+def resized(on: np.ndarray, sizes: tuple[int, int], rng) -> np.ndarray:
+    """The same masks with random features switched on or off until their size is within bounds.
+
+    Ranked with features that are on first, in random order, the first ones up to the size stay.
+    """
+    rank = (rng.random(on.shape) - on).argsort(axis=1).argsort(axis=1)
+    return rank < np.clip(on.sum(axis=1), *sizes)[:, None]
+
+
+def penalties(state: State, s: SearchSettings, bar: float) -> dict[bytes, float]:
+    """Earlier penalties and those of masks below the bar, one decay later."""
+    if not s.use_archive:
+        return {}
+    below = {m.tobytes(): float(bar - f) for m, f in zip(state.people.on, state.people.fitness) if f < bar}
+    merged = {k: max(below.get(k, 0.0), state.weak.get(k, 0.0)) * s.decay for k in {**state.weak, **below}}
+    return {k: x for k, x in merged.items() if x > 1e-6}
+
+
+def guidance(state: State, s: SearchSettings, bar: float, rng) -> np.ndarray:
+    """Strongest noisy vote of a strong mask for each feature, smoothed over generations."""
+    if not s.use_field:
+        return np.zeros(state.people.on.shape[1])
+    strong = state.people.take(state.people.fitness >= bar)
+    above = strong.fitness - strong.fitness.min()
+    weight = above / above.max() if above.max() >= 1e-9 else np.ones_like(above)
+    votes = s.sensing * weight[:, None] + (1 - s.sensing) * rng.random(strong.on.shape)
+    now = (votes * strong.on).max(axis=0)
+    return now if state.guide is None else s.smoothing * now + (1 - s.smoothing) * state.guide
+
+
+def offspring(state: State, guide: np.ndarray, s: SearchSettings, sizes: tuple[int, int], rng) -> np.ndarray:
+    """Children of weaker than average parents take features from the best mask where the guide says
+    so, else from the parent or a coin; children of the others seldom change one feature."""
+    parents = state.people.take(slice(0, len(state.people.fitness) - s.use_elite))
+    draw, keep, coin = rng.random((3, *parents.on.shape))
+    own = keep < s.sensing * parents.fitness[:, None]
+    mixed = np.select([draw < guide, own], [np.broadcast_to(state.best.on, own.shape), parents.on], coin < 0.5)
+    chance = np.full(own.shape, np.inf)
+    chance[np.arange(len(own)), rng.integers(own.shape[1], size=len(own))] = rng.random(len(own))
+    weaker = parents.fitness < state.people.fitness.mean()
+    children = resized(np.where(weaker[:, None], mixed, parents.on ^ (chance < 0.05)), sizes, rng)
+    return np.vstack([state.best.on, children]) if s.use_elite else children
+
+
+def next_state(state: State, judge: Judge, s: SearchSettings, sizes: tuple[int, int]) -> State:
+    """The generation after ``state``; its random numbers depend on the seed and its number only."""
+    rng = np.random.default_rng([s.seed, state.generation + 1])
+    bar = np.percentile(state.people.fitness, s.strong_percentile)
+    weak, guide = penalties(state, s, bar), guidance(state, s, bar, rng)
+    people = judge(offspring(state, guide, s, sizes, rng), weak)
+    is_best = (people.on == state.best.on).all(axis=1)
+    if s.use_elite:
+        # The best mask keeps its place and, whatever its penalty, its fitness.
+        people = people.with_rows(np.flatnonzero(is_best)[:1], state.best)
+    since_new = state.since_new + 1
+    if since_new >= s.stagnation:
+        replaceable = np.flatnonzero(~is_best) if s.use_elite else np.arange(len(is_best))
+        count = min(len(replaceable), max(1, int(len(is_best) * s.injection)))
+        at = replaceable[people.fitness[replaceable].argsort()[:count]]
+        people, since_new = people.with_rows(at, judge(random_masks(count, len(guide), sizes, rng), weak)), 0
+    lead = people.take([int(people.fitness.argmax())])
+    better = bool(lead.fitness[0] > state.best.fitness[0])
+    return State(
+        state.generation + 1, people, lead if better else state.best, weak, guide,
+        0 if better else state.since_best + 1, 0 if better else since_new,
+    )
+
+
+def entropy(guide: np.ndarray) -> float:
+    """Evenness of the guide over the features, 0 to 1."""
+    share = np.clip(guide, 1e-12, 1)
     share = share / share.sum()
-    return float(-(share @ np.log(share)) / np.log(signal.size))
+    return float(-(share @ np.log(share)) / np.log(guide.size)) if guide.size > 1 else 0.0
 
 
 def search(features: Sequence[str], scorer: Scorer, settings: SearchSettings = SearchSettings()) -> SearchResult:
@@ -361,94 +456,30 @@ def search(features: Sequence[str], scorer: Scorer, settings: SearchSettings = S
     s, p = settings, len(features)
     if p < 2:
         raise ValueError("the search needs at least two features")
-    low, high = s.bounds(p)
-    size = max(4, s.population)
-    rng = np.random.default_rng(s.seed)
-    memo = _Memo(scorer, s.alpha)
-
-    def random_mask() -> np.ndarray:
-        mask = np.zeros(p, dtype=bool)
-        mask[rng.choice(p, int(rng.integers(low, high + 1)), replace=False)] = True
-        return mask
-
-    people = np.array([random_mask() for _ in range(size)])
-    fitness, scores = memo(people)
-    lead = int(fitness.argmax())
-    best = SearchResult(list(features), people[lead].copy(), float(fitness[lead]), float(scores[lead]), 0)
-    archive: dict[bytes, float] = {}
-    signal: np.ndarray | None = None
-    stale = idle = 0
-
-    def penalised(masks, raw):
-        if not s.use_archive:
-            return raw.copy()
-        due = np.array([archive.get(m.tobytes(), 0.0) for m in masks])
-        return np.where(due > 0, np.maximum(0.0, raw - due), raw)
-
+    sizes, judge = s.bounds(p), Judge(scorer, s.alpha)
+    first = judge(random_masks(max(4, s.population), p, sizes, np.random.default_rng([s.seed, 0])), {})
+    state = State(0, first, first.take([int(first.fitness.argmax())]), {}, None, 0, 0)
+    history: list[tuple] = []
+    stopped_at = None
     for generation in range(s.generations):
-        bar = np.percentile(fitness, s.strong_percentile)
-        strong = fitness >= bar
-        if s.use_archive:
-            for mask, value in zip(people[~strong], fitness[~strong]):
-                key = mask.tobytes()
-                archive[key] = max(archive.get(key, 0.0), float(bar - value))
-            archive = {k: x * s.decay for k, x in archive.items() if x * s.decay > 1e-6}
-        if s.use_field:
-            spread = np.ptp(fitness[strong])
-            weight = (fitness[strong] - fitness[strong].min()) / spread if spread >= 1e-9 else np.ones(strong.sum())
-            noise = rng.random((int(strong.sum()), p))
-            emitted = ((weight[:, None] * s.sensing + (1 - s.sensing) * noise) * people[strong]).max(axis=0)
-            signal = emitted if signal is None else s.smoothing * emitted + (1 - s.smoothing) * signal
-        else:
-            signal = np.zeros(p)
-
-        parents = people[: size - 1] if s.use_elite else people
-        parent_fit = fitness[: len(parents)]
-        r = rng.random((3, len(parents), p))
-        inherit = r[0] < signal
-        retain = ~inherit & (r[1] < parent_fit[:, None] * s.sensing)
-        mutated = np.where(inherit, best.mask, np.where(retain, parents, r[2] < 0.5))
-        flipped = parents.copy()
-        for i in np.flatnonzero(rng.random(len(parents)) < 0.05):
-            flipped[i, rng.integers(p)] ^= True
-        children = np.where((parent_fit < fitness.mean())[:, None], mutated, flipped)
-        children = np.array([_resize(c, low, high, rng) for c in children])
-        people = np.vstack([best.mask, children]) if s.use_elite else children
-
-        raw, scores = memo(people)
-        fitness = penalised(people, raw)
-        is_best = (people == best.mask).all(axis=1)
-        if s.use_elite and not is_best.any():
-            worst = int(fitness.argmin())
-            people[worst], fitness[worst], scores[worst] = best.mask, best.fitness, best.score
-
-        stale += 1
-        if stale >= s.stagnation:
-            order = [i for i in fitness.argsort() if not (s.use_elite and (people[i] == best.mask).all())]
-            chosen = order[: max(1, int(size * s.injection))]
-            fresh = np.array([random_mask() for _ in chosen])
-            new_raw, new_scores = memo(fresh)
-            people[chosen], fitness[chosen], scores[chosen] = fresh, penalised(fresh, new_raw), new_scores
-            stale = 0
-
-        lead = int(fitness.argmax())
-        idle += 1
-        if fitness[lead] > best.fitness:
-            best = replace(best, mask=people[lead].copy(), fitness=float(fitness[lead]), score=float(scores[lead]))
-            stale = idle = 0
-        best.history.append((generation, best.fitness, float(fitness.mean()), int(best.mask.sum()), len(archive), _entropy(signal)))
-        if s.patience and idle >= s.patience:
-            best.stopped_at = generation
+        state = next_state(state, judge, s, sizes)
+        history.append((
+            generation, float(state.best.fitness[0]), float(state.people.fitness.mean()), int(state.best.on.sum()),
+            len(state.weak), entropy(state.guide),
+        ))
+        if s.patience and state.since_best >= s.patience:
+            stopped_at = generation
             break
-    best.evaluations = len(memo.known)
-    return best
+    return SearchResult(
+        list(features), state.best.on[0], float(state.best.fitness[0]), float(state.best.score[0]), len(judge.known), history, stopped_at
+    )
 
 
 def history_table(spark, result: SearchResult) -> DataFrame:
     return spark.createDataFrame(result.history, HISTORY)
 
 
-# Settings of each ablation variant.
+# Names and settings of the ablation variants.
 VARIANTS = {
     "full": {},
     "no_quorum_sensing": {"use_field": False},
