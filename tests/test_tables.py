@@ -38,17 +38,21 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
         z.writestr("one.csv", text)
         z.writestr("deep/two.csv.gz", gzip.compress(text.encode()))
+        z.writestr("deep/one.csv", "pid,x\n7,8\n")
         z.writestr("__MACOSX/one.csv", text)
         z.writestr("empty.csv", "pid,x\n")
         z.writestr("readme.md", "no")
     for name in ("a.csv.gz", "b.csv.bz2", "c.csv.xz"):
         assert tables.read_table(spark, str(tmp_path / name)).count() == 2
     found = tables.read_any(spark, str(tmp_path / "d.zip"))
-    assert sorted(found) == ["d.zip:one.csv", "d.zip:two.csv"]
-    assert all(df.count() == 2 for df in found.values())
-    assert len(tables.read_folder(spark, str(tmp_path))) == 5
+    assert sorted(found) == ["d.zip:deep/one.csv", "d.zip:deep/two.csv", "d.zip:one.csv"]
+    assert [found[name].count() for name in sorted(found)] == [1, 2, 2]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.csv.gz").write_bytes(gzip.compress(b"pid,x\n5,6\n"))
+    folder = tables.read_folder(spark, str(tmp_path))
+    assert len(folder) == 7 and {"a.csv.gz", "sub/a.csv.gz"} <= folder.keys()
     preview = tables.describe_paths(spark, [str(tmp_path), str(tmp_path / "gone.csv")]).toPandas()
-    assert preview["status"].str.startswith("error").sum() == 1 and preview["rows"].sum() == 10
+    assert preview["status"].str.startswith("error").sum() == 1 and preview["rows"].sum() == 12
 
 
 def test_stack_and_merge(spark):

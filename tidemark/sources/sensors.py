@@ -223,7 +223,11 @@ def positions_of(names: Column, test) -> Column:
 
 
 def read_targets(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """targets(subject_id, t_us, value): one value per subject and time, first file first."""
+    """targets(subject_id, t_us, value): one value per subject and time, first file first.
+
+    The value column is chosen once per file: the first with a value's name, else the first
+    that holds a number. Where its cell is empty the row has no value.
+    """
     wanted = files.filter("kind = 'target'")
     paths = [r["path"] for r in wanted.select("path").collect()]
     lines = numbered_lines(spark, paths)
@@ -232,11 +236,13 @@ def read_targets(spark: SparkSession, files: DataFrame) -> DataFrame:
     named = F.col("channel").contains("glucose") | F.col("channel").isin("value", "glycemia", "bg")
     value_rank = F.struct(F.when(named, 0).otherwise(1), "ordinal")
     stamp_like = F.col("channel").contains("time") | F.col("channel").contains("date")
-    rows = long.groupBy("path", "row_pos").agg(
+    usable = long.filter(~stamp_like & (named | number.isNotNull()))
+    chosen = usable.groupBy("path").agg(F.min_by("ordinal", value_rank).alias("value_ordinal"))
+    rows = long.join(chosen, "path", "left").groupBy("path", "row_pos").agg(
         F.max(F.when(F.col("channel") == "date", F.col("text"))).alias("day"),
         F.max(F.when(F.col("channel") == "time", F.col("text"))).alias("clock"),
         F.min_by(F.when(stamp_like, F.col("text")), F.when(stamp_like, F.col("ordinal"))).alias("stamp"),
-        F.min_by(number, F.when(~stamp_like & number.isNotNull(), value_rank)).alias("value"),
+        F.max(F.when(F.col("ordinal") == F.col("value_ordinal"), number)).alias("value"),
     )
     both = F.col("day").isNotNull() & F.col("clock").isNotNull()
     text = F.when(both, F.concat_ws(" ", "day", "clock")).otherwise(F.col("stamp"))

@@ -7,6 +7,7 @@ import gzip
 import io
 import lzma
 import zipfile
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import PurePosixPath
 
@@ -96,7 +97,7 @@ def _archive_members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
                     data, member = bz2.decompress(data), member[:-4]
                 elif lowered.endswith(".xz"):
                     data, member = lzma.decompress(data), member[:-3]
-                yield f"{name}:{PurePosixPath(member).name}", data
+                yield f"{name}:{member}", data
     elif name.lower().endswith(".xz"):
         yield name, lzma.decompress(content)
 
@@ -121,14 +122,19 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
-    """Every non-empty table inside zip or xz files, keyed ``archive:member``."""
+    """Every non-empty table inside zip or xz files, keyed ``archive:member`` by its path inside.
+
+    Archives of one name in different folders have their whole path in the key.
+    """
     lines = archive_lines(spark, path)
-    heads = lines.filter("line_no = 0").select("member", "line").collect()
+    heads = lines.filter("line_no = 0").select("path", "member").collect()
     tables = {}
+    labels = Counter(head["member"] for head in heads)
     for head in heads:
+        key = head["member"] if labels[head["member"]] == 1 else f"{PurePosixPath(head['path']).parent}/{head['member']}"
         sep = "\t" if head["member"].lower().removesuffix(".xz").endswith(".tsv") else ","
         # RDD only as the carrier Spark's CSV reader accepts for in-memory lines.
-        body = lines.filter(F.col("member") == head["member"]).select("line")
+        body = lines.filter((F.col("member") == head["member"]) & (F.col("path") == head["path"])).select("line")
         df = (
             spark.read.option("header", True).option("inferSchema", True).option("sep", sep)
             .options(**options)
@@ -136,7 +142,7 @@ def read_archives(spark: SparkSession, path: str, **options) -> dict[str, DataFr
         )
         df = strip_names(df)
         if not df.isEmpty():
-            tables[head["member"]] = df
+            tables[key] = df
     return tables
 
 
@@ -168,9 +174,13 @@ def list_tables(
 def read_folder(
     spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, **options
 ) -> dict[str, DataFrame]:
+    """Tables of a folder, keyed by their path below it."""
     tables: dict[str, DataFrame] = {}
+    root = folder.rstrip("/").split(":")[-1].rstrip("/") + "/"
     for path in list_tables(spark, folder, pattern, recursive):
-        tables.update(read_any(spark, path.removeprefix("file:"), **options))
+        inside = PurePosixPath(path.split(root, 1)[-1]).parent
+        for name, df in read_any(spark, path.removeprefix("file:"), **options).items():
+            tables[str(inside / name)] = df
     return tables
 
 
