@@ -102,7 +102,7 @@ def labelled(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    model = toxicity.fit(labelled(spark))
+    model = toxicity.fit(labelled(spark), labelled(spark))
     rows = docs(spark, [*ODD, *ODD[:2], "vilest vilest", "Vilest!"])
     got = toxicity.scores(rows, model).collect()
     score = {r.doc_id: r.score for r in got}
@@ -114,8 +114,8 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_toxicity_without_both_labels(spark):
     table = labelled(spark)
-    assert toxicity.fit(table.limit(0)).base == 0.0
-    only = toxicity.fit(table.where("toxic = 1"))
+    assert toxicity.fit(table, table.limit(0)).base == 0.0
+    only = toxicity.fit(table, table.where("toxic = 1"))
     assert {r.score for r in toxicity.scores(docs(spark, ["a", None]), only).collect()} == {1.0}
 
 

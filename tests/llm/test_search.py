@@ -112,7 +112,7 @@ def test_pipeline(spark, tmp_path):
         before = steps[name] = spark.read.parquet(str(tmp_path / name))
         assert name == names[-1] or before.columns == columns
     ids = {n: sorted(str(r.doc_id) for r in s.select("doc_id").collect()) for n, s in steps.items()}
-    model = toxicity.fit(toxicity.training_rows(steps[""], spark.read.parquet(f"{SMALL}/labels.parquet")))
+    model = toxicity.fit(steps[""], toxicity.training_labels(spark.read.parquet(f"{SMALL}/labels.parquet")))
     assert ids["toxicity"] == sorted(str(r.doc_id) for r in toxicity.scores(steps[""], model).where("score < 0.5").collect())
     assert ids["line_dedup"] == ids["toxicity"]
     assert lines.deduplicated(steps["line_dedup"], report="gone").where("size(gone) > 0").count() == 0

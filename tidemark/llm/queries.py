@@ -61,7 +61,7 @@ def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     scores = toxicity.scores(docs, model)
     return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

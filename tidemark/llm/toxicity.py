@@ -183,13 +183,18 @@ def learn(rows: list[tuple[str, int]], toxic_share: float) -> Model:
     return best[1]
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Model from rows that hold key, text and label."""
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("body"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Model from the texts of ``docs`` whose keys ``labels`` holds with a label.
+
+    The sample is drawn from the labels alone, so at most ``2 * SAMPLE`` keys are sent to where
+    the texts are and only their texts move. Of rows that share a key one text is taken.
+    """
+    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    short = rows.where(f"body is not null and length(body) <= {SAMPLE_CHARS}")
-    sample = [(r.body, r.label) for y in (0, 1) for r in short.where(F.col("label") == y).orderBy(F.xxhash64("key"), "key", "body").limit(SAMPLE).collect()]
-    return learn(sample, toxic / total if total else 0.0)
+    drawn = [rows.where(F.col("label") == y).orderBy(F.xxhash64("key"), "key").limit(SAMPLE) for y in (0, 1)]
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).where(f"body is not null and length(body) <= {SAMPLE_CHARS}")
+    sample = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "key").groupBy("key", "label").agg(F.min("body").alias("body"))
+    return learn([(r.body, r.label) for r in sample.orderBy(F.xxhash64("key"), "key", "label").collect()], toxic / total if total else 0.0)
 
 
 @lru_cache(maxsize=2)
@@ -232,6 +237,6 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts that are not held out."""
-    return docs.select("doc_id", "text").join(labels.where("doc_id is not null").select("doc_id", "toxic"), "doc_id").where(~held_out())
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels of rows that are not held out."""
+    return labels.where("doc_id is not null").where(~held_out())
