@@ -188,6 +188,7 @@ def test_repeated_strings(spark):
 
 def test_repeated_strings_of_crowded_cores(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 5)
+    monkeypatch.setattr(suffixes, "STEP", 4)
     check_repeats(spark, repeat_texts(), 40, 16)
 
 

@@ -18,7 +18,7 @@ equal ones let it start behind what is shared. The merge yields the shared lengt
 neighbours, and these, with those of the bytes before the anchors, tell which windows repeat.
 
 A core with more than ``BLOCK`` different suffixes (the edge of a passage that very many texts
-share) is not sorted in one task: its windows are counted by hash instead, all of them.
+share) is not sorted in one task: its windows are compared by counted hashes, all of them.
 
 Nulls count as empty texts. Rows equal in id and text are copies of each other like any two
 rows. Texts of any length are cut into pieces of ``PIECE`` window starts for finding anchors,
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import settle
 
 LENGTH, REACH, GRAM = 400, 128, 8
-BLOCK = 256
+BLOCK, STEP = 256, 16
 #: Window starts looked at in one pass, and bytes of suffixes sorted into one run.
 PIECE, RUN_BYTES = 1_000_000, 8_000_000
 #: Suffixes of a merge task on average.
@@ -330,23 +330,64 @@ def merged(runs: DataFrame, length: int, reach: int) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(work, MARKS)
 
 
-def counted(strings: DataFrame, length: int) -> DataFrame:
-    """The same for crowded cores, by counting every window's hash."""
+def digest(text: memoryview) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of whole numbers under a schema of int and long columns."""
+    names, kinds = zip(*(column.split(" ") for column in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == "int" else pa.int64()) for x, k in zip(columns, kinds, strict=True)], list(names))
+
+
+SHARES = "core long, content long, n long, step int, low int, high int, inner long, whole long"
+WINDOWS = "core long, step int, inner long, whole long, n long, offset int, window long"
+
+
+def counted(strings: DataFrame, length: int, stride: int) -> DataFrame:
+    """The same for crowded cores, by counting hashes, in two steps so that few windows are looked at one by one.
+
+    The offsets of a suffix's windows are cut at multiples of ``stride``. All windows of a share hold
+    the same ``inner`` bytes, and ``whole`` names all their bytes. An inner that occurs once
+    repeats nowhere, a whole that occurs twice repeats throughout; only for the other shares,
+    about one for each end of a repeat, every window is counted.
+    """
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core, content, n, least, most, left, right = (c.to_pylist() for c in batch.columns)
             rows = []
-            for c, d, k, low, high, before, after in zip(core, content, n, least, most, left, right, strict=True):
-                view = memoryview(before + after)
-                rows += [(c, d, k, o, xxhash.xxh3_64_intdigest(view[high - o : high - o + length]) - (1 << 63)) for o in range(low, high + 1)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 3 else pa.int64()) for i, x in enumerate(columns)], ["core", "content", "n", "offset", "window"])
-
-    windows = settle(strings.select("core", "content", "n", "least", "most", "left", "right").mapInArrow(work, "core long, content long, n long, offset int, window long"), "windows")
-    again = settle(windows.groupBy("core", "window").agg(F.sum("n").alias("times")).where("times > 1").select("core", "window"), "again")
-    hits = windows.join(again, ["core", "window"])
-    return hits.groupBy("core", "content").agg(F.collect_list(F.struct(F.col("offset").alias("low"), F.col("offset").alias("high"))).alias("marks"))
+            for core, content, n, least, most, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # The bytes of the window at offset o begin at most - o.
+                view, end = memoryview(left + right), len(left) + len(right)
+                for step in range(least // stride, most // stride + 1):
+                    first, last = step * stride, step * stride + stride - 1
+                    low, high = max(least, first), min(most, last)
+                    inner = view[max(0, most - first) : min(end, most - last + length)]
+                    rows.append((core, content, n, step, low, high, digest(inner), digest(view[most - high : most - low + length]) ^ low << 16 ^ high))
+            yield table_of(rows, SHARES)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for core, step, inner, whole, n, low, high, most, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                view = memoryview(left + right)
+                rows += [(core, step, inner, whole, n, o, digest(view[most - o : most - o + length])) for o in range(low, high + 1)]
+            yield table_of(rows, WINDOWS)
+
+    share, kind = ["core", "step", "inner"], ["core", "step", "inner", "whole"]
+    parts = settle(strings.select("core", "content", "n", "least", "most", "left", "right").mapInArrow(shares, SHARES), "shares")
+    kinds = settle(parts.groupBy(*kind, "low", "high").agg(F.sum("n").alias("n"), F.min("content").alias("content")), "kinds")
+    again = settle(kinds.groupBy(share).agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1").select(*share, "kinds"), "again")
+    open_kinds = settle(kinds.join(again, share), "open")
+    looked_at = open_kinds.where("kinds > 1").join(strings.select("core", "content", "most", "left", "right"), ["core", "content"])
+    each = settle(looked_at.select(*kind, "n", "low", "high", "most", "left", "right").mapInArrow(windows, WINDOWS), "windows")
+    repeats = settle(each.groupBy("core", "window").agg(F.sum("n").alias("times")).where("times > 1").select("core", "window"), "repeats")
+    single = each.where("n = 1").join(repeats, ["core", "window"])
+    marks = single.groupBy(kind).agg(F.collect_list(F.struct(F.col("offset").alias("low"), F.col("offset").alias("high"))).alias("marks"))
+    throughout = open_kinds.where("n > 1").select(*kind, F.array(F.struct("low", "high")).alias("marks"))
+    found = settle(marks.unionByName(throughout), "found")
+    return parts.select("content", *kind).join(found, kind).groupBy("core", "content").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
 def repeated_windows(docs: DataFrame, length: int, reach: int) -> DataFrame:
@@ -362,7 +403,7 @@ def repeated_windows(docs: DataFrame, length: int, reach: int) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-strings.count() // MERGED))
     by_merge = merged(sorted_runs(few, buckets), length, reach)
-    by_count = counted(strings.where(f"kinds > {BLOCK}"), length)
+    by_count = counted(strings.where(f"kinds > {BLOCK}"), length, STEP)
     whole = live.where("n > 1").join(members.select("core", "content", "least", "most").dropDuplicates(["core", "content"]), ["core", "content"])
     marks = whole.select("core", "content", F.array(F.struct(F.col("least").alias("low"), F.col("most").alias("high"))).alias("marks"))
     marks = settle(marks.unionByName(by_merge).unionByName(by_count), "marks")
