@@ -530,10 +530,10 @@ def ablation_table(runs: DataFrame) -> DataFrame:
     return joined.withColumn("delta_vs_full", F.round(F.col("fitness_mean") - F.lit(full[0] if full else None), 6))
 
 
-def preset(rows: int, features: int) -> tuple[str, SearchSettings, int, str]:
-    """Profile, settings, folds and scorer by table size."""
-    if rows > 50_000 or features > 300:
-        return "large", SearchSettings(population=16, generations=15), 3, "linear"
-    if rows > 5_000 or features > 100:
-        return "medium", SearchSettings(population=24, generations=30), 5, "knn"
-    return "small", SearchSettings(population=30, generations=50), 5, "forest"
+# Budgets a caller can ask for by name, as (settings, folds, scorer). The
+# size of a table chooses none of them.
+BUDGETS: dict[str, tuple[SearchSettings, int, str]] = {
+    "large": (SearchSettings(population=16, generations=15), 3, "linear"),
+    "medium": (SearchSettings(population=24, generations=30), 5, "knn"),
+    "small": (SearchSettings(population=30, generations=50), 5, "forest"),
+}
