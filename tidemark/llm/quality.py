@@ -5,7 +5,8 @@ often each pattern of votes occurs is counted over all documents; on these count
 expectation-maximisation estimates how accurate each labeller is on good and on poor texts, and
 so the probability that a pattern belongs to a good one. These posterior labels train a linear
 scorer over hashed words and shares, by batch gradient steps on a bounded sample: at most
-``SAMPLE`` rows in hash order of id and text. Every whole text is scored.
+``SAMPLE`` different rows, those with the lowest hashes of id and text, of at most
+``SAMPLE_CHARS`` characters. Every whole text is scored.
 
 Null and empty texts get the votes of a text without words. Repeated rows get repeated scores.
 An empty table gives an empty one. Rows without an id are scored and teach as the others do.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.texts import whole
 
-SAMPLE, BUCKETS, SAMPLE_CHARS = 6_000, 1 << 15, 50_000
+SAMPLE, BUCKETS, SAMPLE_CHARS = 6_000, 1 << 15, 20_000
 WORD, MARK = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s.,;:!?'\"()-]")
 GOOD, POOR, ABSTAIN = 1, 0, -1
 #: Weight of the prior as a share of the rows, and how often it says that a good text gets a poor vote.
@@ -186,7 +187,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     numbers = np.array([r.n for r in counted], np.float64)
     good, table, _ = posterior(np.array([r.pattern for r in counted]), numbers)
     by_pattern = {r.pattern: float(g) for r, g in zip(counted, good, strict=True)}
-    sample = rows.where(f"body is null or length(body) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("key", "body"), "key", "body").limit(SAMPLE).collect()
+    # The hashes' lowest share holds about SAMPLE rows; only these leave the executors.
+    lowest = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, SAMPLE / numbers.sum())))
+    hashed_rows = rows.withColumn("h", F.xxhash64("key", "body")).where(f"h <= {lowest} and (body is null or length(body) <= {SAMPLE_CHARS})")
+    sample = sorted(hashed_rows.groupBy("h").agg(F.min("body").alias("body")).collect(), key=lambda r: r.h)[:SAMPLE]
     seen = [counts_of(r.body or "") for r in sample]
     target = np.array([by_pattern.get(int(((votes_of(c) + 1) * POWERS).sum()), 0.5) for c, _ in seen])
     weights = train([hashed(c, words) for c, words in seen], target) if seen else np.zeros(BUCKETS)
