@@ -82,6 +82,11 @@ def dealt(prints: DataFrame, radius: int, blocks: int, key: str = "fp") -> DataF
     """
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(agreeing(blocks, radius))])
     rows = prints.withColumn("at", F.explode(masks)).withColumn("bucket", F.xxhash64("at.choice", "at.bits")).withColumn("choice", F.col("at.choice")).drop("at")
+    return spread(rows, key)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``pair``: a large ``bucket`` is dealt out as pairs of parts, any other is one pair."""
     sampled = rows.where(F.pmod(F.xxhash64(F.lit("large"), key), F.lit(SAMPLED)) == 0).groupBy("bucket").count().where(F.col("count") > TILE // SAMPLED)
     large = sampled.select("bucket", F.ceil(F.col("count") * SAMPLED / TILE).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int")
@@ -97,12 +102,12 @@ def grouped(rows: DataFrame, work: Callable, schema: str, *order: Column) -> Dat
     return rows.repartition(int(n), "bucket", "pair").sortWithinPartitions("bucket", "pair", *order).mapInArrow(work, schema)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of about ``BUFFER`` rows that end where a (bucket, pair) group ends."""
+def whole_groups(batches: Iterator[pa.RecordBatch], buffer: int = BUFFER) -> Iterator[pa.Table]:
+    """Tables of about ``buffer`` rows that end where a (bucket, pair) group ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < BUFFER:
+        if sum(b.num_rows for b in held) < buffer:
             continue
         table = pa.Table.from_batches(held)
         group = group_numbers(table)
