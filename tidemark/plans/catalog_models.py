@@ -620,7 +620,7 @@ def mask_search_neighbours(spark, sf):
     df, columns = wide_embeddings(spark, sf, 8)
     folded = splits.random_folds(df, "vec_id").cache()
     quick = search.SearchSettings(population=8, generations=3)
-    result = search.search(columns, search.knn_scorer(folded, columns, "y"), quick)
+    result = search.search(columns, search.blocked_knn_scorer(folded, columns, "y"), quick)
     return search.history_table(spark, result)
 
 
