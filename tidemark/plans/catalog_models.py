@@ -489,7 +489,7 @@ def bootstrap_auc(spark, sf):
 
 @query("bootstrap_classification")
 def bootstrap_classification(spark, sf):
-    values = resample.bootstrap_classification(scored(spark, sf), "y", "p", "balanced_accuracy", 500)
+    values = resample.bootstrap_classification(scored(spark, sf), "y", "p", "balanced_accuracy", 1000)
     return resample.interval(values, "value")
 
 
@@ -571,8 +571,8 @@ def selection_jaccard(spark, sf):
 
 
 # ---------------------------------------------------------------- subset search
-def wide_embeddings(spark, sf, width: int = 16):
-    """The first ``width`` embedding components as columns, with folds and two targets."""
+def wide_embeddings(spark, sf, width: int = 64):
+    """The first ``width`` embedding components (all, if not said) as columns, with two targets."""
     columns = [f"x{i}" for i in range(width)]
     df = table(spark, sf, "embeddings").select(
         "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)],
@@ -594,14 +594,15 @@ def fold_moments(spark, sf):
     return spark.createDataFrame(rows, "fold int, n double, sa double, saa double, sab double")
 
 
-FAST = search.SearchSettings(population=12, generations=8)
+#: 30 masks, 40 generations; folds are five by default.
+STANDARD = search.SearchSettings()
 
 
 @query("mask_search_regression")
 def mask_search_regression(spark, sf):
     df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(df, "vec_id").cache()
-    result = search.search(columns, search.linear_regression_scorer(folded, columns, "y"), FAST)
+    result = search.search(columns, search.linear_regression_scorer(folded, columns, "y"), STANDARD)
     return sinks.selected_features(spark, columns, result.mask).withColumns(
         {"fitness": F.lit(result.fitness), "score": F.lit(result.score)}
     )
@@ -611,22 +612,21 @@ def mask_search_regression(spark, sf):
 def mask_search_classes(spark, sf):
     df, columns = wide_embeddings(spark, sf)
     folded = splits.stratified_folds(df, "vec_id", "cls").cache()
-    result = search.search(columns, search.linear_class_scorer(folded, columns, "cls", 2), FAST)
+    result = search.search(columns, search.linear_class_scorer(folded, columns, "cls", 2), STANDARD)
     return search.history_table(spark, result)
 
 
 @query("mask_search_neighbours")
 def mask_search_neighbours(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(df, "vec_id").cache()
-    quick = search.SearchSettings(population=8, generations=3)
-    result = search.search(columns, search.blocked_knn_scorer(folded, columns, "y"), quick)
+    result = search.search(columns, search.blocked_knn_scorer(folded, columns, "y"), STANDARD)
     return search.history_table(spark, result)
 
 
 @query("mask_search_forest")
 def mask_search_forest(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(df, "vec_id", 2).cache()
     scorer = search.forest_scorer(folded, columns, "y", trees=5)
     quick = search.SearchSettings(population=4, generations=1)
@@ -638,7 +638,7 @@ def search_ablation(spark, sf):
     df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(df, "vec_id").cache()
     scorer = search.linear_regression_scorer(folded, columns, "y")
-    runs = search.ablation_runs(spark, columns, scorer, search.SearchSettings(population=10, generations=5), (42, 52))
+    runs = search.ablation_runs(spark, columns, scorer, STANDARD)
     return search.ablation_table(runs)
 
 
@@ -670,41 +670,41 @@ def trivial_predictors(spark, sf):
 
 
 def regression_input(spark, sf, **options):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     parted = splits.random_split(df, "vec_id").cache()
     return models.split_input(parted, columns, "y", 0, **options)
 
 
 def class_input(spark, sf, **options):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     parted = splits.stratified_split(df, "vec_id", "cls").cache()
     return models.split_input(parted, columns, "cls", 2, **options)
 
 
 @query("baselines_regression")
 def baselines_regression(spark, sf):
-    m, test = regression_input(spark, sf, trees=20, boost_rounds=10)
+    m, test = regression_input(spark, sf)
     return models.run_baselines(m, test)
 
 
 @query("baselines_classification")
 def baselines_classification(spark, sf):
-    m, test = class_input(spark, sf, trees=20, boost_rounds=10)
+    m, test = class_input(spark, sf)
     return models.run_baselines(m, test)
 
 
 @query("random_search")
 def random_search(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(splits.random_split(df, "vec_id").filter("split = 'train'"), "vec_id", 3).cache()
     m = models.ModelInput(folded, tuple(columns), "y", 0)
-    _, _, tried = models.tune(m, "ridge", count=4)
+    _, _, tried = models.tune(m, "ridge")
     return tried
 
 
 @query("random_search_forest")
 def random_search_forest(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     folded = splits.stratified_folds(df, "vec_id", "cls", 2).cache()
     m = models.ModelInput(folded, tuple(columns), "cls", 2)
     space = {"numTrees": [5, 10], "maxDepth": [3, 5]}
@@ -714,7 +714,7 @@ def random_search_forest(spark, sf):
 
 @query("calibration")
 def calibration(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     parted = splits.stratified_folds(splits.stratified_split(df, "vec_id", "cls"), "vec_id", "cls", 3).cache()
     m, test = models.split_input(parted, columns, "cls", 2)
     out = None
@@ -734,7 +734,7 @@ def soft_vote(spark, sf):
 
 @query("fusion_ablation")
 def fusion_ablation(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     parted = splits.random_split(df.withColumn("has_a", F.lit(True)), "vec_id").cache()
     m, test = models.split_input(parted, columns, "y", 0)
     blocks = {"a": columns[:4], "b": columns[4:]}
@@ -744,7 +744,7 @@ def fusion_ablation(spark, sf):
 
 @query("late_fusion")
 def late_fusion(spark, sf):
-    df, columns = wide_embeddings(spark, sf, 8)
+    df, columns = wide_embeddings(spark, sf)
     parted = splits.nested_split(df, "vec_id").cache()
     m = models.ModelInput(parted.filter("split = 'train'"), tuple(columns), "y", 0)
     blocks = {"a": columns[:4], "b": columns[4:]}
