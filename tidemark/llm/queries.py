@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer
+from tidemark.llm import bpe, centroids, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,42 @@ def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_scalar_table_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def clusters_sql(rounds: int = centroids.ROUNDS, clusters: int = centroids.CLUSTERS) -> str:
+    """The rounds one after another: pairs of vectors and centroids by dimension, nearest, floor of the mean."""
+    parts = [
+        """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS INTEGER) AS c, x AS m FROM v QUALIFY c < {clusters}),",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS BIGINT) AS d FROM v, c{k}) GROUP BY r),""")
+        if k < rounds:
+            parts.append(f"""
+e{k} AS (SELECT c, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (
+    SELECT a{k}.c, unnest(range(1, 65)) AS i, unnest(x) AS y FROM v JOIN a{k} USING (r)) GROUP BY c, i),
+m{k} AS (SELECT c, list(y ORDER BY i) AS m FROM e{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c),""")
+    parts.append(f"""
+s AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c AS cluster, a.d AS distance, s.s AS cluster_inertia, CAST((SELECT sum(s) FROM s) AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.m, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN s ON s.c = a.c JOIN c{rounds} ON c{rounds}.c = a.c
+""")
+    return "".join(parts)
+
+
+ORACLES["op13_scalar_table_clusters"] = clusters_sql()
