@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, centroids, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer
+from tidemark.llm import bpe, centroids, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,48 @@ FROM v JOIN a{rounds} a USING (r) JOIN s ON s.c = a.c JOIN c{rounds} ON c{rounds
 
 
 ORACLES["op13_scalar_table_clusters"] = clusters_sql()
+
+
+@query
+def op12_chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB measures edits in bytes, so letters of two bytes are given others of one for that.
+WIDE, NARROW = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+
+
+def crc_step(c: int) -> int:
+    """What eight steps of the reflected polynomial make of a byte."""
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+#: The hash of an altered run is folded over its bytes.
+CRC_STEPS = list(map(crc_step, range(256)))
+VARIANTS_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, CAST(count(*) AS BIGINT) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, {CRC_STEPS}[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN doc_id IS NOT NULL AND h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+flat AS MATERIALIZED (SELECT *, translate(word, '{WIDE}', '{NARROW}') AS f FROM words),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM flat a JOIN flat b ON length(b.f) BETWEEN length(a.f) - 1 AND length(a.f) + 1
+  WHERE a.word <> b.word AND levenshtein(a.f, b.f) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.last WHERE forms.form IS NOT NULL),
+roots AS (SELECT chain.word, arg_max(last, k.n) AS root FROM chain JOIN words k ON k.word = chain.last GROUP BY chain.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+ORACLES["op12_chunk_variants"] = VARIANTS_SQL
