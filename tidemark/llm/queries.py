@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, centroids, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer, variants
+from tidemark.llm import bilinear, bpe, centroids, decontaminate, langid, lines, quality, simhash, suffixes, topk, toxicity, transducer, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,8 @@ roots AS (SELECT chain.word, arg_max(last, k.n) AS root FROM chain JOIN words k
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
 ORACLES["op12_chunk_variants"] = VARIANTS_SQL
+
+
+@query
+def op11_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
