@@ -144,28 +144,6 @@ def test_search_finds_planted_features(planted):
     assert {"x2", "x5"} <= set(c.selected) and c.score > 0.85
 
 
-def test_neighbour_scores_equal_brute_force(planted):
-    df, names, pdf = planted
-    mask = np.isin(names, ["x2", "x5"])
-    got = search.knn_scorer(df, names, "y")([mask])[0]
-    x, y, fold = pdf[["x2", "x5"]].to_numpy(), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
-    errors = []
-    for f in range(5):
-        tr, te = fold != f, fold == f
-        d = np.sqrt(((x[te][:, None] - x[tr][None]) ** 2).sum(2))
-        at = d.argsort(1)[:, :5]
-        w = 1 / np.take_along_axis(d, at, 1)
-        errors.append(np.sqrt((((y[tr][at] * w).sum(1) / w.sum(1) - y[te]) ** 2).mean()))
-    assert got == pytest.approx(1 - np.mean(errors) / y.std(), abs=1e-6)
-
-
-def test_neighbour_scorer_refuses_large_tables(planted, monkeypatch):
-    df, names, _ = planted
-    monkeypatch.setattr(search, "KNN_ROWS", 10)
-    with pytest.raises(ValueError):
-        search.knn_scorer(df, names, "y")
-
-
 # ---------------------------------------------------------------- models
 def test_ridge_equals_closed_form(planted):
     df, names, pdf = planted

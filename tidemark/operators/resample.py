@@ -6,39 +6,22 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws
 from tidemark.functions import values as v
 from tidemark.operators import metrics
-from tidemark.operators.ordering import chunk_edges, positions
+from tidemark.operators.ordering import positions
 from tidemark.session import cut_lineage, spread
 
-# Cumulative Poisson(1) probabilities; a draw is the number passed.
-POISSON_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-)
-# The same as eight hex digits, so that a digest is compared as text.
-POISSON_HEX = tuple(f"{int(p * 4294967296):08x}" for p in POISSON_CDF)
+#: Rows whose weights are drawn at once, and rows of a chunk of scores.
+ROWS, CHUNK_ROWS = 1_024, 200_000
 
 
-def poisson_weight(seed: int, rep: Column, row_id: Column) -> Column:
-    """Poisson(1) draw from the digest of (seed, replicate, row id)."""
-    text = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), row_id.cast("string"))
-    digits = F.substring(F.md5(text), 1, 8)
-    out = None
-    for k, bound in enumerate(POISSON_HEX):
-        out = F.when(digits < bound, F.lit(k)) if out is None else out.when(digits < bound, F.lit(k))
-    return out.otherwise(F.lit(len(POISSON_HEX)))
-
-
-def replicate_rows(df: DataFrame, row_id: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Row copies (rep, w) with positive weight; a narrow step before a combinable sum."""
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    copies = spread(df).withColumn("rep", reps)
-    return copies.withColumn("w", poisson_weight(seed, F.col("rep"), F.col(row_id))).filter("w > 0")
+def replicate_keys(replicates: int, seed: int) -> np.ndarray:
+    return np.array(draws.keys(seed, replicates), np.int64)
 
 
 def interval(values: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
@@ -50,40 +33,112 @@ def interval(values: DataFrame, value: str, confidence: float = 0.95) -> DataFra
     ).select("mean", "std", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"), "n_valid")
 
 
+#: Sums a metric is made of, per replicate; errors relative to the truth leave out truths of zero.
+SUMS = ("sw", "se2", "sae", "sbias", "spe", "swnz", "sy", "sy2")
+
+
 def sum_metric(name: str) -> Column:
+    def mean(c: str) -> Column:
+        return F.col(c) / F.nullif(F.col("sw"), F.lit(0.0))
+
+    spread_of_truth = F.nullif(F.col("sy2") - F.col("sy") * F.col("sy") / F.col("sw"), F.lit(0.0))
     return {
-        "rmse": lambda: F.sqrt(F.col("se2") / F.col("sw")), "mse": lambda: F.col("se2") / F.col("sw"),
-        "mae": lambda: F.col("sae") / F.col("sw"), "bias": lambda: F.col("sbias") / F.col("sw"),
-    }[name]()
+        "rmse": F.sqrt(mean("se2")), "mse": mean("se2"), "mae": mean("sae"), "bias": mean("sbias"),
+        "mape": F.col("spe") / F.nullif(F.col("swnz"), F.lit(0.0)), "r2": 1 - F.col("se2") / spread_of_truth,
+    }[name]
+
+
+def bootstrap_sums(df: DataFrame, row_id: str, terms: Sequence[Column], names: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, names): sums of the terms under Poisson resampling of rows, for all replicates in one pass.
+
+    Weights are drawn per batch from the digest of the row id, and a task sends one array of
+    sums per term, whatever its rows; the arrays are added up by replicate.
+    """
+    drawn, count = replicate_keys(replicates, seed), len(terms)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, count))
+        for batch in batches:
+            values = batch.iloc[:, 2:].to_numpy(float)
+            first, second = batch["first"].to_numpy(), batch["second"].to_numpy()
+            for at in range(0, len(batch), ROWS):
+                some = slice(at, at + ROWS)
+                total += draws.poisson(first[some], second[some], drawn).T.astype(float) @ values[some]
+        yield pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), **dict(zip(names, total.T, strict=True))})
+
+    first, second = draws.halves(F.col(row_id))
+    rows = spread(df).select(first.alias("first"), second.alias("second"), *[F.coalesce(t.cast("double"), F.lit(0.0)).alias(n) for t, n in zip(terms, names, strict=True)])
+    parts = rows.mapInPandas(work, "rep int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_regression(
     df: DataFrame, row_id: str, truth: str, predicted: str, metric: str = "rmse",
     replicates: int = 1000, seed: int = 42,
 ) -> DataFrame:
-    """(rep, value): the metric under Poisson resampling of rows.
-
-    Only per-replicate sums leave a task, whatever the row count.
-    """
-    rows = replicate_rows(df.select(row_id, truth, predicted), row_id, replicates, seed)
-    sums = rows.groupBy("rep").agg(*metrics.regression_sums(truth, predicted, F.col("w")))
-    return sums.select("rep", sum_metric(metric).alias("value"))
+    """(rep, value): the metric under Poisson resampling of rows; rows without truth or prediction take no part."""
+    y, p = F.col(truth).cast("double"), F.col(predicted).cast("double")
+    e, nonzero = p - y, F.abs(y) > 1e-9
+    terms = [F.lit(1.0), e * e, F.abs(e), e, F.when(nonzero, F.abs(e / y)), nonzero.cast("double"), y, y * y]
+    sums = bootstrap_sums(df.where(y.isNotNull() & p.isNotNull()), row_id, terms, SUMS, replicates, seed)
+    return sums.select("rep", sum_metric(metric).alias("value")).where("value is not null")
+
+
+def score_chunks(df: DataFrame, score: str, rows_per_chunk: int) -> DataFrame:
+    """``chunk`` of every row: odd between two cuts, even on a cut. Numbers ascend with the score."""
+    pieces = -(-df.count() // rows_per_chunk)
+    if pieces <= 1:
+        return df.withColumn("chunk", F.lit(1).cast("long"))
+    shares = [i / pieces for i in range(1, pieces)]
+    cuts = sorted(set(df.agg(F.percentile_approx(score, F.array(*map(F.lit, shares)), max(10_000, 4 * pieces))).first()[0]))
+    at = F.array(*map(F.lit, cuts))
+    below = F.size(F.filter(at, lambda c: c < F.col(score)))
+    return df.withColumn("chunk", (2 * below + F.when(F.array_contains(at, F.col(score)), 2).otherwise(1)).cast("long"))
 
 
 def bootstrap_auc(
-    df: DataFrame, row_id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42
+    df: DataFrame, row_id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42, rows_per_chunk: int = CHUNK_ROWS
 ) -> DataFrame:
-    """(rep, value) with single-class replicates skipped."""
-    rows = replicate_rows(df.select(row_id, truth, score), row_id, replicates, seed)
-    y = F.col(truth) == 1
-    counts = rows.groupBy("rep", F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(y, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(y, 0).otherwise(F.col("w"))).alias("neg")
-    )
-    edges = chunk_edges(df, score)
-    upto = metrics.running(counts, ["rep"], ["score"], {"below": metrics.Running("sum", F.col("neg"))}, edges)
-    area = F.sum(F.col("pos").cast("double") * (F.col("below") - F.col("neg")) + F.col("pos") * F.col("neg") / 2.0)
-    p, n = F.sum("pos"), F.sum("neg")
-    return upto.groupBy("rep").agg(F.when((p > 0) & (n > 0), area / (p.cast("double") * n)).alias("value")).filter("value is not null")
+    """(rep, value) under Poisson resampling of rows, with single-class replicates skipped.
+
+    Rows are exchanged once, by chunk of the score. A chunk leaves three arrays: its own area
+    and the weights of both classes; a cut that many rows share is a chunk without an order, dealt
+    to as many tasks as it needs. Chunks are then put in order by replicate.
+    """
+    drawn = replicate_keys(replicates, seed)
+    first, second = draws.halves(F.col(row_id))
+    rows = df.select(first.alias("first"), second.alias("second"), F.col(score).cast("double").alias("score"), (F.col(truth) == 1).alias("y"))
+    chunked = score_chunks(rows.where("score is not null and y is not null"), "score", rows_per_chunk)
+    own = F.when(F.col("chunk") % 2 == 0, F.pmod(F.xxhash64("first", "second"), F.lit(64))).otherwise(0)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score", kind="stable")
+        value, y = pdf["score"].to_numpy(), pdf["y"].to_numpy()
+        ends = np.append(np.flatnonzero(value[1:] != value[:-1]) + 1, len(value))
+        area, pos, neg = (np.zeros(replicates) for _ in range(3))
+        tie_pos, tie_neg, closed = np.zeros(replicates), np.zeros(replicates), 0
+        for at in range(0, len(pdf), ROWS):
+            upto = min(at + ROWS, len(pdf))
+            w = draws.poisson(pdf["first"].to_numpy()[at:upto], pdf["second"].to_numpy()[at:upto], drawn).astype(float)
+            inner = [at, *ends[(ends > at) & (ends < upto)].tolist()]
+            ups = np.add.reduceat(w * y[at:upto, None], np.array(inner) - at)
+            downs = np.add.reduceat(w * ~y[at:upto, None], np.array(inner) - at)
+            for k, end in enumerate([*inner[1:], upto]):
+                tie_pos += ups[k]
+                tie_neg += downs[k]
+                if closed < len(ends) and end == ends[closed]:
+                    area += tie_pos * (neg + tie_neg / 2)
+                    pos += tie_pos
+                    neg += tie_neg
+                    tie_pos, tie_neg, closed = np.zeros(replicates), np.zeros(replicates), closed + 1
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "rep": np.arange(replicates, dtype=np.int32), "area": area, "pos": pos, "neg": neg})
+
+    parts = chunked.withColumn("part", own).groupBy("chunk", "part").applyInPandas(work, "chunk long, rep int, area double, pos double, neg double")
+    sums = parts.groupBy("rep", "chunk").agg(F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    tied = F.when(F.col("chunk") % 2 == 0, F.col("pos") * F.col("neg") / 2).otherwise(F.col("area"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = sums.withColumn("area", tied + F.col("pos") * below).groupBy("rep").agg(F.sum("area").alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return whole.where("p > 0 and n > 0").select("rep", (F.col("area") / (F.col("p") * F.col("n"))).alias("value"))
 
 
 MAX_CELLS = 100_000
@@ -135,65 +190,72 @@ def permuted(
     return placed.join(donors, "_pos").withColumn(out or column, F.col("_donor")).drop("_pos", "_donor")
 
 
+def shuffles(df: DataFrame, row_id: str, columns: Sequence[str], repeats: int, seed: int = 42) -> DataFrame:
+    """Every row once as it is (``shuffle`` -1) and once per column and repeat with that column shuffled.
+
+    Shuffle ``j * repeats + r`` replaces column ``j``. Rows are numbered once; the row that a value goes
+    to is found by arithmetic, so all shuffles are one exchange of narrow rows by position.
+    """
+    numbered = positions(df.withColumn("_h", v.hash_order(0, F.col(row_id))), [], ["_h", row_id], "_pos").drop("_h")
+    placed = cut_lineage(numbered.withColumn("_pos", F.col("_pos") - 1))
+    n = placed.count()
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    kind = kinds[columns[0]] if len({kinds[c] for c in columns}) == 1 else "string"
+    turns = draws.keys(seed, 4 * repeats * len(columns))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for j in range(len(columns)):
+                for k in range(j * repeats, (j + 1) * repeats):
+                    to = draws.moved(at, n, turns[4 * k : 4 * k + 4])
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(to), k, np.int32)), batch.column(j + 1)], ["_pos", "shuffle", "_value"])
+
+    given = placed.select("_pos", *[F.col(c).cast(kind) for c in columns]).mapInArrow(work, f"_pos long, shuffle int, _value {kind}")
+    given = given.groupBy("_pos").agg(F.collect_list(F.struct("shuffle", "_value")).alias("_given"))
+    itself = F.array(F.struct(F.lit(-1).alias("shuffle"), F.lit(None).cast(kind).alias("_value")))
+    each = placed.join(given, "_pos").select(*df.columns, F.inline(F.concat(itself, "_given")))
+    own = F.floor(F.col("shuffle") / repeats)
+    return each.withColumns({c: F.when(own == j, F.col("_value").cast(kinds[c])).otherwise(F.col(c)) for j, c in enumerate(columns)}).drop("_value")
+
+
+#: Value of a scored table for every value of the grouping columns.
+Score = Callable[[DataFrame, list[str]], DataFrame]
+
+
 def permutation_test(
-    df: DataFrame,
-    row_id: str,
-    target: str,
-    score: Callable[[DataFrame], float],
-    observed: float,
-    permutations: int = 20,
-    seed: int = 42,
-    higher_is_better: bool = True,
+    df: DataFrame, row_id: str, target: str, score: Score, permutations: int = 20, seed: int = 42, higher_is_better: bool = True,
 ) -> DataFrame:
-    """Rerun ``score`` on shuffled labels; p = (extreme + 1) / (runs + 1)."""
-    scores = []
-    for i in range(permutations):
-        scores.append(float(score(permuted(df, row_id, target, seed + 1 + i))))
-    values = np.array(scores)
-    extreme = int((values >= observed).sum() if higher_is_better else (values <= observed).sum())
-    row = (
-        float(observed), float(values.mean()), float(values.std(ddof=1)) if values.size > 1 else 0.0,
-        float(values.min()), float(values.max()), (extreme + 1) / (values.size + 1), int(values.size),
+    """Score on shuffled labels; p = (extreme + 1) / (runs + 1).
+
+    ``score`` gives one ``value`` per ``shuffle``; all permutations and the labels as they are
+    are scored in one job.
+    """
+    scored = score(shuffles(df, row_id, [target], permutations, seed), ["shuffle"])
+    observed, shuffled = F.max(F.when(F.col("shuffle") < 0, F.col("value"))), F.when(F.col("shuffle") >= 0, F.col("value"))
+    facts = scored.agg(
+        observed.alias("observed"), F.avg(shuffled).alias("permuted_mean"), F.coalesce(F.stddev_samp(shuffled), F.lit(0.0)).alias("permuted_std"),
+        F.min(shuffled).alias("permuted_min"), F.max(shuffled).alias("permuted_max"), F.collect_list(shuffled).alias("_all"), F.count(shuffled).cast("int").alias("permutations"),
     )
-    schema = "observed double, permuted_mean double, permuted_std double, permuted_min double, permuted_max double, p_value double, permutations int"
-    return df.sparkSession.createDataFrame([row], schema)
+    extreme = F.size(F.filter("_all", lambda x: (x >= F.col("observed")) if higher_is_better else (x <= F.col("observed"))))
+    return facts.withColumn("p_value", (extreme + 1) / (F.col("permutations") + 1)).select("observed", "permuted_mean", "permuted_std", "permuted_min", "permuted_max", "p_value", "permutations")
 
 
 def permutation_importance(
-    df: DataFrame,
-    row_id: str,
-    features: Sequence[str],
-    predict: Callable[[DataFrame], DataFrame],
-    score: Callable[[DataFrame], float],
-    repeats: int = 15,
-    seed: int = 42,
-    higher_is_better: bool = True,
+    df: DataFrame, row_id: str, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], score: Score,
+    repeats: int = 15, seed: int = 42, higher_is_better: bool = True,
 ) -> DataFrame:
     """Drop in score when one column of held-out rows is shuffled, best first.
 
-    The numbering of the rows is checkpointed once; each repeat joins only one narrow
-    column.
+    All features and repeats are predicted and scored in one job, by ``shuffle``.
     """
-    keyed = df.withColumn("_h", v.hash_order(0, F.col(row_id)))
-    placed = cut_lineage(positions(keyed, [], ["_h", row_id], "_pos").drop("_h"))
-    base = float(score(predict(placed)))
-    rows = []
-    for j, name in enumerate(features):
-        drops = []
-        for r in range(repeats):
-            donor = placed.select(row_id, F.col(name).alias("_donor")).withColumn(
-                "_h", v.hash_order(seed + 1 + j * repeats + r, F.col(row_id))
-            )
-            edges = chunk_edges(donor, "_h")
-            donors = positions(donor, [], ["_h", row_id], "_pos", edges).select("_pos", "_donor")
-            shuffled = placed.drop(name).join(donors, "_pos").withColumnRenamed("_donor", name)
-            value = float(score(predict(shuffled)))
-            drops.append(base - value if higher_is_better else value - base)
-        d = np.array(drops)
-        rows.append((name, j, float(d.mean()), float(d.std(ddof=1)) if d.size > 1 else 0.0, int(d.size)))
-    rows.sort(key=lambda x: (-x[2], x[1]))
-    schema = "feature string, ordinal int, importance_mean double, importance_std double, repeats int"
-    return df.sparkSession.createDataFrame(rows, schema)
+    scored = score(predict(shuffles(df, row_id, features, repeats, seed)), ["shuffle"])
+    base = F.max(F.when(F.col("shuffle") < 0, F.col("value"))).over(Window.partitionBy())
+    drop = F.col("base") - F.col("value") if higher_is_better else F.col("value") - F.col("base")
+    drops = scored.withColumn("base", base).where("shuffle >= 0").withColumn("drop", drop).withColumn("ordinal", F.floor(F.col("shuffle") / repeats).cast("int"))
+    names = F.array(*map(F.lit, features))
+    out = drops.groupBy("ordinal").agg(F.avg("drop").alias("importance_mean"), F.coalesce(F.stddev_samp("drop"), F.lit(0.0)).alias("importance_std"), F.count("*").cast("int").alias("repeats"))
+    return out.select(F.get(names, F.col("ordinal")).alias("feature"), "ordinal", "importance_mean", "importance_std", "repeats").orderBy(F.desc("importance_mean"), "ordinal")
 
 
 def selection_stability(masks: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import neighbours
+
 MAX_FEATURES = 2_000
 Scorer = Callable[[list[np.ndarray]], list[float]]
 
@@ -175,134 +177,22 @@ def linear_class_scorer(df: DataFrame, features: Sequence[str], label: str, clas
     return score
 
 
-KNN_ROWS = 20_000
-
-
-def knn_scorer(df: DataFrame, features: Sequence[str], target: str, classes: int = 0, neighbours: int = 5) -> Scorer:
-    """Distance-weighted nearest neighbours over the driver's copy of a table of at most KNN_ROWS rows.
-
-    The searches use ``blocked_knn_scorer``, which takes tables of any size; this is the plain
-    form it is tested against.
-    """
-    features = list(features)
-    rows = df.count()
-    if rows > KNN_ROWS:
-        raise ValueError(f"the neighbour scorer is limited to {KNN_ROWS} rows; use linear or forest")
-    data = df.select(F.col("fold").cast("int").alias("fold"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
-    known = data.toPandas()
-    base_x, base_y, base_f = known[features].to_numpy(), known["y"].to_numpy(), known["fold"].to_numpy()
-    sd = base_y.std() or 1.0
-    shared = df.sparkSession.sparkContext.broadcast((base_x, base_y, base_f))
-
-    def near(part_x, f, columns):
-        x, y, folds = shared.value
-        keep = folds != f
-        train, truth = x[keep][:, columns], y[keep]
-        square = (part_x[:, columns] ** 2).sum(1)[:, None] + (train**2).sum(1)[None, :] - 2 * part_x[:, columns] @ train.T
-        at = np.argpartition(square, min(neighbours, train.shape[0]) - 1, axis=1)[:, :neighbours]
-        d = np.sqrt(np.maximum(0, np.take_along_axis(square, at, axis=1)))
-        exact = d <= 1e-7
-        w = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / np.where(d == 0, 1, d))
-        return truth[at], w
-
-    def score(masks: list[np.ndarray]) -> list[float]:
-        picks = [np.flatnonzero(m) for m in masks]
-
-        if classes:
-            def predict(batch):
-                out: dict[tuple, int] = {}
-                for f, part in batch.groupby("fold"):
-                    x, y = part[features].to_numpy(), part["y"].to_numpy().astype(int)
-                    for i, columns in enumerate(picks):
-                        votes, w = near(x, f, columns)
-                        tally = np.stack([((votes == k) * w).sum(1) for k in range(classes)], axis=1)
-                        for cell, n in zip(*np.unique(y * classes + tally.argmax(1), return_counts=True)):
-                            out[i, int(f), int(cell // classes), int(cell % classes)] = int(n)
-                return out
-
-            return _class_scores(_fold_confusions(data, len(masks), classes, predict), len(masks), classes)
-
-        def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for f, part in batch.groupby("fold"):
-                    x, y = part[features].to_numpy(), part["y"].to_numpy()
-                    for i, columns in enumerate(picks):
-                        values, w = near(x, f, columns)
-                        guess = (values * w).sum(1) / w.sum(1)
-                        yield pd.DataFrame({"mask": [i], "fold": [int(f)], "n": [len(y)], "sse": [float(((guess - y) ** 2).sum())]})
-
-        table = data.mapInPandas(errors, "mask int, fold int, n long, sse double").groupBy("mask", "fold").agg(
-            F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse")
-        ).groupBy("mask").agg(F.avg("rmse").alias("rmse"))
-        rmse = {r["mask"]: r["rmse"] for r in table.collect()}
-        return [float(np.clip(1 - rmse[i] / sd, 0, 1)) for i in range(len(masks))]
-
-    return score
-
-
-#: Distinct rows of a block of training rows, and queries compared with one at once.
-KNN_BLOCK, KNN_QUERIES = 20_000, 1_024
-
+def neighbour_scorer(df: DataFrame, features: Sequence[str], target: str, classes: int = 0, count: int = 5) -> Scorer:
+    """Distance-weighted nearest neighbours of the other folds, exact, for tables of any size.
 
-def blocked_knn_scorer(df: DataFrame, features: Sequence[str], target: str, classes: int = 0, neighbours: int = 5) -> Scorer:
-    """Distance-weighted nearest neighbours, exact, for tables of any size.
-
-    Rows stay in Spark. Every part of the queries meets every block of training rows in a task
-    of its own, which leaves the nearest of each query; these are merged per query and mask.
-    Comparing all pairs is inherent in the method. Equal rows are one with a count; of training
-    rows at equal distances those with the smallest targets count.
+    One space-partitioned join serves all masks of a generation. Equal rows are one with a count;
+    of training rows at equal distances those with the smallest targets count.
     """
-    features = list(features)
-    data = df.select(F.col("fold").cast("int").alias("fold"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
-    rows = data.groupBy("fold", "y", *features).agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("fold", "y", *features)).cache()
-    total, sd = rows.count(), data.agg(F.stddev_pop("y")).first()[0] or 1.0
-    blocks = -(-total // KNN_BLOCK) or 1
-    parts = max(blocks, df.sparkSession.sparkContext.defaultParallelism)
-
-    def dealt(name: str, count: int, other: str, others: int, query: bool) -> DataFrame:
-        own = rows.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(count)).cast("int"))
-        return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn("query", F.lit(query))
-
-    grid = dealt("part", parts, "block", blocks, True).unionByName(dealt("block", blocks, "part", parts, False))
+    join = neighbours.Join(df, features, target, k=count)
+    sd = df.agg(F.stddev_pop(F.col(target).cast("double"))).first()[0] or 1.0
 
     def score(masks: list[np.ndarray]) -> list[float]:
-        picks = [np.flatnonzero(m) for m in masks]
-
-        def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-            asked, known = pdf[pdf["query"]], pdf[~pdf["query"]]
-            known = known.loc[known.index.repeat(np.minimum(known["copies"], neighbours))].sort_values(["y", "row"])
-            known_x, truth, known_f = known[features].to_numpy(), known["y"].to_numpy(), known["fold"].to_numpy()
-            out = []
-            for f, mine in asked.groupby("fold"):
-                train, y = known_x[known_f != f], truth[known_f != f]
-                count = min(neighbours, len(y))
-                if not count:
-                    continue
-                for at in range(0, len(mine), KNN_QUERIES):
-                    part = mine.iloc[at : at + KNN_QUERIES]
-                    x = part[features].to_numpy()
-                    for i, columns in enumerate(picks):
-                        a, b = x[:, columns], train[:, columns]
-                        square = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-                        best = np.argpartition(square, count - 1, axis=1)[:, :count]
-                        d = np.sqrt(np.maximum(0, np.take_along_axis(square, best, axis=1)))
-                        out.append(pd.DataFrame({"row": part["row"].to_numpy(), "mask": i, "fold": int(f), "y": part["y"].to_numpy(), "copies": part["copies"].to_numpy(), "d": list(d), "truth": list(y[best])}))
-            return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("row", "mask", "fold", "y", "copies", "d", "truth")})
-
-        found = grid.groupBy("part", "block").applyInPandas(nearest, "row long, mask int, fold int, y double, copies long, d array<double>, truth array<double>")
-        merged = found.groupBy("row", "mask", "fold", "y", "copies").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d", "truth")))), 1, neighbours).alias("near"))
-        exact = F.exists("near", lambda n: n["d"] <= 1e-7)
-        weighed = merged.withColumn("near", F.transform("near", lambda n: F.struct(n["truth"].alias("truth"), F.when(exact, (n["d"] <= 1e-7).cast("double")).otherwise(1 / n["d"]).alias("w"))))
-
-        def total_of(value):
-            return F.aggregate("near", F.lit(0.0), lambda a, n: a + value(n))
-
+        found = neighbours.predicted(join.nearest(masks), classes)
         if classes:
-            tallies = F.array(*[total_of(lambda n, k=k: F.when(n["truth"] == k, n["w"]).otherwise(0.0)) for k in range(classes)])
-            called = weighed.withColumn("tallies", tallies).select("mask", "fold", F.col("y").cast("int").alias("y"), (F.array_position("tallies", F.array_max("tallies")) - 1).cast("int").alias("p"), "copies")
-            return _class_scores(called.groupBy("mask", "fold", "y", "p").agg(F.sum("copies").alias("n")).toPandas(), len(masks), classes)
-        error = total_of(lambda n: n["w"] * n["truth"]) / total_of(lambda n: n["w"]) - F.col("y")
-        folds = weighed.groupBy("mask", "fold").agg(F.sqrt(F.sum(F.col("copies") * error * error) / F.sum("copies")).alias("rmse"))
+            cells = found.select("mask", "fold", F.col("y").cast("int").alias("y"), F.col("p").cast("int").alias("p"), "copies")
+            return _class_scores(cells.groupBy("mask", "fold", "y", "p").agg(F.sum("copies").alias("n")).toPandas(), len(masks), classes)
+        error = F.col("p") - F.col("y")
+        folds = found.groupBy("mask", "fold").agg(F.sqrt(F.sum(F.col("copies") * error * error) / F.sum("copies")).alias("rmse"))
         rmse = {r["mask"]: r["rmse"] for r in folds.groupBy("mask").agg(F.avg("rmse").alias("rmse")).collect()}
         return [float(np.clip(1 - rmse[i] / sd, 0, 1)) if i in rmse else 0.0 for i in range(len(masks))]
 
@@ -337,7 +227,7 @@ def forest_scorer(df: DataFrame, features: Sequence[str], target: str, classes:
     return score
 
 
-SCORERS = {"linear": None, "knn": blocked_knn_scorer, "forest": forest_scorer}
+SCORERS = {"linear": None, "knn": neighbour_scorer, "forest": forest_scorer}
 
 
 def make_scorer(name: str, df: DataFrame, features: Sequence[str], target: str, classes: int = 0) -> Scorer:

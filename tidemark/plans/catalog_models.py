@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions import draws
 from tidemark.functions import text as tx
-from tidemark.operators import metrics, modality, models, resample, search, splits, stats
+from tidemark.operators import metrics, modality, models, neighbours, resample, search, splits, stats
 from tidemark.plans import experiments
 from tidemark.plans.registry import query, table
 from tidemark.sources import sinks
@@ -448,43 +450,55 @@ def normality(spark, sf):
 
 
 # ---------------------------------------------------------------- resampling
-POISSON_SQL = " + ".join(f"CASE WHEN u >= '{b}' THEN 1 ELSE 0 END" for b in resample.POISSON_HEX)
-
-
-def poisson_sql(source: str, row_id: str, reps: int) -> str:
-    return f"""u AS (SELECT q.*, i AS rep, substr(md5('42|' || CAST(i AS VARCHAR) || '|' || CAST({row_id} AS VARCHAR)), 1, 8) AS u FROM {source} q, range({reps}) r(i)),
-        w AS (SELECT *, {POISSON_SQL} AS w FROM u)"""
+def poisson_sql(source: str, row_id: str, reps: int = 1000, seed: int = 42) -> str:
+    """Rows of ``source`` by replicate with the same weight ``w`` as the operator draws."""
+    first, second = draws.halves_sql(row_id)
+    keys = ", ".join(map(str, draws.keys(seed, reps)))
+    return f"""h AS (SELECT *, {first} AS h1, {second} AS h2 FROM {source}), i AS (SELECT rep, key FROM (SELECT unnest(range({reps})) AS rep, unnest([{keys}]) AS key)),
+        w AS (SELECT h.*, rep, {draws.poisson_sql('h1', 'h2', 'key')} AS w FROM h, i)"""
 
 
 @query(
     "bootstrap_regression",
-    f"""WITH b AS (SELECT o_orderkey, o_totalprice AS y, 200000.0 AS p FROM orders), {poisson_sql('b', 'o_orderkey', 20)}
+    f"""WITH b AS (SELECT o_orderkey, o_totalprice AS y, 200000.0 AS p FROM orders), {poisson_sql('b', 'o_orderkey')}
         SELECT CAST(rep AS INTEGER) AS rep, round(sqrt(sum(w * (p - y) * (p - y)) / sum(w)), 3) AS value FROM w GROUP BY 1""",
 )
 def bootstrap_regression(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("y"), F.lit(200000.0).alias("p"))
-    return resample.bootstrap_regression(df, "o_orderkey", "y", "p", "rmse", 20).withColumn("value", F.round("value", 3))
+    return resample.bootstrap_regression(df, "o_orderkey", "y", "p", "rmse").withColumn("value", F.round("value", 3))
 
 
 @query(
     "bootstrap_interval",
-    f"""WITH b AS (SELECT o_orderkey, o_totalprice AS y, 200000.0 AS p FROM orders), {poisson_sql('b', 'o_orderkey', 20)},
+    f"""WITH b AS (SELECT o_orderkey, o_totalprice AS y, 200000.0 AS p FROM orders), {poisson_sql('b', 'o_orderkey')},
         v AS (SELECT rep, sum(w * abs(p - y)) / sum(w) AS value FROM w GROUP BY 1)
         SELECT round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS std, round(quantile_cont(value, 0.025), 3) AS ci_lower, round(quantile_cont(value, 0.975), 3) AS ci_upper, count(*) AS n_valid FROM v""",
 )
 def bootstrap_interval(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("y"), F.lit(200000.0).alias("p"))
-    return rnd(resample.interval(resample.bootstrap_regression(df, "o_orderkey", "y", "p", "mae", 20), "value"), 3)
+    return rnd(resample.interval(resample.bootstrap_regression(df, "o_orderkey", "y", "p", "mae"), "value"), 3)
+
+
+@query(
+    "bootstrap_fit",
+    f"""WITH b AS (SELECT p_partkey, p_retailprice AS y, 900 + (p_partkey % 200) * 0.1 AS p FROM part), {poisson_sql('b', 'p_partkey')}
+        SELECT CAST(rep AS INTEGER) AS rep, round(sum(w * abs((p - y) / y)) / sum(w), 6) AS mape, round(1 - sum(w * (p - y) * (p - y)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)), 4) AS r2 FROM w GROUP BY 1""",
+)
+def bootstrap_fit(spark, sf):
+    """Relative error and share of variance explained, replicate by replicate."""
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("y"), (900 + (F.col("p_partkey") % 200) * 0.1).alias("p"))
+    mape, r2 = (resample.bootstrap_regression(df, "p_partkey", "y", "p", m).withColumnRenamed("value", m) for m in ("mape", "r2"))
+    return mape.join(r2, "rep").select("rep", F.round("mape", 6).alias("mape"), F.round("r2", 4).alias("r2"))
 
 
 @query(
     "bootstrap_auc",
-    f"""WITH {SCORED_SQL}, {poisson_sql('s', 'doc_id', 40)}, c AS (SELECT rep, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS neg FROM w WHERE w > 0 GROUP BY ALL),
+    f"""WITH {SCORED_SQL}, {poisson_sql('s', 'doc_id')}, c AS (SELECT rep, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS neg FROM w WHERE w > 0 GROUP BY ALL),
         r AS (SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY score) AS below FROM c)
         SELECT CAST(rep AS INTEGER) AS rep, round(sum(pos * (below - neg) + pos * neg / 2) / (sum(pos) * sum(neg)), 6) AS value FROM r GROUP BY rep""",
 )
 def bootstrap_auc(spark, sf):
-    return resample.bootstrap_auc(scored(spark, sf), "doc_id", "y", "score", 40).withColumn("value", F.round("value", 6))
+    return resample.bootstrap_auc(scored(spark, sf), "doc_id", "y", "score").withColumn("value", F.round("value", 6))
 
 
 @query("bootstrap_classification")
@@ -502,45 +516,52 @@ def permuted_column(spark, sf):
     return resample.permuted(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 7)
 
 
-def _rmse(df):
-    return df.agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0]
+def moved_sql(source: str, shuffles: int, seed: int = 42) -> str:
+    """Where every row of ``source`` (``k`` from 0) goes in every shuffle, turned until it is inside."""
+    keys = draws.keys(seed, 4 * shuffles)
+    rows = ", ".join(f"({j}, {', '.join(map(str, keys[4 * j : 4 * j + 4]))})" for j in range(shuffles))
+    key = ["k0", "k1", "k2", "k3"]
+    return f"""turns AS (SELECT * FROM (VALUES {rows}) t(shuffle, k0, k1, k2, k3)), size AS (SELECT count(*) AS n FROM {source}),
+        walk AS (SELECT k, shuffle, k0, k1, k2, k3, n, {draws.turned_sql('k', 'n', key)} AS at_ FROM {source}, turns, size
+                 UNION ALL SELECT k, shuffle, k0, k1, k2, k3, n, {draws.turned_sql('at_', 'n', key)} FROM walk WHERE at_ >= n),
+        gone AS (SELECT shuffle, k, at_ FROM walk WHERE at_ < n)"""
+
+
+def _rmse(df, by):
+    e = F.col("prediction") - F.col("y")
+    return df.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("value"))
 
 
 @query(
     "permutation_importance",
-    """WITH d AS (SELECT p_partkey AS id, p_retailprice AS y, p_partkey % 200 AS a, p_size AS b, row_number() OVER (ORDER BY substr(md5('0|' || p_partkey), 1, 15)) AS k FROM part),
-            g AS (SELECT sqrt(avg((900 + a * 0.1 - y) * (900 + a * 0.1 - y))) AS base FROM d),
-            m AS (SELECT d.id, d.y, d.a, d.b, d.k, j, CAST(43 + j AS VARCHAR) AS seed FROM d, range(4) r(j)),
-            s AS (SELECT m.*, row_number() OVER (PARTITION BY j ORDER BY substr(md5(seed || '|' || id), 1, 15)) AS q FROM m),
-            x AS (SELECT r.j, sqrt(avg((900 + CASE WHEN r.j < 2 THEN o.a ELSE r.a END * 0.1 - r.y) * (900 + CASE WHEN r.j < 2 THEN o.a ELSE r.a END * 0.1 - r.y))) - max(base) AS drop FROM s r JOIN s o ON r.j = o.j AND r.k = o.q, g GROUP BY r.j)
-       SELECT CASE WHEN j < 2 THEN 'a' ELSE 'b' END AS feature, round(avg(drop), 5) + 0.0 AS importance_mean, round(stddev_samp(drop), 5) + 0.0 AS importance_std FROM x GROUP BY 1""",
+    f"""WITH RECURSIVE d AS (SELECT p_partkey AS id, p_retailprice AS y, p_partkey % 200 AS a, p_size AS b, row_number() OVER (ORDER BY substr(md5('0|' || p_partkey), 1, 15)) - 1 AS k FROM part),
+            g AS (SELECT sqrt(avg((900 + a * 0.1 + b * 0.5 - y) * (900 + a * 0.1 + b * 0.5 - y))) AS base FROM d), {moved_sql('d', 30)},
+            x AS (SELECT shuffle, CASE WHEN shuffle < 15 THEN o.a ELSE r.a END AS a, CASE WHEN shuffle < 15 THEN r.b ELSE o.b END AS b, r.y FROM gone JOIN d o ON o.k = gone.k JOIN d r ON r.k = gone.at_),
+            s AS (SELECT shuffle, sqrt(avg((900 + a * 0.1 + b * 0.5 - y) * (900 + a * 0.1 + b * 0.5 - y))) - (SELECT base FROM g) AS drop FROM x GROUP BY 1)
+       SELECT CASE WHEN shuffle < 15 THEN 'a' ELSE 'b' END AS feature, round(avg(drop), 5) + 0.0 AS importance_mean, round(stddev_samp(drop), 5) + 0.0 AS importance_std, CAST(count(*) AS INTEGER) AS repeats FROM s GROUP BY 1""",
 )
 def permutation_importance(spark, sf):
     df = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 200).alias("a"), F.col("p_size").alias("b")
     )
     out = resample.permutation_importance(
-        df, "id", ["a", "b"], lambda d: d.withColumn("prediction", 900 + F.col("a") * 0.1), _rmse, repeats=2, higher_is_better=False
+        df, "id", ["a", "b"], lambda d: d.withColumn("prediction", 900 + F.col("a") * 0.1 + F.col("b") * 0.5), _rmse, higher_is_better=False
     )
-    return out.select("feature", *[(F.round(c, 5) + 0.0).alias(c) for c in ("importance_mean", "importance_std")])
+    return out.select("feature", *[(F.round(c, 5) + 0.0).alias(c) for c in ("importance_mean", "importance_std")], "repeats")
 
 
 @query(
     "permutation_test",
-    """WITH d AS (SELECT p_partkey AS id, p_retailprice AS y, p_partkey % 1000 AS a, row_number() OVER (ORDER BY substr(md5('0|' || p_partkey), 1, 15)) AS k FROM part),
-            s AS (SELECT j, id, y, row_number() OVER (PARTITION BY j ORDER BY substr(md5(CAST(43 + j AS VARCHAR) || '|' || id), 1, 15)) AS q FROM d, range(5) r(j)),
-            c AS (SELECT j, abs(corr(d.a, s.y)) AS c FROM d JOIN s ON d.k = s.q GROUP BY j),
+    f"""WITH RECURSIVE d AS (SELECT p_partkey AS id, p_retailprice AS y, p_partkey % 1000 AS a, row_number() OVER (ORDER BY substr(md5('0|' || p_partkey), 1, 15)) - 1 AS k FROM part),
+            {moved_sql('d', 20)},
+            c AS (SELECT shuffle, abs(corr(r.a, o.y)) AS c FROM gone JOIN d o ON o.k = gone.k JOIN d r ON r.k = gone.at_ GROUP BY 1),
             o AS (SELECT abs(corr(a, y)) AS observed FROM d)
        SELECT round(max(observed), 6) AS observed, round(avg(c), 6) AS permuted_mean, round(stddev_samp(c), 6) AS permuted_std, round(min(c), 6) AS permuted_min, round(max(c), 6) AS permuted_max,
-              round((sum(CASE WHEN c >= observed THEN 1 ELSE 0 END) + 1) / 6.0, 6) AS p_value, CAST(5 AS INTEGER) AS permutations FROM c, o""",
+              round((sum(CASE WHEN c >= observed THEN 1 ELSE 0 END) + 1) / 21.0, 6) AS p_value, CAST(count(*) AS INTEGER) AS permutations FROM c, o""",
 )
 def permutation_test(spark, sf):
     df = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") % 1000).alias("a"))
-
-    def score(d):
-        return abs(d.agg(F.corr("a", "y")).first()[0])
-
-    return rnd(resample.permutation_test(df, "id", "y", score, score(df), permutations=5))
+    return rnd(resample.permutation_test(df, "id", "y", lambda d, by: d.groupBy(*by).agg(F.abs(F.corr("a", "y")).alias("value"))))
 
 
 MASKS_SQL = """m AS (SELECT label AS mask, i AS feature, avg(CAST(embedding[i + 1] AS DOUBLE)) > 0 AS selected FROM embeddings, range(64) r(i) GROUP BY ALL)"""
@@ -620,10 +641,39 @@ def mask_search_classes(spark, sf):
 def mask_search_neighbours(spark, sf):
     df, columns = wide_embeddings(spark, sf)
     folded = splits.random_folds(df, "vec_id").cache()
-    result = search.search(columns, search.blocked_knn_scorer(folded, columns, "y"), STANDARD)
+    result = search.search(columns, search.neighbour_scorer(folded, columns, "y"), STANDARD)
     return search.history_table(spark, result)
 
 
+#: Columns of the masks whose fitness is also worked out in SQL.
+FIXED_MASKS = ((0, 3, 7), (40,), tuple(range(64)))
+
+
+@query(
+    "neighbour_fitness",
+    f"""WITH e AS (SELECT vec_id, vec_id % 5 AS fold, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+            d AS (SELECT vec_id, fold, x, 2 * x[1] - x[4] + 0.5 * x[8] + 0.3 * x[41] AS y FROM e),
+            m AS (SELECT * FROM (VALUES {", ".join(f"({i}, {[c + 1 for c in m]})" for i, m in enumerate(FIXED_MASKS))}) t(mask, cols)),
+            p AS (SELECT mask, q.vec_id, q.fold, q.y, t.y AS v, sqrt(list_sum(list_transform(cols, lambda i: (q.x[i] - t.x[i]) * (q.x[i] - t.x[i])))) AS d FROM d q JOIN d t ON q.fold <> t.fold, m),
+            k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY mask, vec_id ORDER BY d, v) <= 5),
+            w AS (SELECT *, CASE WHEN min(d) OVER (PARTITION BY mask, vec_id) <= 1e-7 THEN CASE WHEN d <= 1e-7 THEN 1.0 ELSE 0 END ELSE 1 / d END AS w FROM k),
+            g AS (SELECT mask, fold, vec_id, any_value(y) AS y, sum(w * v) / sum(w) AS g FROM w GROUP BY 1, 2, 3),
+            r AS (SELECT mask, fold, sqrt(avg((g - y) * (g - y))) AS r FROM g GROUP BY 1, 2)
+       SELECT CAST(mask AS INTEGER) AS mask, round(avg(r), 6) AS rmse, round(greatest(0, least(1, 1 - avg(r) / (SELECT stddev_pop(y) FROM d))), 6) AS fitness FROM r GROUP BY 1""",
+)
+def neighbour_fitness(spark, sf):
+    """Error and fitness of three fixed masks, from the same join as the search."""
+    df, columns = wide_embeddings(spark, sf)
+    folded = df.withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    masks = [np.isin(np.arange(len(columns)), m) for m in FIXED_MASKS]
+    found = neighbours.predicted(neighbours.Join(folded, columns, "y").nearest(masks))
+    error = F.col("p") - F.col("y")
+    by_fold = found.groupBy("mask", "fold").agg(F.sqrt(F.sum(F.col("copies") * error * error) / F.sum("copies")).alias("rmse"))
+    sd = folded.agg(F.stddev_pop("y")).first()[0]
+    fitness = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("rmse") / sd))
+    return rnd(by_fold.groupBy("mask").agg(F.avg("rmse").alias("rmse")).select("mask", "rmse", fitness.alias("fitness")))
+
+
 @query("mask_search_forest")
 def mask_search_forest(spark, sf):
     df, columns = wide_embeddings(spark, sf)

@@ -139,10 +139,12 @@ def table_experiment(
         replicates = resample.bootstrap_regression(predicted, row_id, target, "prediction", "rmse", s.bootstrap, s.seed)
     out["interval"] = resample.interval(replicates, "value")
 
-    def error(scored: DataFrame) -> float:
+    def error(scored: DataFrame, by: list[str]) -> DataFrame:
         if classes:
-            return 1 - metrics.classification(scored.withColumn(target, F.col(target).cast("double")), target, "prediction").first()["balanced_accuracy"]
-        return metrics.regression(scored, target, "prediction", medae=False).first()["rmse"]
+            found = metrics.classification(scored.withColumn(target, F.col(target).cast("double")), target, "prediction", by)
+            return found.select(*by, (1 - F.col("balanced_accuracy")).alias("value"))
+        e = F.col("prediction") - F.col(target)
+        return scored.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("value"))
 
     importance = resample.permutation_importance(test, row_id, found.selected, best, error, s.repeats, s.seed, higher_is_better=False)
     names_table = spark.createDataFrame(list(shown.items()), "feature string, name string")
