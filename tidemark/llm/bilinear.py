@@ -43,9 +43,11 @@ STEP, NOISE, RATE = 4_096, 64, 0.05
 #: Words looked up in a task, and the longest of them in bytes, which bounds what is sent out.
 LOOKUP, LOOKUP_BYTES = 1 << 18, 64
 #: Counted words a task holds before it hands them on; numbers of a block when models are averaged.
-HELD, BLOCK = 500_000, 4_096
+HELD, BLOCK = 250_000, 4_096
 #: Characters of text scored at once, but for a longer one.
-CHARS = 8_000_000
+CHARS = 2_000_000
+#: Rows of normalisers worked out at once.
+NORMS = 128
 #: Stands for the end of a text among the words; no word holds a blank.
 END = b" "
 
@@ -221,11 +223,14 @@ class Model:
 
         The probability of w after (u, v) has the logarithm last[v, w] + far[u, w] - norm[v, u].
         """
-        last = self.last.astype(np.float64) @ self.own.T + self.bias
-        far = self.far.astype(np.float64) @ self.own.T
+        last, far = self.last @ self.own.T + self.bias, self.far @ self.own.T
         top, high = last.max(axis=1), far.max(axis=1)
-        norm = np.log(np.exp(last - top[:, None]) @ np.exp(far - high[:, None]).T) + top[:, None] + high[None]
-        return last.astype(np.float32), far.astype(np.float32), norm.astype(np.float32)
+        right = np.exp((far - high[:, None]).astype(np.float64)).T
+        norm = np.empty((len(last), len(far)), np.float32)
+        for at in range(0, len(last), NORMS):
+            some = slice(at, at + NORMS)
+            norm[some] = np.log(np.exp((last[some] - top[some, None]).astype(np.float64)) @ right) + top[some, None] + high[None]
+        return last, far, norm
 
 
 def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -366,7 +371,11 @@ def scores(
     own = vocabulary(counts, singles, tails, lookup)
     known, token = spark.sparkContext.broadcast(own), f"{id(own)}-{np.random.default_rng().integers(1 << 62)}"
     model = learned(training, known, token, Model.start(own.frequency, width), rounds, step)
-    heads = settle(scored_heads(rows, known, spark.sparkContext.broadcast(model), token).withColumn("row", F.monotonically_increasing_id()), "heads")
+    sent = spark.sparkContext.broadcast(model)
+    heads = settle(scored_heads(rows, known, sent, token).withColumn("row", F.monotonically_increasing_id()), "heads")
+    # The rows are written, and workers are reused: what was sent to them goes.
+    known.destroy()
+    sent.destroy()
 
     tail = heads.select("row", F.inline("tail")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sizes = spark.createDataFrame([(own.singles + i, *map(float, s)) for i, s in enumerate(own.sizes)], "cls int, tokens double, words double, discount double")
