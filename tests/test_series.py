@@ -221,3 +221,30 @@ def test_line_numbers_survive_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert (got["line"].str.split(",").str[0].astype(int) == got["row_pos"]).all() and len(got) == 3000
     assert set(got["head"]) == {"x,y"} and str(folder / "a.csv") in set(got["path"])
+
+
+@pytest.mark.parametrize(("size", "step"), [(6, 2), (5, 2), (2, 5), (3, 3)])
+def test_windows_from_panes_equal_windows_of_rows(spark, size, step):
+    rng = np.random.default_rng(size * 10 + step)
+    minute = 60_000_000
+    t = np.sort(rng.integers(0, 300 * minute, 900))
+    t[300:420] = t[300]  # a crowded pane
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 900), "i": range(900), "t": t, "x": 1e6 + rng.normal(size=900)})
+    df = spark.createDataFrame(pdf)
+    size, step = size * 10 * minute, step * 10 * minute
+    wanted = spark.createDataFrame([(int(s),) for s in range(-size // step * step, 300 * minute, 2 * step)], "window_start long")
+    want = {}
+    for (k,), own in pdf.sort_values(["t", "i"]).groupby(["k"]):
+        for s in range(-size // step * step, 300 * minute, step):
+            x = own.x[(own.t >= s) & (own.t < s + size)].to_numpy()
+            if len(x) >= 3:
+                q = np.quantile(x, [0.25, 0.5, 0.75])
+                d = x - x.mean()
+                shaped = len(x) >= 8
+                want[k, s] = (len(x), x.mean(), x.std(), q[1], q[2] - q[0], np.polyfit(np.arange(len(x)), d, 1)[0] if len(x) >= 5 else 0.0, x[-1], x[-1] - x[0], (d**3).mean() / x.std() ** 3 if shaped else None, (d**4).mean() / x.std() ** 4 - 3 if shaped else None)
+    names = ("n", "mean", "std", "median", "iqr", "slope", "last", "delta", "skew", "kurtosis")
+    for options in ({}, {"rows_per_chunk": 100}, {"rows_per_chunk": 250}, {"rows_per_chunk": 100, "wanted": wanted}):
+        got = {(r.k, r.window_start): tuple(r[c] for c in names) for r in windows.basic_stats(df, ["k"], "t", "x", size, step, "i", **options).collect()}
+        expected = {k: x for k, x in want.items() if "wanted" not in options or k[1] % (2 * step) == (-size // step * step) % (2 * step)}
+        assert got.keys() == expected.keys()
+        assert all(got[k] == pytest.approx(expected[k], rel=1e-6, abs=1e-6) for k in expected)

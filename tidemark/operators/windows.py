@@ -7,6 +7,7 @@ is shifted, and a difference belongs to a window when the earlier row is inside
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,23 +60,111 @@ def within_session(
     return windows.filter(fits & (finish > begin + F.lit(size_us)))
 
 
-def _shape(n: Column, sd: Column, x: Column) -> Column:
-    return F.when((n >= 8) & (sd > 1e-12), x)
+#: Rows of a pane beyond which its windows' quantiles come from one chunked ordering instead.
+PANE_ROWS = 1_000_000
+#: Windows of a block, as a multiple of the panes of one window.
+BLOCK = 8
 
 
-def stats_columns(value: str, position: str, order: Column) -> list[Column]:
-    """Aggregates of one channel; quantiles are added apart because they need ordering."""
-    x = F.col(value)
+def pane_starts(size_us: int, step_us: int) -> tuple[int, int]:
+    """Length of a pane and panes of a window; windows begin and end where panes do."""
+    pane = math.gcd(size_us, step_us)
+    return pane, size_us // pane
+
+
+def windows_of_pane(size_us: int, step_us: int) -> Column:
+    """Starts of the windows that hold the pane at ``_pane``."""
+    copies = -(-size_us // step_us)
+    return F.expr(f"filter(transform(sequence(0, {copies - 1}), i -> _pane - pmod(_pane, {step_us}L) - i * {step_us}L), s -> s + {size_us}L > _pane)")
+
+
+def pane_moments(rows: DataFrame, series: Sequence[str], value: str, position: str, *more: Column) -> DataFrame:
+    """One row per series and pane: count, range, ends, and central sums of value and position."""
+    x, p = F.col(value), F.col(position)
     n, sd = F.count(x), F.stddev_pop(x)
-    first, last = F.min_by(x, order), F.max_by(x, order)
-    return [
-        n.alias("n"), F.avg(x).alias("mean"), sd.alias("std"), F.min(x).alias("min"),
-        F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"),
-        F.when(n >= 5, F.regr_slope(x, F.col(position))).otherwise(F.lit(0.0)).alias("slope"),
-        last.alias("last"), (last - first).alias("delta"),
-        _shape(n, sd, F.skewness(x)).alias("skew"),
-        _shape(n, sd, F.kurtosis(x)).alias("kurtosis"),
-    ]
+    return rows.groupBy(*series, "_pane").agg(
+        n.alias("n"), F.avg(x).alias("mx"), F.avg(p).alias("mp"), F.min(x).alias("low"), F.max(x).alias("high"),
+        F.min_by(x, p).alias("first"), F.max_by(x, p).alias("last"),
+        (F.var_pop(x) * n).alias("x2"), F.coalesce(F.skewness(x) * n * sd * sd * sd, F.lit(0.0)).alias("x3"),
+        F.coalesce((F.kurtosis(x) + 3) * n * F.pow(sd, F.lit(4)), F.lit(0.0)).alias("x4"),
+        (F.var_pop(p) * n).alias("p2"), (F.covar_pop(x, p) * n).alias("xp"), *more,
+    )
+
+
+def window_moments(panes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics of windows from the moments of their panes (one row per window and pane).
+
+    Panes with their ``_values`` also give the quartiles.
+    """
+    fields = ("_pane", "n", "mx", "mp", "low", "high", "first", "last", "x2", "x3", "x4", "p2", "xp")
+    packed = "_values" in panes.columns
+    fields = (*fields, "_values") if packed else fields
+    found = panes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_p"))
+
+    def total(term: str) -> Column:
+        return F.expr(f"aggregate(_p, 0D, (a, p) -> a + {term})")
+
+    d, e = "(p.mx - mean)", "(p.mp - _mp)"
+    found = found.withColumn("n", F.expr("aggregate(_p, 0L, (a, p) -> a + p.n)"))
+    found = found.withColumns({"mean": total("p.n * p.mx") / F.col("n"), "_mp": total("p.n * p.mp") / F.col("n")})
+    found = found.withColumns({
+        "_x2": total(f"p.x2 + p.n * {d} * {d}"), "_x3": total(f"p.x3 + 3 * {d} * p.x2 + p.n * {d} * {d} * {d}"),
+        "_x4": total(f"p.x4 + 4 * {d} * p.x3 + 6 * {d} * {d} * p.x2 + p.n * {d} * {d} * {d} * {d}"),
+        "_p2": total(f"p.p2 + p.n * {e} * {e}"), "_xp": total(f"p.xp + p.n * {d} * {e}"),
+        "min": F.expr("array_min(_p.low)"), "max": F.expr("array_max(_p.high)"), "first": F.expr("_p[0].first"), "last": F.expr("element_at(_p, -1).last"),
+    })
+    n, var = F.col("n"), F.col("_x2") / F.col("n")
+    sd = F.sqrt(var)
+    quartiles = []
+    if packed:
+        found = found.withColumn("_values", F.sort_array(F.flatten(F.col("_p")["_values"])))
+        quartiles = [quantile_of("_values", q).alias(name) for name, q in QUARTILES.items()]
+    shaped = (n >= 8) & (sd > 1e-12)
+    return found.select(
+        *keys, "n", "mean", sd.alias("std"), "min", "max", (F.col("max") - F.col("min")).alias("range"),
+        F.when(n >= 5, F.col("_xp") / F.col("_p2")).otherwise(F.lit(0.0)).alias("slope"), "last", (F.col("last") - F.col("first")).alias("delta"),
+        F.when(shaped, F.col("_x3") / n / (var * sd)).alias("skew"), F.when(shaped, F.col("_x4") / n / (var * var) - 3).alias("kurtosis"), *quartiles,
+    )
+
+
+def quantile_of(values: str, q: float) -> Column:
+    """Linear interpolation in a sorted array."""
+    at = f"((size({values}) - 1) * {q}D)"
+    left, right = f"{values}[int(floor({at}))]", f"{values}[int(ceil({at}))]"
+    return F.expr(f"{left} + ({right} - {left}) * ({at} - floor({at}))")
+
+
+def window_quantiles(rows: DataFrame, series: Sequence[str], value: str, size_us: int, step_us: int, wanted: DataFrame | None) -> DataFrame:
+    """Quartiles per window, from the values of its panes.
+
+    Rows are exchanged once, by series and block of windows; only panes at the end of a block are
+    also sent to the one before. Panes and windows are then formed where the rows lie.
+    """
+    pane, per_window = pane_starts(size_us, step_us)
+    length = BLOCK * per_window * pane
+    own = F.floor(F.col("_pane") / F.lit(length))
+    first = F.floor((F.col("_pane") - F.lit(size_us - pane)) / F.lit(length))
+    dealt = rows.select(*series, "_pane", value).withColumn("_block", F.explode(F.sequence(first, own))).repartition(*series, "_block")
+    panes = dealt.groupBy(*series, "_block", "_pane").agg(F.collect_list(value).alias("_values"))
+    each = panes.withColumn("window_start", F.explode(windows_of_pane(size_us, step_us))).where(F.floor(F.col("window_start") / F.lit(length)) == F.col("_block"))
+    found = each.groupBy(*series, "_block", "window_start").agg(F.sort_array(F.flatten(F.collect_list("_values"))).alias("_values"))
+    out = found.select(*series, "window_start", *[quantile_of("_values", q).alias(name) for name, q in QUARTILES.items()])
+    return out if wanted is None else out.join(wanted, [c for c in wanted.columns if c in out.columns], "left_semi")
+
+
+def chunked_quantiles(placed, moments, series, t, value, size_us, step_us, wanted, rows_per_chunk) -> DataFrame:
+    """Quartiles per window of a large table; windows over a crowded pane apart from the others."""
+    crowded = moments.where(F.col("n") > (rows_per_chunk or PANE_ROWS)).select(*series, "_pane")
+    if crowded.isEmpty():
+        return window_quantiles(placed, series, value, size_us, step_us, wanted)
+    on = [*series, "window_start"]
+    few = crowded.select(*series, F.explode(windows_of_pane(size_us, step_us)).alias("window_start")).distinct()
+    if wanted is not None:
+        few = few.join(wanted, [c for c in wanted.columns if c in on], "left_semi")
+    spread_out = grouped_quantiles(sliding(placed, t, size_us, step_us, few), on, value, QUARTILES, rows_per_chunk)
+    others = placed.join(crowded, [*series, "_pane"], "left_anti")
+    packed = window_quantiles(others, series, value, size_us, step_us, wanted).join(few, on, "left_anti")
+    return packed.unionByName(spread_out.select(*packed.columns))
 
 
 STAT_NAMES = (
@@ -97,27 +186,27 @@ def basic_stats(
 ) -> DataFrame:
     """Distribution and trend of ``value`` per series and window; windows of n >= 3.
 
-    Non-finite values are dropped first. While the whole input is one chunk every group
-    is small enough for the built-in exact percentile; beyond that the quantiles of all
-    groups come from one chunked ordering.
+    Non-finite values are dropped first. A series is aggregated once per pane, and a window is put
+    together from its panes. Windows over a pane of very many rows (a default timestamp, say) take
+    their quantiles from one chunked ordering.
     """
     series = list(series)
     order = [t] + ([tie] if tie else [])
-    clean = keyed_rows(df, series).withColumn(value, v.finite(F.col(value))).filter(F.col(value).isNotNull())
+    clean = keyed_rows(df, series).withColumn(value, v.finite(F.col(value)).cast("double")).filter(F.col(value).isNotNull())
     edges = chunk_edges(clean, t, rows_per_chunk, tie)
+    pane, _ = pane_starts(size_us, step_us)
     placed = positions(clean.select(*series, *order, value), series, order, "_pos", edges)
-    windows = sliding(placed, t, size_us, step_us, wanted)
+    placed = placed.withColumn("_pane", (F.col(t) - F.pmod(F.col(t), F.lit(pane))).cast("long"))
     keys = [*series, "window_start", "window_end"]
-    columns = stats_columns(value, "_pos", F.col("_pos"))
+    # While there is one chunk, rows already lie by series: panes and windows form without an exchange.
+    moments = pane_moments(placed, series, value, "_pos", *([] if edges else [F.collect_list(value).alias("_values")]))
+    each = moments.withColumn("window_start", F.explode(windows_of_pane(size_us, step_us)))
+    if wanted is not None:
+        each = each.join(wanted, [c for c in wanted.columns if c in each.columns], "left_semi")
+    stats = window_moments(each, [*series, "window_start"])
     if edges:
-        stats = windows.groupBy(*keys).agg(*columns)
-        quantiles = grouped_quantiles(windows, keys, value, QUARTILES, rows_per_chunk)
-        stats = join_on(stats, quantiles, keys, "inner")
-    else:
-        quantiles = F.percentile(F.col(value), F.array(*[F.lit(p) for p in QUARTILES.values()]))
-        stats = windows.groupBy(*keys).agg(*columns, quantiles.alias("_q")).withColumns(
-            {name: F.col("_q")[i] for i, name in enumerate(QUARTILES)}
-        )
+        stats = join_on(stats, chunked_quantiles(placed, moments, series, t, value, size_us, step_us, wanted, rows_per_chunk), [*series, "window_start"], "inner")
+    stats = stats.withColumn("window_end", F.col("window_start") + F.lit(size_us).cast("long"))
     return stats.filter("n >= 3").select(
         *keys, "n", "mean", "std", "min", "max", F.col("q50").alias("median"),
         (F.col("q75") - F.col("q25")).alias("iqr"), "range", "slope", "last", "delta", "skew",
