@@ -83,6 +83,29 @@ def test_spearman_with_gaps(spark):
         assert got[c] == (len(pair), pytest.approx(np.corrcoef(pair[c].rank(), pair["y"].rank())[0, 1]))
 
 
+def test_rank_correlations_take_the_same_jobs_for_any_columns(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({c: np.round(rng.normal(size=300), 1) for c in "abcdefy"}).assign(k=1.0)
+    pdf.loc[::7, ["b", "d"]] = np.nan
+    pdf.loc[::5, "d"] = np.inf
+    df = spark.createDataFrame(pdf)
+    want = pdf.replace(np.inf, np.nan).corr(method="spearman")
+
+    def jobs(name, work):
+        spark.sparkContext.setJobGroup(name, "")
+        out = work()
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, count
+
+    few, some = jobs("two ranks", lambda: stats.spearman_many(df, "y", ["a", "b"]))
+    many, count = jobs("seven ranks", lambda: stats.spearman_many(df, "y", ["a", "b", "c", "d", "e", "f", "k"]))
+    assert count == some and few["a"] == many["a"] and many["k"] == (300, None)
+    assert {c: many[c][1] for c in "abcdef"} == pytest.approx({c: want.loc[c, "y"] for c in "abcdef"})
+    rows = stats.correlation_matrix(df, list("abcdef")).collect()
+    assert {(r.a, r.b): r.r for r in rows} == pytest.approx({(a, b): want.loc[a, b] for a in "abcdef" for b in "abcdef" if a <= b})
+
+
 def test_bootstrap_intervals_cover(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"id": range(400), "y": rng.normal(size=400), "p": 0.0, "k": rng.integers(0, 2, 400), "c": 1})

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import tails
 from tidemark.functions import values as v
 from tidemark.operators.clean import MAX_CLASSES
-from tidemark.operators.ordering import exact_quantiles, value_ranks
+from tidemark.operators.ordering import Running, exact_quantiles, running, value_ranks
 from tidemark.operators.profile import mode_share
+from tidemark.operators.search import fold_moments
 from tidemark.session import cut_lineage
 
 # ---------------------------------------------------------------- normality
@@ -276,56 +277,97 @@ def compare_groups(df: DataFrame, group: str, columns: Sequence[str], alpha: flo
 
 
 # ---------------------------------------------------------------- correlations
-def with_rank(df: DataFrame, column: str, out: str, keep: Sequence[str]) -> DataFrame:
-    """Attach the average rank of ``column`` to its rows (rows without it are left out).
+def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """``column`` (its number) and ``value`` of every value that is not missing."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
+    return df.select(*keep, each.alias("_e")).select(*keep, "_e.column", "_e.value").where("value is not null")
+
+
+def rank_sums(rows: DataFrame, value: str, keys: Sequence[str], other: str) -> DataFrame:
+    """Per key: ``n``, and the sums ``ab``, ``aa``, ``bb`` of ranks of ``value`` with ranks that ``other`` holds.
+
+    The cross product only needs, per distinct value, how many rows have it and the sum of
+    the other side's ranks. Both kinds of ranks of n rows have the mean (n + 1) / 2.
+    """
+    table = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"), F.sum(other).alias("_s"), F.sum(F.col(other) * F.col(other)).alias("_q"))
+    table = cut_lineage(table)
+    upto = running(table, keys, [value], {"upto": Running("sum", F.col("ties"))})
+    own = F.col("upto") - (F.col("ties") - 1) / F.lit(2.0)
+    sums = upto.groupBy(*keys).agg(
+        F.sum("ties").alias("n"), F.sum(own * F.col("_s")).alias("_ab"), F.sum(F.col("ties") * own * own).alias("_aa"), F.sum("_q").alias("_bb")
+    )
+    mid = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / F.lit(4.0)
+    # What is left of a constant side is rounding.
+    return sums.select(*keys, "n", *[F.when(F.abs(F.col(f"_{c}") - mid) > 1e-12 * mid, F.col(f"_{c}") - mid).otherwise(0.0).alias(c) for c in ("ab", "aa", "bb")])
+
+
+def with_ranks(rows: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    """Attach the average rank of ``value`` within the keys.
 
     A value shared by many rows makes a hot join key; the rank table has one row per
     value, so the adaptive skew join may split the row side freely.
     """
-    rows = df.filter(F.col(column).isNotNull())
-    ranks = value_ranks(rows, column).select(F.col(column).alias("_v"), F.col("rank").alias(out))
-    return rows.select(column, *keep).join(ranks, F.col(column) == F.col("_v")).drop("_v")
+    ranks = value_ranks(rows, value, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.col("rank").alias(out))
+    same = (F.col(value) == F.col("_v"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    return rows.join(ranks, same).drop("_v", *[f"_k_{k}" for k in keys])
 
 
-def rank_correlation(ranked: DataFrame, column: str, rank: str) -> tuple[int, float | None]:
-    """Spearman's r of ``column`` with a column that already holds average ranks.
+def _r(ab: float | None, aa: float | None, bb: float | None) -> float | None:
+    return ab / math.sqrt(aa * bb) if aa and bb else None
 
-    The cross product only needs, per distinct value, how many rows have it and the sum
-    of the other side's ranks, so rows are not joined a second time.
-    """
-    n, low = ranked.agg(F.count(F.lit(1)), F.min(rank)).first()
-    if not n:
-        return 0, None
-    mid = (n + 1) / 2.0
-    other = F.col(rank) - F.lit(mid)
-    table = value_ranks(ranked, column, extra={"_s": F.sum(other), "_q": F.sum(other * other)})
-    own, w = F.col("rank") - F.lit(mid), F.col("ties")
-    row = table.agg(F.sum(own * F.col("_s")).alias("ab"), F.sum(w * own * own).alias("aa"), F.sum("_q").alias("bb")).first()
-    if not row["aa"] or not row["bb"]:
-        return n, None
-    return n, row["ab"] / math.sqrt(row["aa"] * row["bb"])
+
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """Spearman's r of each pair on its own complete rows; all pairs go through the same jobs."""
+    if not pairs:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), v.finite(F.col(a)).cast("double").alias("x"), v.finite(F.col(b)).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]))
+    rows = df.select(each.alias("_e")).select("_e.*").where("x is not null and y is not null")
+    found = rank_sums(with_ranks(rows, "y", ["pair"], "_ry"), "x", ["pair"], "_ry").collect()
+    known = {r["pair"]: (r["n"], _r(r["ab"], r["aa"], r["bb"])) for r in found}
+    return {pair: known.get(i, (0, None)) for i, pair in enumerate(pairs)}
 
 
 def spearman(df: DataFrame, column: str, target: str) -> tuple[int, float | None]:
     """On complete pairs."""
-    pairs = df.select(v.finite(F.col(column)).alias("x"), v.finite(F.col(target)).alias("y")).filter(
-        "x is not null and y is not null"
-    )
-    return rank_correlation(with_rank(pairs, "y", "ry", ["x"]), "x", "ry")
+    return spearman_pairs(df, [(column, target)])[column, target]
+
+
+def whole_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those without a missing value."""
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if not gaps[f"g{i}"]]
 
 
 def spearman_many(df: DataFrame, target: str, columns: Sequence[str]) -> dict[str, tuple[int, float | None]]:
-    """The target is ranked once for all columns that are never missing beside it."""
-    clean = df.select(v.finite(F.col(target)).alias(target), *[v.finite(F.col(c)).alias(c) for c in columns])
+    """Columns never missing beside the target share its one ranking; the others go as pairs of their own."""
+    clean = df.select(v.finite(F.col(target)).alias(target), *[v.finite(F.col(c)).alias(c) for c in columns if c != target])
     clean = clean.filter(F.col(target).isNotNull())
-    gaps = clean.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
-    whole = [c for i, c in enumerate(columns) if not gaps[f"g{i}"]]
-    out = {c: spearman(df, c, target) for c in columns if c not in whole}
+    whole = whole_columns(clean, columns)
+    out = {a: x for (a, _), x in spearman_pairs(clean, [(c, target) for c in columns if c not in whole]).items()}
     if whole:
-        ranked = with_rank(clean, target, "_ry", whole)
-        if len(whole) > 1:
-            ranked = cut_lineage(ranked)
-        out |= {c: rank_correlation(ranked, c, "_ry") for c in whole}
+        ranked = with_ranks(clean.select(target, *[c for c in whole if c != target]), target, [], "_ry")
+        found = {r["column"]: r for r in rank_sums(long_form(ranked, whole, "_ry"), "value", ["column"], "_ry").collect()}
+        out |= {c: (found[i]["n"], _r(found[i]["ab"], found[i]["aa"], found[i]["bb"])) if i in found else (0, None) for i, c in enumerate(whole)}
+    return out
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """All pairs: columns without gaps are ranked in one pass and multiplied as one matrix of ranks."""
+    clean = df.select(*[v.finite(F.col(c)).alias(c) for c in columns])
+    whole = whole_columns(clean, columns)
+    out = {p: r for p, (_, r) in spearman_pairs(clean, [p for p in combinations(columns, 2) if not set(p) <= set(whole)]).items()}
+    if len(whole) > 1:
+        rows = cut_lineage(clean.select(*whole).withColumn("_id", F.monotonically_increasing_id()))
+        ranked = with_ranks(long_form(rows, whole, "_id"), "value", ["column"], "_rank")
+        wide = ranked.groupBy("_id").agg(F.lit(0).alias("fold"), *[F.max(F.when(F.col("column") == i, F.col("_rank"))).alias(f"r{i}") for i in range(len(whole))])
+        moments = fold_moments(wide, [f"r{i}" for i in range(len(whole))])
+        if moments:
+            m = moments[0]
+            mid = np.outer(m[0, 1:], m[0, 1:]) / m[0, 0]
+            central = np.where(np.abs(m[1:, 1:] - mid) > 1e-12 * mid, m[1:, 1:] - mid, 0.0)
+            out |= {(a, b): _r(float(central[i, j]), float(central[i, i]), float(central[j, j])) for (i, a), (j, b) in combinations(enumerate(whole), 2)}
     return out
 
 
@@ -370,9 +412,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "spe
         found = df.agg(*exprs).first() if exprs else ()
         rows = [(*pair, r) for pair, r in zip(combinations(columns, 2), found, strict=True)]
     else:
-        for i, a in enumerate(columns[:-1]):
-            rest = list(columns[i + 1 :])
-            rows += [(a, b, r) for b, (_, r) in spearman_many(df, a, rest).items()]
+        rows = [(*pair, r) for pair, r in spearman_matrix(df, columns).items()]
     rows += [(c, c, 1.0) for c in columns]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
