@@ -80,11 +80,31 @@ def test_written_records_are_json_safe(spark, tmp_path):
     line = "".join(p.read_text() for p in (tmp_path / "r").glob("*.json"))
     assert json.loads(line) == {"a": None, "b": "Infinity", "c": "-Infinity", "d": 1.5}
     runs = tables.run_registry(spark, str(tmp_path / "r" / "*.json"))
-    assert runs.count() == 1 and "modified" in runs.columns
+    assert runs.columns == ["run", "record", "path", "modified"] and runs.count() == 1
+    bare = tables.run_index(runs).first()
+    assert (bare["run"], bare["metric"], bare["value"], bare["naive_baseline"], bare["seed"]) == ("r", "rmse", None, None, None)
     paths = sinks.write_tables({"one": df, "two": df}, str(tmp_path / "t"))
     assert all(spark.read.csv(p, header=True).count() == 1 for p in paths.values())
 
 
+def test_index_of_runs_with_differing_records(spark, tmp_path):
+    records = {
+        "a": {"task": "classification", "dataset": {"source": "x.csv", "n_rows": 9}, "multimodal": {"roc_auc": 0.75}, "naive_baseline": {"n": 3, "accuracy": 0.5, "f1": 0.25}, "seed": 7},
+        "b": {"task": "regression", "dataset": {"n_rows": "many"}, "transformer": {"rmse": 2}, "multimodal": {"rmse": 1.0}, "feature_selection": {"n_selected": 4}, "seed": None},
+        "c": ["not", "an", "object"],
+    }
+    for name, record in records.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "results.json").write_text(json.dumps(record, indent=1))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "results.json").write_text("{")
+    got = {r["run"]: r for r in tables.run_index(tables.run_registry(spark, str(tmp_path / "*" / "results.json"))).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert tuple(got["a"])[1:] == ("x.csv", "classification", 9, None, "roc_auc", 0.75, 0.5, 7)
+    assert tuple(got["b"])[1:] == (None, "regression", None, 4, "rmse", 2.0, None, None)
+    assert tuple(got["c"])[1:] == (None, None, None, None, "rmse", None, None, None)
+
+
 def _png(path, rgb):
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))

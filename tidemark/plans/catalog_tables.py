@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as v
 from tidemark.operators import clean, leakage, prep, profile, splits
 from tidemark.plans.registry import query, table
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import sinks, tables
 
 
@@ -222,19 +222,46 @@ def limited_scan(spark, sf):
     return clean.top_per_key(first, ["user_id"], [F.asc("event_id")], 5)
 
 
+def run_records(spark, sf):
+    """One result record per order priority, in a folder of its own; the fields differ by task."""
+    runs = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    runs = runs.withColumn("i", F.substring("o_orderpriority", 1, 1).cast("int"))
+    regression = F.to_json(F.struct(
+        F.lit("regression").alias("task"), F.struct(F.col("o_orderpriority").alias("source"), F.col("n").alias("n_rows")).alias("dataset"),
+        F.struct(F.col("i").alias("n_selected")).alias("feature_selection"), F.struct(F.col("mean").alias("rmse"), F.lit(0.5).alias("roc_auc")).alias("transformer"),
+        F.struct(F.lit("mean").alias("kind"), F.col("n").alias("count"), (F.col("mean") + 0.25).alias("rmse")).alias("naive_baseline"), (40 + F.col("i")).alias("seed"),
+    ))
+    classes = F.to_json(F.struct(
+        F.lit("classification").alias("task"), F.struct(F.col("n").alias("n_rows"), F.array("i", "n").alias("shape")).alias("dataset"),
+        F.struct((F.col("i") / 8).alias("roc_auc")).alias("multimodal"), F.lit("text").alias("seed"), F.lit("none").alias("naive_baseline"),
+    ))
+    body = F.when(F.col("i") == 5, F.lit("{ cut off")).when(F.col("i") % 2 == 0, classes).otherwise(regression)
+    path = scratch_path(spark, "runs")
+    runs.select(F.concat(F.lit("run "), "i").alias("run"), body.alias("value")).coalesce(1).write.partitionBy("run").text(path)
+    return tables.run_registry(spark, f"{path}/*/*.txt")
+
+
+RUNS_SQL = """r AS (SELECT o_orderpriority AS p, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS i, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1)"""
+
+
 @query(
     "run_registry",
-    """SELECT 'run_' || o_orderpriority AS run, count(*) AS n,
-              round(avg(o_totalprice), 2) AS rmse FROM orders GROUP BY o_orderpriority""",
+    f"""WITH {RUNS_SQL} SELECT 'run ' || i AS run, CASE WHEN i = 5 THEN NULL WHEN i % 2 = 0 THEN 'classification' ELSE 'regression' END AS task, i <> 5 AS readable FROM r""",
 )
 def run_registry(spark, sf):
-    runs = table(spark, sf, "orders").groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("rmse")
-    )
-    rows = runs.select(F.concat(F.lit("run_"), "o_orderpriority").alias("run"), "n", "rmse")
-    path = sinks.write_table(rows, "registry", "json")
-    read = spark.read.schema("run string, n long, rmse double").json(path)
-    return read.select("run", "n", "rmse")
+    """Records found under a glob; one of them is damaged."""
+    return run_records(spark, sf).select("run", F.try_variant_get("record", "$.task", "string").alias("task"), F.col("record").isNotNull().alias("readable"))
+
+
+@query(
+    "run_index",
+    f"""WITH {RUNS_SQL} SELECT 'run ' || i AS run, CASE WHEN i % 2 = 1 THEN p END AS source, CASE WHEN i % 2 = 0 THEN 'classification' ELSE 'regression' END AS task, n AS n_rows,
+            CASE WHEN i % 2 = 1 THEN CAST(i AS BIGINT) END AS n_selected, CASE WHEN i % 2 = 0 THEN 'roc_auc' ELSE 'rmse' END AS metric, CASE WHEN i % 2 = 0 THEN i / 8.0 ELSE mean END AS value,
+            CASE WHEN i % 2 = 1 THEN mean + 0.25 END AS naive_baseline, CASE WHEN i % 2 = 1 THEN CAST(40 + i AS BIGINT) END AS seed FROM r WHERE i <> 5""",
+)
+def run_index(spark, sf):
+    """The comparison index over the same records."""
+    return tables.run_index(run_records(spark, sf))
 
 
 # ---------------------------------------------------------------- sinks

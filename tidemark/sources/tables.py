@@ -366,15 +366,45 @@ def load_dataset(spark: SparkSession, paths: Sequence[str], **how) -> tuple[Data
 
 
 def run_registry(spark: SparkSession, pattern: str) -> DataFrame:
-    """All result records under a glob, newest first."""
-    records = spark.read.option("multiLine", True).json(pattern)
-    return records.select(
-        "*",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
+    """All result records under a glob, newest first: ``run``, ``record``, ``path`` and ``modified``.
+
+    Records differ in their fields, so each is a VARIANT, typed where a path is read; a file
+    that is not JSON has a null record. The run is the record's folder, without a ``name=`` before it.
+    """
+    files = spark.read.text(pattern, wholetext=True)
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -2)), "^[^=]*=", "")
+    return files.select(
+        folder.alias("run"), F.try_parse_json("value").alias("record"), path.alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
     ).orderBy(F.desc("modified"), "path")
 
 
+# Names of a record's fields, and of the blocks that may hold the final model's metrics.
+HEADLINES = ("transformer", "multimodal")
+
+
+def run_index(registry: DataFrame) -> DataFrame:
+    """One comparable row per run: source, task, rows, selected features, primary metric, baseline, seed.
+
+    The metric is ROC-AUC of a classification and RMSE otherwise, from the first headline block that
+    is there. The baseline is the fractional number of smallest name under ``naive_baseline``. What
+    a record lacks, or holds in another type, is null.
+    """
+
+    def at(path: str, kind: str):
+        return F.try_variant_get("record", f"$.{path}", kind)
+
+    metric = F.when(at("task", "string") == "classification", "roc_auc").otherwise("rmse")
+    value = F.coalesce(*[F.when(metric == m, at(f"{block}.{m}", "double")) for block in HEADLINES for m in ("roc_auc", "rmse")])
+    naive = F.filter(F.map_entries(at("naive_baseline", "map<string, variant>")), lambda e: F.schema_of_variant(e["value"]).rlike("^(DOUBLE|FLOAT|DECIMAL)"))
+    fractional = F.transform(naive, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "double").alias("value")))
+    return registry.where("record is not null").select(
+        "run", at("dataset.source", "string").alias("source"), at("task", "string").alias("task"), at("dataset.n_rows", "long").alias("n_rows"),
+        at("feature_selection.n_selected", "long").alias("n_selected"), metric.alias("metric"), value.alias("value"),
+        F.array_min(fractional)["value"].alias("naive_baseline"), at("seed", "long").alias("seed"),
+    )
+
+
 def manifest(
     df: DataFrame, target: str, drop: Sequence[str] = ()
 ) -> DataFrame:
