@@ -167,6 +167,25 @@ def test_search_finds_planted_features(planted):
     assert {"x2", "x5"} <= set(c.selected) and c.score > 0.85
 
 
+def test_masks_solved_on_executors_and_runs_side_by_side_change_nothing(spark, planted, monkeypatch):
+    df, names, _ = planted
+    masks = [np.random.default_rng(i).random(len(names)) < 0.4 for i in range(20)]
+    here = search.linear_regression_scorer(df, names, "y")(masks)
+    quick = search.SearchSettings(population=6, generations=4)
+    scorer = search.linear_regression_scorer(df, names, "y")
+    alone = [search.search(names, scorer, search.replace(quick, seed=seed, **search.VARIANTS[v])) for v in ("full", "random_search") for seed in (1, 2)]
+    monkeypatch.setattr(search, "WORK", 0)
+    assert search.linear_regression_scorer(df, names, "y")(masks) == pytest.approx(here, rel=1e-12)
+    calls = []
+    counted = lambda asked: calls.append(len(asked)) or scorer(asked)
+    runs = search.ablation_runs(spark, names, counted, quick, (1, 2), ("full", "random_search")).toPandas()
+    assert runs.groupby(["variant", "seed"], sort=False)["fitness"].first().tolist() == pytest.approx([r.fitness for r in alone])
+    assert runs["selected"].tolist() == [bool(x) for r in alone for x in r.mask]
+    assert len(calls) <= 2 * (quick.generations + 1) and max(calls) > 6
+    with pytest.raises(ZeroDivisionError):
+        search.side_by_side([lambda ask: ask([1]), lambda ask: 0], lambda masks: 1 / 0)
+
+
 # ---------------------------------------------------------------- models
 def test_ridge_equals_closed_form(planted):
     df, names, pdf = planted

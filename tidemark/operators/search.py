@@ -4,7 +4,9 @@ few masks that an iterative optimiser carries between jobs."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from threading import Condition
 
 import numpy as np
 import pandas as pd
@@ -69,7 +71,39 @@ def solve_linear(m: np.ndarray, inputs: Sequence[int], outputs: Sequence[int], p
     gram = m[np.ix_(at, at)].copy()
     scale = np.trace(gram) / len(at)
     gram[np.arange(1, len(at)), np.arange(1, len(at))] += penalty * max(scale, 1e-300)
-    return np.linalg.lstsq(gram, m[np.ix_(at, list(outputs))], rcond=None)[0]
+    right = m[np.ix_(at, list(outputs))]
+    try:
+        found = np.linalg.solve(gram, right)
+    except np.linalg.LinAlgError:
+        found = np.full(right.shape, np.nan)
+    return found if np.isfinite(found).all() else np.linalg.lstsq(gram, right, rcond=None)[0]
+
+
+def mask_errors(mask: np.ndarray, moments: Mapping[int, np.ndarray], total: np.ndarray, y: int) -> list[float]:
+    """Held-out RMSE of each fold; the error of a weight vector is a quadratic form in the fold's moments."""
+    inputs = (np.flatnonzero(mask) + 1).tolist()
+    at, errors = [0, *inputs, y], []
+    for held in moments.values():
+        u = np.append(-solve_linear(total - held, inputs, [y])[:, 0], 1.0)
+        errors.append(float(np.sqrt(max(0.0, u @ held[np.ix_(at, at)] @ u) / held[0, 0])))
+    return errors
+
+
+#: Multiplications beyond which masks are solved on executors. This settles only where.
+WORK = 200_000_000
+
+
+def on_executors(spark, masks: Sequence[np.ndarray], measure: Callable[[np.ndarray], float]) -> list[float]:
+    """``measure`` of every mask; masks are rows, dealt over all tasks."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"i": batch["i"], "value": [measure(np.frombuffer(bytes(b), bool)) for b in batch["mask"]]})
+
+    rows = spark.createDataFrame([(i, bytearray(np.asarray(m, bool).tobytes())) for i, m in enumerate(masks)], "i int, mask binary")
+    parts = min(len(masks), 4 * spark.sparkContext.defaultParallelism)
+    found = rows.repartition(parts).mapInPandas(work, "i int, value double").collect()
+    return [r.value for r in sorted(found)]
 
 
 def linear_regression_scorer(df: DataFrame, features: Sequence[str], target: str) -> Scorer:
@@ -86,19 +120,16 @@ def linear_regression_scorer(df: DataFrame, features: Sequence[str], target: str
     if sd < 1e-12:
         raise ValueError("target has zero variance")
 
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((moments, total))
+
     def score(masks: list[np.ndarray]) -> list[float]:
-        out = []
-        for mask in masks:
-            inputs = (np.flatnonzero(mask) + 1).tolist()
-            at = [0, *inputs, y]
-            errors = []
-            for held in moments.values():
-                w = solve_linear(total - held, inputs, [y])[:, 0]
-                u = np.append(-w, 1.0)
-                sse = u @ held[np.ix_(at, at)] @ u
-                errors.append(np.sqrt(max(0.0, sse) / held[0, 0]))
-            out.append(float(np.clip(1 - np.mean(errors) / sd, 0, 1)))
-        return out
+        work = len(moments) * sum(float(np.sum(m) + 1) ** 3 for m in masks)
+        if work > WORK:
+            errors = on_executors(spark, masks, lambda mask: float(np.mean(mask_errors(mask, *shared.value, y))))
+        else:
+            errors = [float(np.mean(mask_errors(mask, moments, total, y))) for mask in masks]
+        return [float(np.clip(1 - e / sd, 0, 1)) for e in errors]
 
     return score
 
@@ -449,19 +480,57 @@ VARIANTS = {
 }
 
 
+def side_by_side(jobs: Sequence[Callable[[Scorer], SearchResult]], scorer: Scorer) -> list[SearchResult]:
+    """Run searches at once; masks they wait for at the same time are scored in one call."""
+    waiting: dict[int, tuple[list[np.ndarray], Future]] = {}
+    active, ready = len(jobs), Condition()
+
+    def run(k: int) -> SearchResult:
+        def ask(masks: list[np.ndarray]) -> list[float]:
+            answer: Future = Future()
+            with ready:
+                waiting[k] = (list(masks), answer)
+                ready.notify()
+            return answer.result()
+
+        nonlocal active
+        try:
+            return jobs[k](ask)
+        finally:
+            with ready:
+                active -= 1
+                ready.notify()
+
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        results = [pool.submit(run, k) for k in range(len(jobs))]
+        while True:
+            with ready:
+                ready.wait_for(lambda: len(waiting) >= active)
+                if not active:
+                    break
+                batch, order = dict(waiting), sorted(waiting)
+                waiting.clear()
+            try:
+                values = iter(scorer([m for k in order for m in batch[k][0]]))
+                for k in order:
+                    batch[k][1].set_result([next(values) for _ in batch[k][0]])
+            except BaseException as problem:
+                for k in order:
+                    batch[k][1].set_exception(problem)
+        return [r.result() for r in results]
+
+
 def ablation_runs(
     spark, features: Sequence[str], scorer: Scorer, settings: SearchSettings = SearchSettings(),
     seeds: Sequence[int] = (42, 52, 62), variants: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per (variant, seed, feature); every run shares one scorer's data pass."""
-    rows = []
-    for name in variants or VARIANTS:
-        for seed in seeds:
-            found = search(features, scorer, replace(settings, seed=seed, **VARIANTS[name]))
-            rows += [
-                (name, seed, found.fitness, found.score, f, bool(on))
-                for f, on in zip(features, found.mask)
-            ]
+    """One row per (variant, seed, feature); the runs go side by side and share one scorer's data pass."""
+    plans = [(name, seed, replace(settings, seed=seed, **VARIANTS[name])) for name in variants or VARIANTS for seed in seeds]
+    found = side_by_side([lambda ask, own=own: search(features, ask, own) for _, _, own in plans], scorer)
+    rows = [
+        (name, seed, run.fitness, run.score, f, bool(on))
+        for (name, seed, _), run in zip(plans, found, strict=True) for f, on in zip(features, run.mask)
+    ]
     return spark.createDataFrame(rows, "variant string, seed int, fitness double, score double, feature string, selected boolean")
 
 

@@ -674,6 +674,25 @@ def neighbour_fitness(spark, sf):
     return rnd(by_fold.groupBy("mask").agg(F.avg("rmse").alias("rmse")).select("mask", "rmse", fitness.alias("fitness")))
 
 
+@query(
+    "mask_fitness",
+    """WITH d AS (SELECT vec_id % 5 AS fold, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[4] AS DOUBLE) AS b, 2 * CAST(embedding[1] AS DOUBLE) - CAST(embedding[4] AS DOUBLE) + 0.5 * CAST(embedding[8] AS DOUBLE) + 0.3 * CAST(embedding[41] AS DOUBLE) AS y FROM embeddings),
+            f AS (SELECT DISTINCT fold FROM d), t AS (SELECT f.fold AS held, d.* FROM d JOIN f ON d.fold <> f.fold),
+            s AS (SELECT held, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM t GROUP BY 1),
+            w AS (SELECT held, 'x0' AS mask, ay / aa AS wa, 0.0 AS wb, ma, mb, my FROM s UNION ALL SELECT held, 'x3', 0.0, byy / bb, ma, mb, my FROM s
+                  UNION ALL SELECT held, 'x0 x3', (ay * bb - byy * ab) / (aa * bb - ab * ab), (byy * aa - ay * ab) / (aa * bb - ab * ab), ma, mb, my FROM s),
+            r AS (SELECT mask, held, sqrt(avg((my + wa * (a - ma) + wb * (b - mb) - y) * (my + wa * (a - ma) + wb * (b - mb) - y))) AS r FROM w JOIN d ON d.fold = held GROUP BY 1, 2)
+       SELECT mask, round(greatest(0, least(1, 1 - avg(r) / (SELECT stddev_pop(y) FROM d))), 6) AS fitness FROM r GROUP BY 1""",
+)
+def mask_fitness(spark, sf):
+    """Linear fitness of three masks from fold moments, against refitted lines and planes."""
+    df, columns = wide_embeddings(spark, sf)
+    folded = df.withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    masks = [np.isin(np.arange(len(columns)), m) for m in ((0,), (3,), (0, 3))]
+    scores = search.linear_regression_scorer(folded, columns, "y")(masks)
+    return spark.createDataFrame([(name, round(x, 6)) for name, x in zip(("x0", "x3", "x0 x3"), scores)], "mask string, fitness double")
+
+
 @query("mask_search_forest")
 def mask_search_forest(spark, sf):
     df, columns = wide_embeddings(spark, sf)
