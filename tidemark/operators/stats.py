@@ -283,7 +283,7 @@ def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, each.alias("_e")).select(*keep, "_e.column", "_e.value").where("value is not null")
 
 
-def rank_sums(rows: DataFrame, value: str, keys: Sequence[str], other: str) -> DataFrame:
+def rank_products(rows: DataFrame, value: str, keys: Sequence[str], other: str) -> DataFrame:
     """Per key: ``n``, and the sums ``ab``, ``aa``, ``bb`` of ranks of ``value`` with ranks that ``other`` holds.
 
     The cross product only needs, per distinct value, how many rows have it and the sum of
@@ -324,7 +324,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tupl
         return {}
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), v.finite(F.col(a)).cast("double").alias("x"), v.finite(F.col(b)).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]))
     rows = df.select(each.alias("_e")).select("_e.*").where("x is not null and y is not null")
-    found = rank_sums(with_ranks(rows, "y", ["pair"], "_ry"), "x", ["pair"], "_ry").collect()
+    found = rank_products(with_ranks(rows, "y", ["pair"], "_ry"), "x", ["pair"], "_ry").collect()
     known = {r["pair"]: (r["n"], _r(r["ab"], r["aa"], r["bb"])) for r in found}
     return {pair: known.get(i, (0, None)) for i, pair in enumerate(pairs)}
 
@@ -348,7 +348,7 @@ def spearman_many(df: DataFrame, target: str, columns: Sequence[str]) -> dict[st
     out = {a: x for (a, _), x in spearman_pairs(clean, [(c, target) for c in columns if c not in whole]).items()}
     if whole:
         ranked = with_ranks(clean.select(target, *[c for c in whole if c != target]), target, [], "_ry")
-        found = {r["column"]: r for r in rank_sums(long_form(ranked, whole, "_ry"), "value", ["column"], "_ry").collect()}
+        found = {r["column"]: r for r in rank_products(long_form(ranked, whole, "_ry"), "value", ["column"], "_ry").collect()}
         out |= {c: (found[i]["n"], _r(found[i]["ab"], found[i]["aa"], found[i]["bb"])) if i in found else (0, None) for i, c in enumerate(whole)}
     return out
 
