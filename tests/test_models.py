@@ -235,6 +235,22 @@ def test_tuning_and_many_classes(planted):
     assert (tried.toPandas()["cv_score"] > 0.8).all()
 
 
+def test_ridge_penalties_from_one_pass_equal_refits(planted):
+    df, names, pdf = planted
+    alphas = [0.01, 5.0, 500.0]
+    want = []
+    for alpha in alphas:
+        errors = []
+        for f in range(5):
+            train, held = pdf[pdf.fold != f], pdf[pdf.fold == f]
+            x, y = train[names] - train[names].mean(), train["y"] - train["y"].mean()
+            w = np.linalg.solve(x.T @ x + alpha * np.eye(len(names)), x.T @ y)
+            guess = train["y"].mean() + (held[names] - train[names].mean()) @ w
+            errors.append(np.sqrt(((guess - held["y"]) ** 2).mean()))
+        want.append(-np.mean(errors))
+    assert models.ridge_scores(df, names, "y", alphas, "fold") == pytest.approx(want, rel=1e-9)
+
+
 # ---------------------------------------------------------------- flows
 QUICK = experiments.TableSettings(
     search=search.SearchSettings(population=8, generations=3), bootstrap=20, repeats=1, trees=5, boost_rounds=3

@@ -765,12 +765,29 @@ def baselines_classification(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     df, columns = wide_embeddings(spark, sf)
-    folded = splits.random_folds(splits.random_split(df, "vec_id").filter("split = 'train'"), "vec_id", 3).cache()
+    folded = splits.random_folds(splits.random_split(df, "vec_id").filter("split = 'train'"), "vec_id").cache()
     m = models.ModelInput(folded, tuple(columns), "y", 0)
     _, _, tried = models.tune(m, "ridge")
     return tried
 
 
+@query(
+    "ridge_tuning",
+    """WITH d AS (SELECT vec_id % 5 AS fold, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[4] AS DOUBLE) AS b, 2 * CAST(embedding[1] AS DOUBLE) - CAST(embedding[4] AS DOUBLE) + 0.5 * CAST(embedding[8] AS DOUBLE) + 0.3 * CAST(embedding[41] AS DOUBLE) AS y FROM embeddings),
+            f AS (SELECT DISTINCT fold FROM d), t AS (SELECT f.fold AS held, d.* FROM d JOIN f ON d.fold <> f.fold), p AS (SELECT unnest([0.1, 10.0, 100.0]) AS alpha),
+            s AS (SELECT held, alpha, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + alpha AS aa, var_pop(b) * count(*) + alpha AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS byy FROM t, p GROUP BY 1, 2),
+            w AS (SELECT held, alpha, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb, ma, mb, my FROM s),
+            r AS (SELECT alpha, held, sqrt(avg((my + wa * (a - ma) + wb * (b - mb) - y) * (my + wa * (a - ma) + wb * (b - mb) - y))) AS r FROM w JOIN d ON d.fold = held GROUP BY 1, 2)
+       SELECT '{''alpha'': ' || CAST(alpha AS DOUBLE) || '}' AS settings, round(-avg(r), 7) AS cv_score FROM r GROUP BY alpha""",
+)
+def ridge_tuning(spark, sf):
+    """Three penalties on two columns, scored from fold moments."""
+    df, _ = wide_embeddings(spark, sf)
+    m = models.ModelInput(df.withColumn("fold", (F.col("vec_id") % 5).cast("int")), ("x0", "x3"), "y", 0)
+    _, _, tried = models.tune(m, "ridge", space={"alpha": [0.1, 10.0, 100.0]})
+    return tried.select("settings", F.round("cv_score", 7).alias("cv_score"))
+
+
 @query("random_search_forest")
 def random_search_forest(spark, sf):
     df, columns = wide_embeddings(spark, sf)
