@@ -248,3 +248,12 @@ def test_windows_from_panes_equal_windows_of_rows(spark, size, step):
         expected = {k: x for k, x in want.items() if "wanted" not in options or k[1] % (2 * step) == (-size // step * step) % (2 * step)}
         assert got.keys() == expected.keys()
         assert all(got[k] == pytest.approx(expected[k], rel=1e-6, abs=1e-6) for k in expected)
+
+
+def test_a_time_that_many_rows_share_is_one_point_and_one_probe(spark):
+    target = spark.createDataFrame([("a", 100, float(i)) for i in range(200)] + [("a", 200, 5.0), ("a", 0, 1.0), (None, 100, 9.0)], "u string, t long, x double")
+    rows = [("a", i, 100) for i in range(150)] + [("a", 150, 150), ("a", 151, 50), ("b", 152, 100), (None, 153, 100), ("a", 154, None)]
+    probes = spark.createDataFrame(rows, "u string, i int, at long")
+    few, many = ({r.i: r.target for r in asof.interpolate_at(probes, target, ["u"], "at", "t", "x", 60, rows_per_chunk=n).collect()} for n in (None, 20))
+    assert few == many and len(few) == 155
+    assert few[0] == few[149] == 199.0 and few[150] == (199.0 + 5.0) / 2 and few[151] == 0.5 and few[152] is few[153] is few[154] is None

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import Running, chunk_edges, join_on, keyed_rows, positions, running
+from tidemark.operators.ordering import Cuts, Running, chunk_edges, join_on, keyed_rows, positions, running
 
 
 def interpolate_at(
@@ -29,21 +29,28 @@ def interpolate_at(
     costly to compute should be checkpointed first: chunk sizes are taken from both sides.
     """
     keys = list(keys)
-    points = keyed_rows(series, keys).select(
-        *keys, F.col(ts).alias("_t"), F.lit(0).alias("_kind"),
-        F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_point"),
-        F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("r")).schema["r"].dataType).alias("_row"),
-    )
-    asked = probes.select(
-        *keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(points.schema["_point"].dataType).alias("_point"),
-        F.struct(*probes.columns).alias("_row"),
+    points = keyed_rows(series, keys).select(*keys, F.col(ts).alias("_t"), F.col(value).alias("_low"), F.col(value).alias("_high"))
+    edges = chunk_edges(points.select("_t").unionByName(probes.select(F.col(at).alias("_t"))), "_t", rows_per_chunk)
+    if not edges:
+        return _interpolated(points, probes, keys, at, max_gap_us, out, edges)
+    # A time that many rows of a key share is one point and one probe.
+    single = points.groupBy(*keys, "_t").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    times = keyed_rows(probes, [*keys, at]).select(*keys, F.col(at).alias("_at")).distinct()
+    found = _interpolated(single, times, keys, "_at", max_gap_us, out, edges).where(F.col(out).isNotNull())
+    return join_on(probes.withColumn("_at", F.col(at)), found, [*keys, "_at"]).drop("_at")
+
+
+def _interpolated(points: DataFrame, probes: DataFrame, keys: list[str], at: str, max_gap_us: int, out: str, edges: Cuts) -> DataFrame:
+    row = F.struct(*probes.columns)
+    given = points.select(
+        *keys, "_t", F.lit(0).alias("_kind"), F.struct(F.col("_t").alias("t"), F.col("_high").alias("v")).alias("_before"),
+        F.struct(F.col("_t").alias("t"), F.col("_low").alias("v")).alias("_after"), F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType).alias("_row"),
     )
-    both = points.unionByName(asked)
-    edges = chunk_edges(both, "_t", rows_per_chunk)
+    nothing = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in ("_before", "_after")]
+    asked = probes.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), *nothing, row.alias("_row"))
     placed = running(
-        both, keys, ["_t", "_kind"],
-        {"_prev": Running("max", F.col("_point")), "_next": Running("min", F.col("_point"), reverse=True)},
+        given.unionByName(asked), keys, ["_t", "_kind"],
+        {"_prev": Running("max", F.col("_before")), "_next": Running("min", F.col("_after"), reverse=True)},
         edges,
     )
     before = F.col("_t") - F.col("_prev.t")
