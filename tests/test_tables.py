@@ -97,6 +97,13 @@ def test_index_of_runs_with_differing_records(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "results.json").write_text(json.dumps(record, indent=1))
     (tmp_path / "d").mkdir()
+def test_counts_written_with_an_exponent_are_read_as_digits(spark):
+    from tidemark.plans.catalog_tables import count_text
+
+    df = spark.createDataFrame([("719.0",), ("1.1991E7",), ("Infinity",), (None,)], "x string")
+    assert [r[0] for r in df.select(count_text(F.col("x"))).collect()] == ["719", "11991000", None, None]
+
+
     (tmp_path / "d" / "results.json").write_text("{")
     got = {r["run"]: r for r in tables.run_index(tables.run_registry(spark, str(tmp_path / "*" / "results.json"))).collect()}
     assert set(got) == {"a", "b", "c"}
