@@ -113,3 +113,16 @@ def test_one_timestamp_holding_most_rows_is_cut_by_the_tie(spark):
     assert chunks["count"].max() < 200
     got = o.positions(df, ["k"], ["t", "id"], rows_per_chunk=100).toPandas().sort_values(["t", "id"])
     assert (got["pos"].to_numpy() == np.arange(1, n + 1)).all()
+
+
+@pytest.mark.parametrize("late", [0.5, 0.02])
+def test_infinite_times_are_cut_like_others(spark, late):
+    n = 2000
+    at = np.arange(n)
+    t = np.where(at < late * n, np.inf, np.where(at > 1900, -np.inf, at * 1.0))
+    df = spark.createDataFrame(pd.DataFrame({"id": at, "k": 1, "t": t}))
+    cuts = o.chunk_edges(df, "t", 100, "id")
+    chunks = o.with_chunk(df, "t", cuts).groupBy(o.CHUNK).count().toPandas()
+    assert len(cuts) and chunks["count"].max() < 200
+    got = o.positions(df, ["k"], ["t", "id"], rows_per_chunk=100).toPandas().sort_values(["t", "id"])
+    assert (got["pos"].to_numpy() == np.arange(1, n + 1)).all()

@@ -81,11 +81,12 @@ def chunk_edges(
     x = F.col(column).cast("double")
     cuts = [i / pieces for i in range(1, pieces)]
     found = df.select(F.percentile_approx(x, cuts, max(10_000, 4 * pieces))).first()[0]
-    edges = set(found)
-    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    edges = {value for value in found if math.isfinite(value)}
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b} | {a for a in found if math.isinf(a)})
     if not heavy:
         return Cuts(tuple(sorted(edges)))
-    edges |= {math.nextafter(value, math.inf) for value in heavy}
+    # An infinite value is set apart by the last finite number before it.
+    edges |= {math.nextafter(value, math.inf if value < math.inf else -math.inf) for value in heavy}
     if tie is None or not isinstance(df.schema[tie].dataType, T.NumericType):
         return Cuts(tuple(sorted(edges)))
     share = [i / 100 for i in range(1, 100)]
