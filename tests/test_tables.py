@@ -55,6 +55,16 @@ def test_archives(spark, tmp_path):
     assert preview["status"].str.startswith("error").sum() == 1 and preview["rows"].sum() == 12
 
 
+def test_a_folder_of_parts_is_one_table(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).repartition(2).write.option("header", True).csv(str(tmp_path / "sub" / "rows.csv"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "plain"))
+    found = tables.read_folder(spark, str(tmp_path))
+    assert {n: df.count() for n, df in found.items() if not n.startswith("plain/")} == {"many.parquet": 10, "sub/rows.csv": 4}
+    assert [df.count() for n, df in found.items() if n.startswith("plain/")] == [7]
+    assert tables.describe_tables(tables.read_folder(spark, str(tmp_path), "*.parquet")).count() == 2
+
+
 def test_stack_and_merge(spark):
     a = spark.createDataFrame([(1, 2), (3, 4)], "x int, y int")
     b = a.withColumn("extra", F.lit(1))
