@@ -83,6 +83,12 @@ def test_spearman_with_gaps(spark):
         assert got[c] == (len(pair), pytest.approx(np.corrcoef(pair[c].rank(), pair["y"].rank())[0, 1]))
 
 
+def test_rank_products_of_millions_of_rows_do_not_overflow(spark):
+    rows = spark.range(4_000_000).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2 * 3.0 + 1).alias("_ry"))
+    got = stats.rank_products(rows, "x", [], "_ry").first()
+    assert got["n"] == 4_000_000
+
+
 def test_rank_correlations_take_the_same_jobs_for_any_columns(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({c: np.round(rng.normal(size=300), 1) for c in "abcdefy"}).assign(k=1.0)

@@ -296,7 +296,8 @@ def rank_products(rows: DataFrame, value: str, keys: Sequence[str], other: str)
     sums = upto.groupBy(*keys).agg(
         F.sum("ties").alias("n"), F.sum(own * F.col("_s")).alias("_ab"), F.sum(F.col("ties") * own * own).alias("_aa"), F.sum("_q").alias("_bb")
     )
-    mid = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / F.lit(4.0)
+    n = F.col("n").cast("double")  # the cube of a few million is beyond a long
+    mid = n * (n + 1) * (n + 1) / 4
     # What is left of a constant side is rounding.
     return sums.select(*keys, "n", *[F.when(F.abs(F.col(f"_{c}") - mid) > 1e-12 * mid, F.col(f"_{c}") - mid).otherwise(0.0).alias(c) for c in ("ab", "aa", "bb")])
 
