@@ -193,6 +193,16 @@ def test_splits_do_not_depend_on_partitioning(spark):
     assert sum(s == "test" for s in split_of(df).values()) == 100
 
 
+def test_rows_that_share_an_id_are_split_to_the_row(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("row"), F.col("id").alias("x"), (F.col("id") % 2).alias("y")).repartition(5)
+    assert splits.random_split(df, "row").filter("split = 'test'").count() == 200
+    assert splits.stratified_split(df, "row", "y").filter("split = 'test'").count() == 200
+    assert [r["count"] for r in splits.random_folds(df, "row").groupBy("fold").count().collect()] == [200] * 5
+    assert [r["count"] for r in splits.stratified_folds(df, "row", "y").groupBy("fold").count().collect()] == [200] * 5
+    parts = {r["split"]: r["count"] for r in splits.nested_split(df, "row").groupBy("split").count().collect()}
+    assert parts == {"test": 200, "validation": 160, "train": 640}
+
+
 def test_group_split_is_disjoint(spark):
     df = spark.range(200).withColumn("g", (F.col("id") / 10).cast("int"))
     out = splits.group_split(df, "g")

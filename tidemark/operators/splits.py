@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import values as v
 from tidemark.operators.clean import class_labels
@@ -40,6 +41,16 @@ def fold_count(folds: int, rows: int) -> int:
     return max(2, min(int(folds), rows // 2))
 
 
+def row_key(df: DataFrame, row_id: str, seed: int) -> Column:
+    """Place of a row in the shuffle: the hash of its id, then of its content.
+
+    Rows that share an id are thereby told apart, so a cut leaves exactly as many on a side as
+    asked; only rows equal in every column stay together.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.concat(v.hash_text(seed, F.col(row_id)), F.lpad(F.lower(F.hex(F.xxhash64(*plain))), 16, "0"))
+
+
 def _check(rows: int) -> None:
     if rows < 5:
         raise ValueError(f"need at least 5 rows to split, got {rows}")
@@ -48,7 +59,7 @@ def _check(rows: int) -> None:
 def random_split(df: DataFrame, row_id: str, size: float = 0.2, seed: int = 42) -> DataFrame:
     rows = df.count()
     _check(rows)
-    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", row_key(df, row_id, seed))
     cut = hash_cutoffs(keyed, "_h", {"all": [math.ceil(size * rows)]})["all"][0]
     side = F.when(F.col("_h") < cut, "test").otherwise("train")
     return keyed.withColumn("split", side).drop("_h")
@@ -96,7 +107,7 @@ def stratified_split(
     sizes = _class_sizes(df, target)
     _check(sum(sizes.values()))
     quota = class_quotas(sizes, size)
-    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", row_key(df, row_id, seed))
     cuts = hash_cutoffs(keyed, "_h", {str(c): [k] for c, k in quota.items()}, by=target)
     bound = _by_class(target, {c: F.lit(cuts[str(c)][0]) for c in sizes}, F.lit(""))
     side = F.when(F.col("_h") < bound, "test").otherwise("train")
@@ -151,7 +162,7 @@ def random_folds(df: DataFrame, row_id: str, folds: int = 5, seed: int = 42) ->
     for size in _fold_sizes(rows, folds)[:-1]:
         upto += size
         ends.append(upto)
-    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", row_key(df, row_id, seed))
     cuts = hash_cutoffs(keyed, "_h", {"all": ends})["all"]
     fold = sum([(F.col("_h") >= c).cast("int") for c in cuts], F.lit(0))
     return keyed.withColumn("fold", fold).drop("_h")
@@ -169,7 +180,7 @@ def stratified_folds(
         share = [len(range(start + (i - start) % folds, stop, folds)) for i in range(folds)]
         ends[label] = [sum(share[: i + 1]) for i in range(folds - 1)]
         start = stop
-    keyed = df.withColumn("_h", v.hash_text(seed, F.col(row_id)))
+    keyed = df.withColumn("_h", row_key(df, row_id, seed))
     cuts = hash_cutoffs(keyed, "_h", {str(c): e for c, e in ends.items()}, by=target)
     cases = {
         c: sum([(F.col("_h") >= cut).cast("int") for cut in cuts[str(c)]], F.lit(0))
@@ -261,7 +272,7 @@ def nested_split(
     """Random test split, then a validation split of the training rows."""
     outer = random_split(df, row_id, size, seed)
     rows = outer.filter("split = 'train'").count()
-    keyed = outer.withColumn("_h", v.hash_text(seed + 1, F.col(row_id)))
+    keyed = outer.withColumn("_h", row_key(df, row_id, seed + 1))
     wanted = {"train": [math.ceil(inner * rows)]}
     cut = hash_cutoffs(keyed, "_h", wanted, by="split")["train"][0]
     held = (F.col("split") == "train") & (F.col("_h") < cut)
