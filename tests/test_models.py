@@ -89,6 +89,15 @@ def test_rank_products_of_millions_of_rows_do_not_overflow(spark):
     assert got["n"] == 4_000_000
 
 
+def test_ranks_of_frequent_and_rare_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SHARE", 10)
+    x = np.array([1.0] * 500 + [2.0] * 300 + list(range(3, 203)))
+    got = stats.with_ranks(spark.createDataFrame(pd.DataFrame({"k": 1, "x": x})), "x", ["k"], "rank").toPandas()
+    assert len(got) == len(x) and (got.sort_values("x")["rank"].to_numpy() == pd.Series(x).rank().to_numpy()).all()
+    plan = stats.with_ranks(spark.createDataFrame(pd.DataFrame({"x": x})), "x", [], "rank")
+    assert plan.count() == len(x)
+
+
 def test_rank_correlations_take_the_same_jobs_for_any_columns(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({c: np.round(rng.normal(size=300), 1) for c in "abcdefy"}).assign(k=1.0)

@@ -302,17 +302,26 @@ def rank_products(rows: DataFrame, value: str, keys: Sequence[str], other: str)
     return sums.select(*keys, "n", *[F.when(F.abs(F.col(f"_{c}") - mid) > 1e-12 * mid, F.col(f"_{c}") - mid).otherwise(0.0).alias(c) for c in ("ab", "aa", "bb")])
 
 
+#: Values of more than this part of the rows have their ranks broadcast.
+SHARE = 2_000
+
+
 def with_ranks(rows: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
     """Attach the average rank of ``value`` within the keys.
 
-    A value shared by many rows makes a hot join key; the rank table has one row per
-    value, so the adaptive skew join may split the row side freely.
+    A value shared by many rows would be a hot join key. Values of more than one in ``SHARE`` of
+    the rows are no more than that many and are broadcast; the rest is joined by value.
     """
-    ranks = value_ranks(rows, value, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.col("rank").alias(out))
+    ranks = cut_lineage(value_ranks(rows, value, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.col("rank").alias(out), "ties"))
+    total = ranks.agg(F.sum("ties")).first()[0] or 0
     same = (F.col(value) == F.col("_v"))
     for k in keys:
         same = same & (F.col(k) == F.col(f"_k_{k}"))
-    return rows.join(ranks, same).drop("_v", *[f"_k_{k}" for k in keys])
+    often = F.col("ties") > F.lit(total / SHARE)
+    held = F.broadcast(ranks.where(often).drop("ties"))
+    hot = rows.join(held, same)
+    cold = rows.join(held, same, "left_anti").join(ranks.where(~often).drop("ties"), same)
+    return hot.unionByName(cold).drop("_v", *[f"_k_{k}" for k in keys])
 
 
 def _r(ab: float | None, aa: float | None, bb: float | None) -> float | None:
