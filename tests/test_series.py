@@ -257,3 +257,16 @@ def test_a_time_that_many_rows_share_is_one_point_and_one_probe(spark):
     few, many = ({r.i: r.target for r in asof.interpolate_at(probes, target, ["u"], "at", "t", "x", 60, rows_per_chunk=n).collect()} for n in (None, 20))
     assert few == many and len(few) == 155
     assert few[0] == few[149] == 199.0 and few[150] == (199.0 + 5.0) / 2 and few[151] == 0.5 and few[152] is few[153] is few[154] is None
+
+
+def test_segments_are_worked_on_in_small_slices(spark, monkeypatch):
+    from tidemark.plans.catalog_windows import segment_table
+    from tidemark.sources import segments
+
+    df = segment_table(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(segments, "SLICE_ROWS", 7)
+    small = segments.segment_features(df).toPandas().sort_values("segment_no").reset_index(drop=True)
+    monkeypatch.setattr(segments, "SLICE_ROWS", 10_000)
+    whole = segments.segment_features(df).toPandas().sort_values("segment_no").reset_index(drop=True)
+    pd.testing.assert_frame_equal(small, whole)
+    assert len(small) > 7 and small.drop(columns=["subject_id", "segment_no", "ts", "glucose_now"]).notna().any().sum() > 50

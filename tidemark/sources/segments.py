@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,6 +181,14 @@ def flatten(df: DataFrame) -> DataFrame:
     )
 
 
+#: Segments whose features a task holds at once.
+SLICE_ROWS = 256
+
+
+def _samples(cell: pa.ListScalar) -> np.ndarray | None:
+    return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else None
+
+
 def segment_features(df: DataFrame, use_ecg: bool = True) -> DataFrame:
     """One wide feature row per usable segment, without a shuffle of its own."""
     flat = flatten(usable_segments(spread(df)))
@@ -192,11 +200,19 @@ def segment_features(df: DataFrame, use_ecg: bool = True) -> DataFrame:
     for name in names:
         schema = schema.add(name, "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_wave_row(row, use_ecg) for row in batch.to_dict("records")]
-            more = pd.DataFrame(found, index=batch.index).reindex(columns=names).astype(float)
-            yield pd.concat([batch[keys], more], axis=1)
+    signals = [c for c in flat.columns if c not in keys]
 
-    out = flat.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = np.full((len(names), part.num_rows), np.nan)
+                for i in range(part.num_rows):
+                    for name, x in _wave_row({c: _samples(part.column(c)[i]) for c in signals}, use_ecg).items():
+                        if name in place:
+                            found[place[name], i] = np.nan if x is None else x
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], *[pa.array(x) for x in found]], [*keys, *names])
+
+    place = {name: i for i, name in enumerate(names)}
+    out = flat.mapInArrow(run, schema)
     return out.select(*keys, *[v.finite(F.col(f"`{n}`")).alias(n) for n in names])
