@@ -305,3 +305,15 @@ def test_checkpoints_use_the_configured_folder(spark, tmp_path):
     found = session.shared_dir(spark)
     assert found == spark.conf.get("spark.checkpoint.dir", None) or found == spark.sparkContext.getCheckpointDir()
     assert session.scratch_path(spark, "x").startswith(found.rstrip("/"))
+
+
+def test_few_large_files_are_spread_by_their_bytes(spark, tmp_path, monkeypatch):
+    from tidemark import session
+
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "one file"))
+    df = spark.read.parquet(str(tmp_path / "one file"))
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(df).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "SPLIT_BYTES", 10_000)
+    parts = session.spread(df).rdd.getNumPartitions()
+    assert parts > 4 * cores and session.spread(df).count() == 200_000

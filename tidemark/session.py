@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession:
@@ -57,11 +59,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: File bytes of a partition when few files are spread.
+SPLIT_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row-local work every core when a scan has too few splits.
 
-    A table of many files already has more partitions than cores and is left as it is.
+    A table of many files already has more partitions than cores and is left as it is. Of few large
+    files, partitions grow in number with the bytes, not in size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     files = df.inputFiles()
-    return df.repartition(cores) if len(files) < cores else df
+    if len(files) >= cores:
+        return df
+    # Lengths come from the listing; no content is read.
+    length = spark.read.format("binaryFile").load([unquote(f) for f in files]).agg(F.sum("length")).first()[0] if files else 0
+    return df.repartition(max(cores, -(-length // SPLIT_BYTES)))
