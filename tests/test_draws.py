@@ -84,6 +84,18 @@ def test_auc_replicates_equal_weighted_areas(spark, monkeypatch, rows_per_chunk)
         assert got[rep] == pytest.approx(pos @ wins @ neg / (pos.sum() * neg.sum()))
 
 
+def test_auc_replicates_of_one_class_are_skipped_or_not_a_number(spark):
+    pdf = pd.DataFrame({"id": range(4), "y": [1, 0, 0, 0], "s": [0.9, 0.2, 0.4, 0.6]})
+    df = spark.createDataFrame(pdf)
+    halves = df.select("id", *[h.alias(f"h{i}") for i, h in enumerate(draws.halves(F.col("id")))]).toPandas().sort_values("id")
+    w = draws.poisson(halves.h0.to_numpy(), halves.h1.to_numpy(), resample.replicate_keys(60, 42))
+    some = {r for r in range(60) if w[:, r].any()}
+    both = {r for r in some if w[0, r] and w[1:, r].any()}
+    got = {r.rep: r.value for r in resample.bootstrap_auc(df, "id", "y", "s", 60, single_class=True).collect()}
+    assert both < some < set(range(60)) and set(got) == some and {r for r in got if not np.isnan(got[r])} == both
+    assert {r.rep for r in resample.bootstrap_auc(df, "id", "y", "s", 60).collect()} == both
+
+
 def test_metrics_of_replicates(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"id": range(300), "y": rng.normal(5, 1, 300), "p": rng.normal(5, 1, 300)})

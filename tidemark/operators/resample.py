@@ -97,9 +97,9 @@ def score_chunks(df: DataFrame, score: str, rows_per_chunk: int) -> DataFrame:
 
 
 def bootstrap_auc(
-    df: DataFrame, row_id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42, rows_per_chunk: int = CHUNK_ROWS
+    df: DataFrame, row_id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42, rows_per_chunk: int = CHUNK_ROWS, single_class: bool = False
 ) -> DataFrame:
-    """(rep, value) under Poisson resampling of rows, with single-class replicates skipped.
+    """(rep, value) under Poisson resampling of rows; single-class replicates are skipped, or not a number with ``single_class``.
 
     Rows are exchanged once, by chunk of the score. A chunk leaves three arrays: its own area
     and the weights of both classes; a cut that many rows share is a chunk without an order, dealt
@@ -138,7 +138,8 @@ def bootstrap_auc(
     tied = F.when(F.col("chunk") % 2 == 0, F.col("pos") * F.col("neg") / 2).otherwise(F.col("area"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     whole = sums.withColumn("area", tied + F.col("pos") * below).groupBy("rep").agg(F.sum("area").alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return whole.where("p > 0 and n > 0").select("rep", (F.col("area") / (F.col("p") * F.col("n"))).alias("value"))
+    value = F.when(F.expr("p > 0 and n > 0"), F.col("area") / (F.col("p") * F.col("n"))).otherwise(float("nan"))
+    return whole.where("p + n > 0" if single_class else "p > 0 and n > 0").select("rep", value.alias("value"))
 
 
 MAX_CELLS = 100_000

@@ -498,7 +498,7 @@ def bootstrap_fit(spark, sf):
         SELECT CAST(rep AS INTEGER) AS rep, round(sum(pos * (below - neg) + pos * neg / 2) / (sum(pos) * sum(neg)), 6) AS value FROM r GROUP BY rep""",
 )
 def bootstrap_auc(spark, sf):
-    return resample.bootstrap_auc(scored(spark, sf), "doc_id", "y", "score").withColumn("value", F.round("value", 6))
+    return resample.bootstrap_auc(scored(spark, sf), "doc_id", "y", "score", single_class=True).withColumn("value", F.round("value", 6))
 
 
 @query("bootstrap_classification")
