@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -106,3 +107,15 @@ def test_no_rows_and_no_training_rows(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = bilinear.scores(docs(spark, ["a b"], held), singles=4, tails=4, width=2).collect()
     agree(got, plain([(held, "a b")]))
+
+
+def test_a_worker_lets_go_of_an_earlier_run_before_it_makes_anything():
+    class Table:
+        pass
+
+    bilinear.WORKER.clear()
+    old = [weakref.ref(bilinear.in_worker(name, "first", Table)) for name in ("tokens", "scorer")]
+    seen = []
+    bilinear.in_worker("tokens", "second", lambda: seen.append([r() for r in old]))
+    bilinear.WORKER.clear()
+    assert seen == [[None, None]]

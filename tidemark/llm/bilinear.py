@@ -225,7 +225,8 @@ class Model:
         """
         last, far = self.last @ self.own.T + self.bias, self.far @ self.own.T
         top, high = last.max(axis=1), far.max(axis=1)
-        right = np.exp((far - high[:, None]).astype(np.float64)).T
+        right = (far - high[:, None]).astype(np.float64)
+        right = np.exp(right, out=right).T
         norm = np.empty((len(last), len(far)), np.float32)
         for at in range(0, len(last), NORMS):
             some = slice(at, at + NORMS)
@@ -271,10 +272,13 @@ WORKER: dict = {}
 
 
 def in_worker(name: str, token: str, make):
-    """What a worker keeps of a broadcast between its tasks."""
-    if WORKER.get(name, (None,))[0] != token:
-        WORKER[name] = (token, make())
-    return WORKER[name][1]
+    """What a worker keeps of a broadcast between its tasks; all that it kept of an earlier run goes before anything is made."""
+    if WORKER.get("token") != token:
+        WORKER.clear()
+        WORKER["token"] = token
+    if name not in WORKER:
+        WORKER[name] = make()
+    return WORKER[name]
 
 
 def learned(texts: DataFrame, known, token: str, model: Model, rounds: int = ROUNDS, step: int = STEP, noise: int = NOISE, rate: float = RATE) -> Model:
